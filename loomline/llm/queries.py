@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import packing, simhash_dedup
+from loomline.llm import packing, simhash_dedup, warc
 from loomline.llm.spark_io import read
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through WARC archives and back, as captures with the digest of their payload."""
+    return warc.captures(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; links at two differing bits or fewer."""
     return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
@@ -22,7 +27,23 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_packing": op5_packing,
+    "op7_warc": op7_warc,
     "op8_simhash_dedup": op8_simhash_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (
+            SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hx,
+                min(page_id) OVER (PARTITION BY sha1(body)) AS first_id
+            FROM p
+        )
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                ((('0x' || substr(hx, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+            CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM d
+    """,
+}
