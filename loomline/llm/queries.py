@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import packing, simhash_dedup, warc
+from loomline.llm import packing, pii, secret_scan, simhash_dedup, warc
 from loomline.llm.spark_io import read
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.digest(secret_scan.scan(read(spark, sf_dir, "documents")))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through WARC archives and back, as captures with the digest of their payload."""
     return warc.captures(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -25,10 +30,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.digest(pii.scan(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op5_packing": op5_packing,
+    "op6_secret_scan": op6_secret_scan,
     "op7_warc": op7_warc,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_pii": op9_pii,
 }
 
 ORACLES: dict[str, str] = {
