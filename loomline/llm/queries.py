@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import packing, pii, secret_scan, simhash_dedup, warc
+from loomline.llm import packing, pii, quality, secret_scan, simhash_dedup, toxicity, warc
 from loomline.llm.spark_io import read
 
 
@@ -23,6 +23,11 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the factorisation machine."""
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     import public_tokenizers
@@ -35,12 +40,19 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(read(spark, sf_dir, "documents")))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by compression distance."""
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op2_quality": op2_quality,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
     "op7_warc": op7_warc,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_pii": op9_pii,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
