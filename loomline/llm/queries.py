@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import packing, pii, quality, secret_scan, simhash_dedup, toxicity, warc
+from loomline.llm import decontaminate, packing, pii, quality, secret_scan, simhash_dedup, toxicity, warc
 from loomline.llm.spark_io import read
 
 
@@ -23,6 +23,11 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage similar to a benchmark item, and which."""
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by the factorisation machine."""
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -46,6 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
