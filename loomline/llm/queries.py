@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import decontaminate, packing, pii, quality, secret_scan, simhash_dedup, toxicity, warc
+from loomline.llm import decontaminate, html_extract, packing, pii, quality, secret_scan, simhash_dedup, toxicity, warc
 from loomline.llm.spark_io import read
 
 
@@ -33,6 +33,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, without the templates of its host."""
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     import public_tokenizers
@@ -53,6 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
+    "op4_html_extract": op4_html_extract,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
     "op7_warc": op7_warc,
