@@ -187,26 +187,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return QualityModel(x[:, :n], x[:, n:], y, np.where(y == 1, stands_for[1], stands_for[0]))
 
 
-def score(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (id_col, keep..., held_out, score, predicted), one per row of ``docs``, in one pass without a shuffle.
+def score(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """Rows (id_col, held_out, score, predicted), one per row of ``docs``, in one pass without a shuffle.
 
     A null text is empty and gets the score of its (empty) features; a null id is not held out; without a model
     every score is 0.5. Other columns than text and ``chars_col`` are never looked at.
     """
-    kept = [f for f in docs.schema.fields if f.name in (id_col, *keep)]
-    schema = T.StructType([*kept, T.StructField("_score", T.DoubleType())])
-    names = [f.name for f in kept]
+    schema = T.StructType([docs.schema[id_col], T.StructField("_score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for b in slices(batches, "_in_text"):
             found = held.score(*features(b.column("_in_text"), b.column("_in_chars"))) if held else np.full(b.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(found)], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(found)], [id_col, "_score"])
 
-    rows = docs.select(*names, F.col(text_col).cast("string").alias("_in_text"), _chars(docs, chars_col).alias("_in_chars")).mapInArrow(run, schema)
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("_in_text"), _chars(docs, chars_col).alias("_in_chars")).mapInArrow(run, schema)
     held_out = F.coalesce(remainder(F.col(id_col), MODULUS) == HELD_OUT, F.lit(False))
-    return rows.select(*names, held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select(id_col, held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", chars_col: str | None = "n_chars", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -214,7 +212,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return score(docs, fit(docs, labels, id_col, text_col, label_col, chars_col, sample_rows), id_col, text_col, chars_col)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with all their columns."""
-    model = fit(docs, labels, id_col, text_col)
-    return score(docs, model, id_col, text_col, keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", chars_col: str | None = "n_chars", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that the model gives 0.5 or more, with all their columns; all rows if there are no labels to learn from."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col, chars_col, sample_rows))
+    counted = chars_col in docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for b in slices(batches, text_col):
+            chars = b.column(chars_col) if counted else pa.nulls(b.num_rows, pa.int64())
+            yield b.filter(pa.array(held.score(*features(b.column(text_col), chars)) >= 0.5)) if held else b
+
+    return docs.mapInArrow(run, docs.schema)

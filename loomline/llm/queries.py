@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import decontaminate, html_extract, packing, pii, quality, secret_scan, simhash_dedup, toxicity, warc
+from loomline.llm import decontaminate, embedding_dedup, html_extract, packing, pii, quality, secret_scan, simhash_dedup, toxicity, warc
 from loomline.llm.spark_io import read
 
 
@@ -33,6 +33,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of equal labels at a cosine of 0.98."""
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, without the templates of its host."""
     return html_extract.extract(read(spark, sf_dir, "pages"))
@@ -58,6 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_html_extract": op4_html_extract,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,

@@ -112,6 +112,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row with the smallest id, and one row of each id."""
-    kept = near_duplicates(docs, id_col, text_col, radius).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col])
+    """The rows of ``docs`` without near copies: of each component the row with the smallest id, and one row of each id.
+
+    Rows without an id can't be named by a decision and all stay. The texts are shuffled once, by id.
+    """
+    kept = near_duplicates(docs, id_col, text_col, radius).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
