@@ -1,0 +1,87 @@
+"""Vectors, boxes, places on a sphere and small statistical functions as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Sum of products in double precision, first component first."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def normalised(v: Column) -> Column:
+    size = F.sqrt(dot(v, v))
+    return F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(0.0))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+
+
+def bhattacharyya(a: Column, b: Column) -> Column:
+    """Overlap of two histograms that each sum to 1; negative entries count as none."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.sqrt(F.greatest(x.cast("double") * y.cast("double"), F.lit(0.0)))), F.lit(0.0), lambda s, x: s + x)
+
+
+def iou(a: list[Column], b: list[Column]) -> Column:
+    """Shared over joined area of two boxes (left, top, right, bottom); 0 if there is no area."""
+    wide = F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.lit(0.0))
+    high = F.greatest(F.least(a[3], b[3]) - F.greatest(a[1], b[1]), F.lit(0.0))
+    both = wide * high
+    joined = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
+    return F.when(joined > 0, both / joined).otherwise(0.0)
+
+
+def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), F.lit(2.0))
+    return 12742.0 * F.asin(F.sqrt(half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)))
+
+
+def logistic(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def corrected_age(age: Column, bias: Column, own: Column, sigma: Column, least_sd: float = 0.5) -> Column:
+    """struct<age, sd>: a guessed age shifted in log space, never negative, with its standard deviation in years."""
+    a = F.expm1(F.log1p(F.greatest(age, F.lit(0.0))) + bias + F.coalesce(own, F.lit(0.0)))
+    return F.struct(F.greatest(a, F.lit(0.0)).alias("age"), F.greatest(F.lit(least_sd), sigma * (1 + a)).alias("sd"))
+
+
+# Fixed values of the fade heuristic: centres and widths of its ramps.
+def fade_classes(f: Column) -> Column:
+    """struct of three class shares from 14 colour features: how a faded film's cast, contrast and blacks speak for each class."""
+    at = lambda i: F.element_at(f, i + 1)
+    ramp = lambda x, centre, width: logistic((x - centre) / width)
+    black, contrast = F.least(at(0), at(1), at(2)), at(10)
+    red = (at(11) + 3 * (at(0) - at(1)) + (at(6) - at(7))) / 3
+    blue = (at(12) + 3 * (at(2) - at(1)) + (at(8) - at(7))) / 3
+    cast, lifted = F.hypot(red, blue), ramp(black, 0.05, 0.025)
+    one = ramp(-cast, -0.06, 0.02) * ramp(contrast, 0.45, 0.08) * ramp(-black, -0.04, 0.015)
+    two = ramp(red, 0.05, 0.03) * ramp(blue, -0.04, 0.04) * (0.4 + 0.6 * lifted)
+    three = ramp(-red, 0.05, 0.03) * ramp(blue, -0.04, 0.04) * (0.5 + 0.5 * lifted)
+    scale = 0.75 / (one + two + three + 0.3)
+    return F.struct((one * scale).alias("kodachrome"), (two * scale).alias("ektachrome"), (three * scale).alias("agfachrome"))
+
+
+def eye_openness(ratio: Column, closed: float = 0.10, open_: float = 0.18) -> Column:
+    """0 for a closed eye to 1 for an open one, by its height over its width."""
+    return F.greatest(F.least((ratio - closed) / (open_ - closed), F.lit(1.0)), F.lit(0.0))
+
+
+def picture_quality(sharp: Column, clipped: Column) -> Column:
+    return sharp * (1 - clipped)
+
+
+def learned_threshold(accepted: Column, dismissed: Column, base: float = 0.12) -> Column:
+    """A threshold that rises up to fourfold with each suggestion dismissed rather than accepted."""
+    return base * F.least(F.greatest((1 + dismissed) / (1 + accepted), F.lit(1.0)), F.lit(4.0))
+
+
+def turned_box(box: list[Column], rotation: Column, mirror: Column) -> list[Column]:
+    """A box in 0..1 after turning the picture clockwise by 0, 90, 180 or 270 degrees and then mirroring it."""
+    left, top, right, bottom = box
+    pick = lambda a, b, c, d: F.when(rotation == 90, b).when(rotation == 180, c).when(rotation == 270, d).otherwise(a)
+    new = [pick(left, 1 - bottom, 1 - right, top), pick(top, left, 1 - bottom, 1 - right), pick(right, 1 - top, 1 - left, bottom), pick(bottom, right, 1 - top, 1 - left)]
+    return [F.when(mirror, 1 - new[2]).otherwise(new[0]), new[1], F.when(mirror, 1 - new[0]).otherwise(new[2]), new[3]]

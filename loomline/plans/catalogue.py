@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "date_interpolate"
+
+for _name in ("ordered", "estimates", "vectors", "matching", "places", "lifecycle"):
+    _part = importlib.import_module(f"loomline.plans.{_name}")
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
