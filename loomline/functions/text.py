@@ -23,7 +23,7 @@ def squeeze(text: Column) -> Column:
 
 
 def slugify(text: Column, default: str = "session") -> Column:
-    slug = F.trim(F.lit("-"), F.lower(F.regexp_replace(text, r"(?U)[^\w\-]+", "-")))
+    slug = F.trim(F.lower(F.regexp_replace(text, r"(?U)[^\w\-]+", "-")), F.lit("-"))
     return F.when(slug == "", default).otherwise(slug)
 
 

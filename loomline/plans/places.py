@@ -1,4 +1,105 @@
-"""Queries."""
+"""Queries on places and text."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomline.functions import dates, vectors
+from loomline.functions import text as X
+from loomline.operators import gazetteer
+from loomline.sources.shared import read
+
+_LAT, _LON = (F.col("k") * 7919 % 12000) / 100.0 - 60, (F.col("k") * 104729 % 36000) / 100.0 - 180
+
+
+def _cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as cities, placed by their keys."""
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("city_id"), F.col("s_suppkey").alias("k")).select("city_id", _LAT.alias("lat"), _LON.alias("lon"))
+
+
+def nearest_city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN10, MTH5: the nearest city within 500 km of every customer."""
+    points = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 31 + 5).alias("k")).select("c_custkey", _LAT.alias("lat"), _LON.alias("lon"))
+    return gazetteer.nearest_city(points, _cities(spark, sf_dir), "c_custkey", "lat", "lon", 500.0).select("c_custkey", "city_id", F.round("km", 6).alias("km"))
+
+
+_POINT = "CAST({k} * 7919 % 12000 AS DOUBLE) / 100 - 60 AS lat, CAST({k} * 104729 % 36000 AS DOUBLE) / 100 - 180 AS lon"
+NEAREST = f"""WITH c AS (SELECT s_suppkey AS city_id, {_POINT.format(k='s_suppkey')} FROM supplier), p AS (SELECT c_custkey, {_POINT.format(k='(c_custkey * 31 + 5)')} FROM customer),
+d AS (SELECT c_custkey, city_id, 12742 * asin(sqrt(pow(sin(radians(c.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - p.lon) / 2), 2))) AS km FROM p, c)
+SELECT c_custkey, city_id, round(km, 6) AS km FROM d WHERE km <= 500 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY km, city_id) = 1"""
+
+
+def _gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as cities: the name's last word is another name of it."""
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("city_id"), F.col("p_name").alias("name"), F.array(F.element_at(F.split("p_name", " "), -1)).alias("alts"), F.col("p_size").cast("long").alias("pop"))
+
+
+def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN11, JN27, SRT1: eight best cities for each prefix asked for."""
+    asked = read(spark, sf_dir, "part").where("p_partkey % 20 = 0").select("p_partkey", F.substring("p_name", 1, 5).alias("q"))
+    return gazetteer.prefix_search(asked, gazetteer.city_keys(_gazetteer(spark, sf_dir)), "p_partkey", "q").select("p_partkey", "city_id", F.col("rank").cast("long").alias("rank"))
+
+
+_FOLD = "trim(regexp_replace(strip_accents(lower({x})), '[^0-9a-z]+', ' ', 'g'))"
+PREFIX = f"""WITH n AS (SELECT p_partkey AS city_id, {_FOLD.format(x='p_name')} AS key, true AS pr, p_size AS pop FROM part UNION ALL SELECT p_partkey, {_FOLD.format(x="string_split(p_name, ' ')[-1]")}, false, p_size FROM part),
+k AS (SELECT key, city_id, any_value(pop) AS pop, bool_or(pr) AS pr FROM n WHERE key <> '' GROUP BY key, city_id), q AS (SELECT p_partkey, {_FOLD.format(x='substr(p_name, 1, 5)')} AS q FROM part WHERE p_partkey % 20 = 0),
+m AS (SELECT p_partkey, city_id, min((key <> q, NOT pr, -pop)) AS r FROM q JOIN k ON length(q) >= 2 AND starts_with(key, q) GROUP BY ALL)
+SELECT p_partkey, city_id, row_number() OVER (PARTITION BY p_partkey ORDER BY r, city_id) AS rank FROM m QUALIFY rank <= 8"""
+
+
+def places_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR7, JN12, UDF3: the place that each document's first line names."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
+    cities = read(spark, sf_dir, "documents").select(F.explode(F.slice(F.split(X.fold(F.substring_index("text", "\n", 1)), " "), 2, 1)).alias("name")).where("length(name) >= 4").groupBy("name").agg((F.count("*") * 1000).alias("pop"))
+    cities = cities.select(F.crc32(F.col("name").cast("binary")).alias("city_id"), "name", F.array(F.substring("name", 1, 4)).alias("alts"), "pop")
+    return gazetteer.places_in_text(lines, gazetteer.city_keys(cities), "doc_id", "line").select("doc_id", "city_id", F.round("confidence", 9).alias("confidence"))
+
+
+def folded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR1, STR2, STR3, STR15: folded words, slugs and tags of the documents' first lines."""
+    line = F.substring_index(F.substring("text", 1, 80), "\n", 1)
+    rows = read(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
+    return rows.select("doc_id", X.fold(F.col("line")).alias("folded"), X.slugify(F.col("line")).alias("slug"), F.array_join(X.clean_tags(F.split("line", ",")), "|").alias("tags"), X.tidy(F.col("line")).alias("caption"))
+
+
+_LINE = "string_split(substr(text, 1, 80), chr(10))[1]"
+FOLDED = f"""WITH d AS (SELECT doc_id, {_LINE} AS line FROM documents), t AS (SELECT *, list_filter(list_transform(string_split(line, ','), lambda x: substr(lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))), 1, 40)), lambda x: x <> '') AS ts FROM d),
+c AS (SELECT *, regexp_replace(substr(trim(regexp_replace(line, '\\s+', ' ', 'g')), 1, 200), '[\\s,;:]+$', '') AS cap FROM t)
+SELECT doc_id, {_FOLD.format(x="replace(lower(line), 'ß', 'ss')")} AS folded, CASE WHEN trim(lower(regexp_replace(line, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\-]+', '-', 'g')), '-') = '' THEN 'session' ELSE trim(lower(regexp_replace(line, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\-]+', '-', 'g')), '-') END AS slug,
+    array_to_string(list_transform(list_filter(list_zip(ts, range(1, len(ts) + 1)), lambda z: list_position(ts, z[1]) = z[2])[1:30], lambda z: z[1]), '|') AS tags,
+    CASE WHEN cap = '' THEN '' WHEN regexp_matches(cap, '[.!?]$') THEN upper(cap[1]) || cap[2:] ELSE upper(cap[1]) || cap[2:] || '.' END AS caption FROM c"""
+
+
+def parsed_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR6, STR8, STR5, STR14, DAT1, DAT9: coordinates, dates in names, labels, escapes."""
+    k = F.col("p_partkey")
+    coords = X.parse_coords(F.concat_ws(", ", (k * 13 % 2000 / 10 - 100).cast("string"), (k * 29 % 4000 / 10 - 200).cast("string")))
+    name = F.format_string("%d-%02d-%02d scans", 1780 + k % 300, k % 15, k % 33)
+    day = dates.parse_date(F.format_string("%d-%d-%d", 1900 + k % 120, k % 15, k % 33))
+    angle = (k * 13 % 18000) / 100.0 - 90
+    return read(spark, sf_dir, "part").select("p_partkey", coords["lat"].alias("lat"), coords["lon"].alias("lon"), dates.date_from_name(name).alias("from_name"), dates.format_date(day["start"], day["precision"]).alias("day"), X.label(F.col("p_brand"), F.col("p_type"), F.col("p_brand")).alias("label"), X.xml_escape(F.concat(F.lit("<a&'"), "p_name")).alias("xml"), X.dms(angle)["m"].alias("minutes"), F.round(X.dms(angle)["s"], 2).alias("seconds"))
+
+
+PARSED = """WITH x AS (SELECT *, CAST(p_partkey * 13 % 2000 AS DOUBLE) / 10 - 100 AS a, CAST(p_partkey * 29 % 4000 AS DOUBLE) / 10 - 200 AS o, 1780 + p_partkey % 300 AS y, p_partkey % 15 AS m, p_partkey % 33 AS d, CAST(round(abs(CAST(p_partkey * 13 % 18000 AS DOUBLE) / 100 - 90) * 360000) AS BIGINT) AS h FROM part),
+z AS (SELECT *, TRY_CAST(printf('%d-%02d-%02d', y, m, d) AS DATE) AS nd, TRY_CAST(printf('%d-%02d-%02d', 1900 + p_partkey % 120, least(greatest(m, 1), 12), least(greatest(d, 1), 31)) AS DATE) AS pd FROM x)
+SELECT p_partkey, CASE WHEN abs(a) <= 90 AND abs(o) <= 180 THEN a END AS lat, CASE WHEN abs(a) <= 90 AND abs(o) <= 180 THEN o END AS lon,
+    CASE WHEN y < 1800 OR y > 2099 THEN '' WHEN m NOT BETWEEN 1 AND 12 THEN CAST(y AS VARCHAR) WHEN nd IS NOT NULL THEN strftime(nd, '%Y-%m-%d') ELSE printf('%d-%02d', y, m) END AS from_name, strftime(pd, '%Y-%m-%d') AS day,
+    p_brand || ', ' || p_type AS label, '&lt;a&amp;&apos;' || replace(replace(p_name, '&', '&amp;'), '<', '&lt;') AS xml, h // 6000 % 60 AS minutes, round(CAST(h % 6000 AS DOUBLE) / 100, 2) AS seconds FROM z"""
+
+
+def eyes_and_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MTH9, MTH14, SRT10, MTH3: eye openness, turned boxes, overlap of histograms."""
+    k = F.col("p_partkey")
+    box = [(k % 30) / 100.0, (k % 40) / 100.0, (k % 30) / 100.0 + 0.2, (k % 40) / 100.0 + 0.3]
+    turned = vectors.turned_box(box, k % 4 * 90, k % 3 == 0)
+    one, two = F.array((k % 7) / 6.0, 1 - (k % 7) / 6.0), F.array((k % 5) / 4.0, 1 - (k % 5) / 4.0)
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(vectors.eye_openness((k % 30) / 100.0), 9).alias("open"), *[F.round(b, 9).alias(n) for b, n in zip(turned, ("l", "t", "r", "b"))], F.round(vectors.bhattacharyya(one, two), 9).alias("alike"))
+
+
+EYES = """WITH x AS (SELECT p_partkey, p_partkey % 4 AS q, CAST(p_partkey % 30 AS DOUBLE) / 100 AS l, CAST(p_partkey % 40 AS DOUBLE) / 100 AS t, CAST(p_partkey % 30 AS DOUBLE) / 100 + 0.2 AS r, CAST(p_partkey % 40 AS DOUBLE) / 100 + 0.3 AS b, CAST(p_partkey % 7 AS DOUBLE) / 6 AS h, CAST(p_partkey % 5 AS DOUBLE) / 4 AS g FROM part),
+y AS (SELECT *, CASE q WHEN 1 THEN 1 - b WHEN 2 THEN 1 - r WHEN 3 THEN t ELSE l END AS l2, CASE q WHEN 1 THEN l WHEN 2 THEN 1 - b WHEN 3 THEN 1 - r ELSE t END AS t2, CASE q WHEN 1 THEN 1 - t WHEN 2 THEN 1 - l WHEN 3 THEN b ELSE r END AS r2, CASE q WHEN 1 THEN r WHEN 2 THEN 1 - t WHEN 3 THEN 1 - l ELSE b END AS b2 FROM x)
+SELECT p_partkey, round(greatest(least((l - CAST(0.1 AS DOUBLE)) / CAST(0.08 AS DOUBLE), 1), 0), 9) AS open, round(CASE WHEN p_partkey % 3 = 0 THEN 1 - r2 ELSE l2 END, 9) AS l, round(t2, 9) AS t, round(CASE WHEN p_partkey % 3 = 0 THEN 1 - l2 ELSE r2 END, 9) AS r, round(b2, 9) AS b, round(sqrt(h * g) + sqrt((1 - h) * (1 - g)), 9) AS alike FROM y"""
+
+QUERIES = {f.__name__: f for f in (nearest_city, prefix_search, places_in_text, folded_sources, parsed_strings, eyes_and_boxes)}
+ORACLES = {"nearest_city": NEAREST, "prefix_search": PREFIX, "folded_sources": FOLDED, "parsed_strings": PARSED, "eyes_and_boxes": EYES}
