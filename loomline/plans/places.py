@@ -10,17 +10,21 @@ from loomline.functions import text as X
 from loomline.operators import gazetteer
 from loomline.sources.shared import read
 
-_LAT, _LON = (F.col("k") * 7919 % 12000) / 100.0 - 60, (F.col("k") * 104729 % 36000) / 100.0 - 180
+
+def _placed() -> list:
+    """A latitude and a longitude that follow from the key k."""
+    return [((F.col("k") * 7919 % 12000) / 100.0 - 60).alias("lat"), ((F.col("k") * 104729 % 36000) / 100.0 - 180).alias("lon")]
+
 
 
 def _cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as cities, placed by their keys."""
-    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("city_id"), F.col("s_suppkey").alias("k")).select("city_id", _LAT.alias("lat"), _LON.alias("lon"))
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("city_id"), F.col("s_suppkey").alias("k")).select("city_id", *_placed())
 
 
 def nearest_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN10, MTH5: the nearest city within 500 km of every customer."""
-    points = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 31 + 5).alias("k")).select("c_custkey", _LAT.alias("lat"), _LON.alias("lon"))
+    points = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 31 + 5).alias("k")).select("c_custkey", *_placed())
     return gazetteer.nearest_city(points, _cities(spark, sf_dir), "c_custkey", "lat", "lon", 500.0).select("c_custkey", "city_id", F.round("km", 6).alias("km"))
 
 
