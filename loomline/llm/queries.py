@@ -74,6 +74,20 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), u AS (
+            SELECT *, sqrt(list_dot_product(e, e)) AS size FROM v
+            WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), p AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+            WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= CAST(0.98 AS DOUBLE)
+        ), r AS (
+            SELECT vec_id AS node, vec_id AS reach FROM embeddings UNION SELECT r.node, p.b FROM r JOIN p ON r.reach = p.a
+        ), c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+        SELECT node AS vec_id, coalesce(n, 0) AS n_links, component_id, node = component_id AS kept FROM c LEFT JOIN n ON a = node
+    """,
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (

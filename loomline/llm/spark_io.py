@@ -1,50 +1,18 @@
-"""Small Spark helpers that the operators of this subpackage share."""
+"""Small helpers that the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
 
-#: Python code takes texts in slices of about so many bytes, whatever an Arrow batch holds.
-SLICE_BYTES = 4 << 20
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), a new local one."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(found)
-    return found
+from loomline.sources.shared import cut, read, scratch, shared_dir, stored
 
+__all__ = ["cut", "read", "scratch", "shared_dir", "slices", "stored"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint, so that later steps neither repeat the work nor grow the plan."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder; column pruning works on the way back, unlike with ``cut``."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Python code takes texts in slices of about so many bytes, whatever an Arrow batch holds.
+SLICE_BYTES = 4 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -52,7 +20,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = batch.column(text).cast(pa.large_binary()).fill_null(b"") if pa.types.is_null(batch.column(text).type) else batch.column(text).fill_null("")
+        lengths = batch.column(text).cast(pa.large_binary()).fill_null(b"")
         offsets = [0]
         total = 0
         for row, n in enumerate(pa.compute.binary_length(lengths).to_pylist()):

@@ -4,6 +4,7 @@ import pytest
 import xxhash
 
 from loomline.llm import simhash_dedup as S
+from loomline.operators.components import connected_components
 
 
 def brute(rows):
@@ -66,7 +67,7 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     for bucket in (2, 16, 10_000):
         links = S.fingerprint_links(spark.createDataFrame([(v,) for v in signed], "fp long"), pair_bucket=bucket)
-        found = S.connected_components(links).collect()
+        found = connected_components(links).collect()
         root = {r["node"]: r["root"] for r in found}
         label = {v: v for v in signed}
         for a in signed:
