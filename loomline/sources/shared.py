@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that their Python needs no path to it."""
+    context = spark.sparkContext
+    top = Path(__file__).resolve().parent.parent
+    if context.applicationId in _shipped or not top.is_dir():
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-package-"), f"{top.name}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the library. The package is sent along, since what is read may meet its Python code."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
