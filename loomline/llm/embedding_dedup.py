@@ -158,11 +158,11 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     ignored; an empty table gives no rows.
 
     Pairs of blocks whose first projections lie further apart than linked vectors can are left out, which loses none.
-    A task holds two blocks and gives back sums and a spanning forest, never pairs.
+    A task holds two blocks and gives back sums and a spanning forest, never pairs. Vectors are moved as they are
+    stored and become double where they are compared.
     """
-    vector = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     usable = F.col("label").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = table.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), vector.alias("vector")).withColumn("usable", F.coalesce(usable, F.lit(False)))
+    rows = table.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector")).withColumn("usable", F.coalesce(usable, F.lit(False)))
     distinct = rows.where("usable").groupBy("label", "vector").agg(F.min("id").alias("first"), F.count("*").alias("n")).withColumn("size", F.size("vector"))
     held = _blocked(distinct, threshold, block_rows)
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
