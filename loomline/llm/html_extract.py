@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 
 from loomline.llm.spark_io import cut, slices, stored
 
-#: A subtree is template if it is on so many pages of its host that differ in their text, and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.5
+#: A subtree is template if it is on so many pages of its host that differ in their text, and on this share of them; inside
+#: an article, where lines that many pages share may be its own, on the greater share.
+LEAST_PAGES, LEAST_SHARE, INSIDE_SHARE = 5, 0.5, 0.8
 
 # Names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -171,9 +172,9 @@ class Page:
                 out[self.parents[node]] = True
         return out
 
-    def kept(self, template: Iterable[int] = ()) -> list[bool]:
-        """Whether an element belongs to the main text by the rules and the host's template subtrees."""
-        template = frozenset(template)
+    def kept(self, template: Iterable[int] = (), sure: Iterable[int] = ()) -> list[bool]:
+        """Whether an element belongs to the main text by the rules and the host's template subtrees; ``sure`` are those that count inside an article."""
+        template, sure = frozenset(template), frozenset(sure)
         hashes = self.hashes() if template else None
         main, holder = self._holds(True), self._holds(False)
         keep, article = [True], [False]
@@ -186,7 +187,7 @@ class Page:
                 drop = bool(READERS.search(names)) or not main[node] and bool(NAMED.search(names)) and tag not in HEADINGS
             if tag == "header" and not holder[node] and not (inside and main[node]):
                 drop = True
-            if not drop and hashes and hashes[node] in template and tag not in ("html", "body", "article", "main"):
+            if not drop and hashes and hashes[node] in (sure if inside else template) and tag not in ("html", "body", "article", "main"):
                 drop = True
             keep.append(not drop)
         return keep
@@ -208,9 +209,9 @@ class Page:
         end()
         return "\n".join(blocks)
 
-    def text(self, template: Iterable[int] = ()) -> str:
+    def text(self, template: Iterable[int] = (), sure: Iterable[int] = ()) -> str:
         """Blocks of the articles; of the main element if there is none with text; else of the whole body."""
-        keep = self.kept(template)
+        keep = self.kept(template, sure)
         for wanted in ("article", "main"):
             if wanted in self.tags:
                 only = [False] * len(self.tags)
@@ -226,8 +227,8 @@ def host_of(url_col: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """Rows (host, template array<long>): the hashes of subtrees that recur on many pages of a host.
+def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, inside_share: float = INSIDE_SHARE) -> DataFrame:
+    """Rows (host, template array<long>, sure array<long>): the hashes of subtrees that recur on many pages of a host, and of those on more.
 
     Pages with the same text count as one, so that copies of an article don't make it a template.
     """
@@ -249,10 +250,11 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", le
     counts = cut(rows.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where((F.col("n") >= least_pages) | F.col("subtree").isNull()))
     per_host = counts.where("subtree IS NULL").select("host", F.col("n").alias("pages"))
     often = counts.where("subtree IS NOT NULL").join(per_host, "host").where(F.col("n") >= F.col("pages") * least_share)
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("template"))
+    sure = F.when(F.col("n") >= F.col("pages") * inside_share, F.col("subtree"))
+    return often.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("template"), F.sort_array(F.collect_list(sure)).alias("sure"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, inside_share: float = INSIDE_SHARE) -> DataFrame:
     """Rows (id_col, url, text, n_chars), one per row of ``pages``.
 
     The text is that of the article: its blocks in page order, one per line, references decoded and white space made
@@ -261,13 +263,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     that Spark sees their size before it chooses how to join. At ``least_share`` a host's list is no longer than two
     average pages have subtrees.
     """
-    known = stored(templates(pages, url_col, html_col, least_pages, least_share), "templates")
+    known = stored(templates(pages, url_col, html_col, least_pages, least_share, inside_share), "templates")
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_html"):
-            found = [Page(source).text(template or ()) for source, template in zip(b.column("_html").to_pylist(), b.column("template").to_pylist())]
+            columns = (b.column(c).to_pylist() for c in ("_html", "template", "sure"))
+            found = [Page(source).text(template or (), sure or ()) for source, template, sure in zip(*columns)]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], [f.name for f in schema.fields])
 
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).cast("string").alias("_html"), host_of(url_col).alias("host"))
-    return rows.join(known, "host", "left").select("_id", "_url", "_html", "template").mapInArrow(run, schema)
+    return rows.join(known, "host", "left").select("_id", "_url", "_html", "template", "sure").mapInArrow(run, schema)
