@@ -93,3 +93,8 @@ def undo_redo(events: DataFrame, key: str, order: str, action: str, value: str,
 
     kind = dict(events.dtypes)[key]
     return events.select(key, order, action, value).groupBy(key).applyInPandas(run, f"{key} {kind}, {value} string, undos long, redos long")
+
+
+def place_to_keep(own: Column, stored: Column, live: Column, state: Column) -> Column:
+    """The place suggestion that stands: none beside an own place, a decided one as it is, else the live one, else the stored one."""
+    return F.when(own.isNotNull(), F.lit(None)).when(state.isin("accepted", "dismissed"), stored).otherwise(F.coalesce(live, stored))

@@ -70,3 +70,20 @@ def consensus(df: DataFrame, keys: Sequence[str], order: str, value: str, sd: st
     total = F.aggregate("f", F.lit(0.0), lambda acc, x: acc + 1 / (x["s"] * x["s"]))
     mean = F.aggregate("f", F.lit(0.0), lambda acc, x: acc + x["v"] / (x["s"] * x["s"])) / total
     return best.select(*keys, mean.alias("v"), F.sqrt(1 / total).alias("sd"), F.size("f").cast("long").alias("n"), F.transform("f", lambda x: x["o"]).alias("members"))
+
+
+def robust_line(df: DataFrame, keys: Sequence[str], x: str, y: str, rounds: int = 4, floor: float = 0.5) -> DataFrame:
+    """Per group slope and intercept of a line fitted again and again to the points near the one before: keys, slope, intercept, n.
+
+    A point stays if its residual is within ``floor`` or three robust deviations of the round's points.
+    """
+    points = df.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
+
+    def fitted(p: DataFrame) -> DataFrame:
+        return p.groupBy(*keys).agg(F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"), F.count("*").alias("n"))
+
+    for _ in range(rounds - 1):
+        off = points.join(fitted(points), list(keys)).withColumn("_r", F.abs(F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_x"))).where("_r IS NOT NULL")
+        spread = off.groupBy(*keys).agg(F.percentile("_r", F.lit(0.5)).alias("_m"))
+        points = off.join(spread, list(keys)).where(F.col("_r") <= F.greatest(F.lit(floor), 3 * MAD * F.col("_m"))).select(*keys, "_x", "_y")
+    return fitted(points)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -14,16 +14,20 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application, so that their Python needs no path to it."""
+    """Sends this package to the executors, once per application and by way of the shared folder, so that their Python needs no path to it."""
     context = spark.sparkContext
     top = Path(__file__).resolve().parent.parent
     if context.applicationId in _shipped or not top.is_dir():
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-package-"), f"{top.name}.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(top.rglob("*.py")):
             z.write(f, f.relative_to(top.parent))
-    context.addPyFile(path)
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, top.name)}.zip")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(held.getvalue())
+    out.close()
+    context.addPyFile(path.toString())
     _shipped.add(context.applicationId)
 
 
