@@ -8,17 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomline.sources.shared import cut
+
 _NEAR = 1e-9
 
 
+def _cumulated(sums: DataFrame) -> DataFrame:
+    """Running weights of all values in order, without one task that holds them all: ranges of values are added up first, and each range starts from the sum of those before it."""
+    held = cut(sums.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()))
+    ranges = held.groupBy("_p").agg(F.sum("_w").alias("_s"), F.min("_v").alias("_f"))  # a row per partition
+    w = W.orderBy("_p")
+    starts = ranges.select("_p", F.coalesce(F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_o"), F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_t"), F.lead("_f").over(w).alias("_n"))
+    own = W.partitionBy("_p").orderBy("_v")
+    return held.join(F.broadcast(starts), "_p").select("_v", "_w", (F.col("_o") + F.sum("_w").over(own.rowsBetween(W.unboundedPreceding, 0))).alias("_c"), "_t", F.coalesce(F.lead("_v").over(own), "_n").alias("_next"))
+
+
 def weighted_median(df: DataFrame, keys: Sequence[str], value: Column, weight: Column, name: str = "median") -> DataFrame:
     """Per group the value where the cumulated weight passes half; exactly at half, the mean with the next value.
 
     Equal values are added up before the shuffle, so a large group costs as many rows as it has distinct values.
     """
     sums = df.select(*keys, value.alias("_v"), weight.alias("_w")).where("_v IS NOT NULL AND _w > 0").groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
-    w = W.partitionBy(*keys).orderBy("_v") if keys else W.partitionBy(F.lit(0)).orderBy("_v")
-    cumulated = sums.select("*", F.sum("_w").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("_c"), F.sum("_w").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_t"), F.lead("_v").over(w).alias("_next"))
+    w = W.partitionBy(*keys).orderBy("_v")
+    running = F.sum("_w").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("_c")
+    cumulated = sums.select("*", running, F.sum("_w").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_t"), F.lead("_v").over(w).alias("_next")) if keys else _cumulated(sums)
     reached = cumulated.where(F.col("_c") >= F.col("_t") / 2 - _NEAR)
     least = reached.groupBy(*keys).agg(F.min_by(F.struct("_v", "_c", "_t", "_next"), "_v").alias("m"))
     m = F.col("m")

@@ -94,7 +94,7 @@ LAST = "WITH l AS (SELECT o_custkey AS key, o_orderpriority AS value FROM orders
 
 
 def array_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ1, SET1, SET2, SET3, ARR1, ARR4: active parts of each order, tags joined and dropped, lists split in two."""
+    """PRJ1, SET1, ARR1, ARR4: active parts of each order, tags joined and dropped, lists split in two."""
     lines = read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("scans"))
     kept = F.filter("scans", lambda x: x % 3 != 0)
     active = lines.select(F.floor(F.col("l_orderkey") / 50).alias("tray"), F.col("l_orderkey").alias("pos"), F.when(F.size(kept) == 0, F.slice("scans", 1, 1)).otherwise(kept).alias("scans"), F.array_union(F.lit([1, 9]), "scans").alias("tags"))
@@ -128,7 +128,7 @@ def undo_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleanup_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT7, LIF6, VAL5: for each customer why its things can't be cleaned up yet."""
+    """FLT7: for each customer why its things can't be cleaned up yet."""
     o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.count_if(F.col("o_orderstatus") == "P").alias("pending"), F.max("o_totalprice").alias("most"))
     reasons = F.array(F.when(F.col("open") > 0, F.concat(F.col("open").cast("string"), F.lit(" open"))), F.when(F.col("pending") > 0, "pending"), F.when(F.col("most") > 400000, "large"))
     return o.select("o_custkey", F.array_join(F.filter(reasons, lambda x: x.isNotNull()), "; ").alias("reasons"))

@@ -93,7 +93,7 @@ SELECT p_partkey, CASE WHEN abs(a) <= 90 AND abs(o) <= 180 THEN a END AS lat, CA
 
 
 def eyes_and_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MTH9, MTH14, SRT10, MTH3: eye openness, turned boxes, overlap of histograms."""
+    """MTH9, MTH14, MTH3: eye openness, turned boxes, overlap of histograms."""
     k = F.col("p_partkey")
     box = [(k % 30) / 100.0, (k % 40) / 100.0, (k % 30) / 100.0 + 0.2, (k % 40) / 100.0 + 0.3]
     turned = vectors.turned_box(box, k % 4 * 90, k % 3 == 0)
