@@ -28,8 +28,8 @@ def nearest(queries: DataFrame, examples: DataFrame, query_id: str, order: str,
     """Rows (query_id, the example's columns, distance, rank): the k nearest examples of each query that lie within the distance.
 
     Distance is the root of the mean squared difference of standardised features. Examples are at most ``most``, so
-    they are broadcast and each query is ranked where it is, by a bounded heap of the aggregate, without a shuffle of
-    all pairs. Ties go to the earlier example.
+    they are broadcast, and Spark keeps the k best of each query in its task before it shuffles them. Ties go to the
+    earlier example.
     """
     few = newest_examples(examples, order, most)
     scale = standardised(few, features)
