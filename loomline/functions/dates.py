@@ -47,7 +47,7 @@ def window_of(start: Column, precision: Column) -> Column:
 
 def date_from_name(name: Column) -> Column:
     """The date a folder's name begins with: a year 1800-2099, then month and day if they are valid; otherwise an empty string."""
-    pattern = r"^\s*((?:18|19|20)\d\d)(?:[-_. ](\d{1,2})(?!\d)(?:[-_. ](\d{1,2})(?!\d))?)?"
+    pattern = r"^\s*((?:18|19|20)\d\d)(?:[-._](\d{1,2})(?:[-._](\d{1,2}))?)?(?!\d)"  # a fixed value
     part = lambda i: F.regexp_extract(name, pattern, i)
     month, day = (F.coalesce(F.nullif(part(i), F.lit("")).cast("int"), F.lit(0)) for i in (2, 3))
     whole = F.try_to_date(F.format_string("%s-%02d-%02d", part(1), month, day), "yyyy-MM-dd")

@@ -49,7 +49,7 @@ def coords_label(lat: Column, lon: Column) -> Column:
     return F.format_string("%.4f, %.4f", lat, lon)
 
 
-COORDS = r"^\s*(-?\d{1,3}(?:\.\d+)?)\s*[,; ]\s*(-?\d{1,3}(?:\.\d+)?)\s*$"
+COORDS = r"^\s*(-?\d{1,2}(?:\.\d+)?)\s*[,; ]\s*(-?\d{1,3}(?:\.\d+)?)\s*$"
 
 
 def parse_coords(text: Column) -> Column:

@@ -9,11 +9,36 @@ from pyspark.sql import functions as F
 from loomline.functions import text as X
 from loomline.functions.vectors import haversine_km
 
-# Words around a place name that speak for it or against it, and common words that are no place by themselves.
-CUES = ("in", "at", "from", "near", "of", "to", "visit", "welcome to", "greetings from")
-STREET_BEFORE = ("rue", "via", "calle", "avenue", "place", "piazza", "hotel", "cafe", "bar", "restaurant")
-STREET_AFTER = ("street", "st", "road", "rd", "avenue", "ave", "hotel", "cafe", "bar", "restaurant", "lane", "strasse")
-COMMON = ("the", "and", "for", "with", "from", "this", "that", "open", "sale", "shop", "main", "park", "police", "taxi", "stop")
+# Phrases that introduce a place, words that are a place's name too but mean something else on signs, and words
+# after or before which a name is that of a street, a house or a firm. All folded.
+CUES = (
+    "welcome to", "greetings from", "bienvenue a", "bienvenue au", "bienvenue en", "willkommen in", "benvenuti a", "benvenuti in", "benvenuto a", "bienvenidos a", "bienvenido a", "welkom in", "welkom te", "bem vindo a",
+    "bem vindos a", "vitajte v", "witamy w", "velkommen til", "valkommen till", "gruss aus", "grusse aus", "souvenir de", "ricordo di", "recuerdo de", "greetings of",
+)
+COMMON = tuple(
+    """bar nice split best deal mobile reading bath most sale open exit stop taxi bus hotel park post police bank
+museum center centre city beach station opera parking central university college victoria orange paradise
+hope independence union liberty concord hollywood harmony industry commerce enterprise progress victory
+welcome eden mission bay port porto santa san saint st east west north south la le de del el los las
+hall market gate bridge church castle lake mountain river valley view avenue street road place plaza
+cafe restaurant bakery pizza shop store tourist information entrance ausgang eingang sortie entree
+uscita entrata salida entrada zimmer frei rooms camping pension tabac apotheke pharmacie farmacia office
+marina airport metro plage playa coca cola castello riviera kodak agfa fuji ilford ektachrome kodachrome
+agfachrome sakura polaroid esso shell texaco total mobil garage auto sport grand royal palace imperial
+metropol metropole europa bellevue belvedere panorama miramar splendid excelsior savoy ritz astoria
+continental majestic ocean harbour harbor pier lido""".split()
+)
+STREET_BEFORE = tuple(
+    """via viale corso piazza piazzale largo vicolo rue avenue boulevard bd place quai chemin allee
+calle avenida plaza paseo carrer rua strasse str gasse platz weg straat laan plein hotel albergo pension
+gasthof gasthaus restaurant ristorante trattoria pizzeria cafe caffe bar brasserie hostal hostel
+pensione""".split()
+)
+STREET_AFTER = tuple(
+    """road street st avenue ave lane way square station airlines airline airways air express
+match hotel restaurant cafe bar strasse str gasse platz weg straat laan plein boulevard bd club fc
+bank insurance""".split()
+)
 BIG, LEAST, NEAREST_KM = 100_000, 0.3, 25.0
 
 
@@ -56,6 +81,14 @@ def nearest_city(points: DataFrame, cities: DataFrame, point_id: str, lat: str,
     return met.groupBy(point_id).agg(F.min(F.struct("km", "city_id")).alias("b")).select(point_id, "b.city_id", "b.km")
 
 
+def with_line_pairs(lines: DataFrame, item: str, number: str, text: str, confidence: str) -> DataFrame:
+    """Rows (item, text, confidence): every line, and every two in a row together, as sure as the less sure one: a cue may end a line."""
+    w = W.partitionBy(item).orderBy(number)
+    rows = lines.select(item, text, confidence, F.lead(text).over(w).alias("_t"), F.lead(confidence).over(w).alias("_c"))
+    pairs = rows.where("_t IS NOT NULL").select(item, F.concat_ws(" ", text, "_t").alias(text), F.least(confidence, "_c").alias(confidence))
+    return rows.select(item, text, confidence).unionByName(pairs)
+
+
 def places_in_text(lines: DataFrame, keys: DataFrame, line_id: str, text: str, confidence: Column | None = None) -> DataFrame:
     """Rows (line_id, city_id, confidence): the best place each line of text names.
 
@@ -74,10 +107,10 @@ def places_in_text(lines: DataFrame, keys: DataFrame, line_id: str, text: str, c
     inside = (F.col(line_id) == F.col("_l")) & (F.col("_n") > F.col("n")) & (F.col("_at") <= F.col("at")) & (F.col("_at") + F.col("_n") >= F.col("at") + F.col("n"))
     free = found.join(longer, inside, "left_anti")
     before = F.array_join(F.slice("_words", F.greatest(F.col("at") - 2, F.lit(1)), F.least(F.col("at"), F.lit(3))), " ")
-    cue = F.exists(F.array(*[F.lit(c) for c in CUES]), lambda c: (before == c) | before.endswith(F.concat(F.lit(" "), c)))
+    cue = F.exists(F.array(*[F.lit(c) for c in CUES]), lambda c: before.endswith(c))
     last = F.when(F.col("at") > 0, F.get("_words", F.col("at") - 1)).otherwise("")
     after = F.coalesce(F.get("_words", F.col("at") + F.col("n")), F.lit(""))
-    plain = (F.length("key") >= 4) & ~F.col("key").isin(*COMMON) & ~F.col("key").rlike("^[0-9 ]+$") & ~last.isin(*STREET_BEFORE) & ~after.isin(*STREET_AFTER) & (F.col("is_primary") | (F.col("pop") >= BIG))
+    plain = (F.length(F.replace("key", F.lit(" "), F.lit(""))) >= 4) & ~F.col("key").isin(*COMMON) & ~F.col("key").rlike("^[0-9 ]+$") & ~last.isin(*STREET_BEFORE) & ~after.isin(*STREET_AFTER) & (F.col("is_primary") | (F.col("pop") >= BIG))
     base = F.when(cue, 0.9).when(plain, F.when(F.length("key") >= 6, 0.6).otherwise(0.45))
     scored = free.withColumn("confidence", base * F.col("_c") * (0.5 + 0.5 * F.col("_share"))).where(F.col("confidence") >= LEAST)
     best = scored.groupBy(line_id).agg(F.min(F.struct((-F.col("confidence")).alias("c"), F.col("at"), F.col("city_id").alias("city_id"))).alias("b"))

@@ -10,7 +10,8 @@ scans map<string, struct<file: string, source: string, size: bigint, sha1: strin
 groups array<struct<id: string, scans: array<string>, excluded: array<string>, rotation: int, reviewed: boolean, skip: boolean, date: string, caption: string, tags: array<string>, stock: string,
     place: struct<name: string, lat: double, lon: double, country: string>, developed_at: double, locked: string>>"""
 FACES = "slides map<string, struct<key: string, faces: array<struct<id: string, box: array<double>, score: double, emb: string, age: double, manual: boolean>>>>"
-RAW_ENDINGS = ("nef", "cr2", "cr3", "arw", "dng", "raf", "orf", "rw2")
+# Endings of raw files, and the columns of the gazetteer files.
+RAW_ENDINGS = ("dng", "cr2", "cr3", "nef", "arw", "orf", "raf")
 SCAN_ENDINGS = (*RAW_ENDINGS, "jpg", "jpeg", "tif", "tiff")
 CITY_COLUMNS = "id name ascii alts lat lon fclass fcode cc cc2 admin1 admin2 admin3 admin4 pop elevation dem tz modified".split()
 

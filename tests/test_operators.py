@@ -158,6 +158,9 @@ def test_gazetteer(spark):
     found = {r.p: r.city_id for r in gazetteer.nearest_city(points, cities, "p", "lat", "lon", 200.0).collect()}
     assert found == {1: 1, 3: 7}
     lines = spark.createDataFrame([(1, "Greetings from Venice"), (2, "Via Florence 3"), (3, "Innsbruck 1975"), (4, "Bar"), (5, "nothing here"), (6, None)], "l long, t string")
+    two = spark.createDataFrame([("s", 1, "WELCOME TO", 0.9), ("s", 2, "VENICE", 0.8), ("t", 1, "x", 1.0)], "s string, n int, t string, c double")
+    joined = gazetteer.with_line_pairs(two, "s", "n", "t", "c")
+    assert [(r.s, r.city_id, round(r.confidence, 4)) for r in gazetteer.places_in_text(joined.withColumnRenamed("c", "ocr"), keys, "s", "t", F.col("ocr")).collect()] == [("s", 1, round(0.9 * 0.8 * (0.5 + 0.5 * 51 / 73), 4))]
     text_found = {r.l: (r.city_id, round(r.confidence, 4)) for r in gazetteer.places_in_text(lines, keys, "l", "t").collect()}
     assert text_found[1] == (1, round(0.9 * (0.5 + 0.5 * 51 / 73), 4)) and text_found[3] == (5, 0.6) and set(text_found) == {1, 3}
 
