@@ -37,12 +37,17 @@ PARTS = (
 NAMED = re.compile(rf"(?:^|[\s_-])(?:{PARTS})(?=[\s_-]|$)|(?:^|\s)(?:{PARTS})\d*(?=\s|$)")
 READERS = re.compile(r"(?:^|[\s_-])(?:comment|comments|reply|replies|respond|disqus|discussion)(?=[\s_-]|$)")
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>|<(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[\"'])*?)>", re.S
-)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# An attribute as browsers read it: a quote opens a value only after an equals sign and runs to the next one like it,
+# however long; one that never closes is a character like others. Every part is possessive, so a tag is read once.
+_VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s>][^\s>]*+|(?=>)"
+_NAME = r"[^\s/>][^\s/>=]*+"
+_OTHER = r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>|<(?P<tag>[a-zA-Z][^\s/>]*+)"
+_LOST = r"|(?P<lost><(?:[!?]|/?[a-zA-Z]))"
+_TOKEN = re.compile(rf"{_OTHER}(?P<attrs>(?:[\s/]++|{_NAME}(?:\s*+=\s*+(?:{_VALUE}))?+)*+)>{_LOST}", re.S)
+#: Without quotes, for the rest of a page once a tag has found no end outside of them.
+_PLAIN = re.compile(rf"{_OTHER}(?P<attrs>[^>]*+)>{_LOST}", re.S)
+_ATTR = re.compile(rf"({_NAME})(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 _WANTED = re.compile(r"class|id\s*=|role|hidden|style", re.I)
-_DEPTH = 400
 
 
 class Page:
@@ -55,18 +60,23 @@ class Page:
         self.hidden: list[bool] = [False]
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where a block begins or ends
         self.children: list[list[int | str]] = [[]]
+        #: Where on the stack the open elements of a name are, and the open blocks.
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
         self._read(source or "")
 
     def _read(self, source: str) -> None:
-        stack, at = [0], 0
-        search = _TOKEN.search
-        while True:
-            m = search(source, at)
-            text = source[at : m.start()] if m else source[at:]
-            if text:
-                self._text(stack[-1], text)
+        stack, at, seek = [0], 0, 0
+        search, last = _TOKEN.search, source.rfind(">") + 1
+        while seek < last:
+            m = search(source, seek)
             if not m:
                 break
+            if m["lost"]:
+                search, seek = _PLAIN.search, m.start()
+                continue
+            if m.start() > at:
+                self._text(stack[-1], source[at : m.start()])
             at = m.end()
             if tag := m["tag"]:
                 tag = tag.lower()
@@ -76,9 +86,13 @@ class Page:
                     if tag not in DROPPED and end is not None:
                         self._text(node, source[at : end.start()])
                     at = end.end() if end else len(source)
-                    stack.pop()
+                    self._cut(stack, len(stack) - 1)
             elif tag := m["end"]:
                 self._close(stack, tag.lower())
+            seek = at
+        comment = source.find("<!--", at)
+        if text := source[at:comment] if comment >= 0 else source[at:]:
+            self._text(stack[-1], text)
 
     def _text(self, node: int, text: str) -> None:
         self.events.append((node, text))
@@ -117,34 +131,34 @@ class Page:
             self.events.append((node, None))
         elif tag in ("br", "wbr"):
             self.events.append((parent, " " if tag == "br" else ""))
-        if tag not in VOID and (len(stack) < _DEPTH or tag in RAW):
+        if tag not in VOID:
+            self.depths.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                self.blocks.append(len(stack))
             stack.append(node)
         return node
 
     def _imply(self, stack: list[int], closed: tuple[str, ...], bounds: tuple[str, ...]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[depth]]
-            if tag in closed:
-                self._cut(stack, depth)
-                return
-            if tag in bounds:
-                return
+        depth = self._deepest(closed)
+        if depth and depth > self._deepest(bounds):
+            self._cut(stack, depth)
+
+    def _deepest(self, tags: tuple[str, ...]) -> int:
+        return max((held[-1] for t in tags if (held := self.depths.get(t))), default=0)
 
     def _close(self, stack: list[int], tag: str) -> None:
-        inline = tag not in BLOCK
-        for depth in range(len(stack) - 1, 0, -1):
-            held = self.tags[stack[depth]]
-            if held == tag:
-                self._cut(stack, depth)
-                return
-            if inline and held in BLOCK:
-                return
-        if tag == "p":
+        depth = self._deepest((tag,))
+        if depth and (tag in BLOCK or depth > self.blocks[-1]):
+            self._cut(stack, depth)
+        elif tag == "p":
             self.events.append((stack[-1], None))
 
     def _cut(self, stack: list[int], depth: int) -> None:
         for node in stack[depth:]:
-            if self.tags[node] in BLOCK:
+            tag = self.tags[node]
+            self.depths[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
                 self.events.append((node, None))
         del stack[depth:]
 

@@ -62,3 +62,29 @@ def test_lines_that_articles_share(spark):
 
 def test_empty(spark):
     assert X.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+LONG = "A" * 5000
+QUOTED = [
+    (f'<img src="data:image/png;base64,{LONG}"><p>First</p><a href="/x">link</a><p>Second</p>', "First\nlink\nSecond"),
+    (f"<p data-x='{{\"a\": \"{LONG}>\"}}' title=\"b\">First</p><aside class='c'>no</aside><p>Second</p>", "First\nSecond"),
+    ("<p title=it's>First</p><nav>Menu</nav><p>don't</p>", "First\ndon't"),
+    ('<p title="a"">First</p><nav>Menu</nav><p title="b">Second</p>', "First\nSecond"),
+    ('<p>First</p><p title="open>Second</p><p>Third</p>', "First\nSecond\nThird"),
+    ("<p>First</p><a b='>' c <p>Second</p>", "First\nSecond"),
+    ("<div class='sidebar'>" + "<div>" * 500 + "</div>" * 480 + "<p>no</p>" + "</div>" * 21 + "<p>First</p>", "First"),
+]
+
+
+@pytest.mark.parametrize("source, want", QUOTED)
+def test_attribute_values_of_any_length_and_any_depth(source, want):
+    assert X.Page(source).text() == want
+
+
+@pytest.mark.parametrize("source", ["<a b='>'<a c " * 20000, "<a" * 300000 + ">", "<p " + '"' * 100000, "<div>" * 50000 + "</section>" * 50000, "<i><div>" + "<b>" * 50000 + "</i>" * 50000, "<a b='" * 30001 + ">x"])
+def test_broken_pages_take_no_long_time(source):
+    import time
+
+    start = time.perf_counter()
+    X.Page(source).text()
+    assert time.perf_counter() - start < 20
