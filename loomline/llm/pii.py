@@ -14,7 +14,14 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Added kinds: a bank account number, and single runs of digits inside a longer chain that the card pattern rejects.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+# An IBAN is as long as its country says, whatever words follow; codes that are in no register run as far as they go.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_HEAD = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
+_LISTED = "|".join(c.replace(" ", "|") for c in IBAN_LENGTHS.values())
+IBAN = rf"^(?:{'|'.join(rf'(?:{c.replace(" ", "|")})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}' for n, c in IBAN_LENGTHS.items())}|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])"
 RUN = r"(?<![0-9])[0-9]{13,19}+(?![0-9])"
 
 BASE = ("email", "ip", "card", "phone")
@@ -54,6 +61,14 @@ def mod97(word: Column) -> Column:
     return (rest == 1) & F.length(plain).between(15, 34)
 
 
+def _ibans(text: Column) -> Column:
+    """Spans of IBANs that mod-97 confirms. Each head in the text is tried, so that one that fails hides none behind it."""
+    heads = F.transform(spans(text, IBAN_HEAD), lambda s: F.struct(s["start"].alias("start"), F.regexp_extract(F.substring(text, s["start"] + 1, F.lit(68)), IBAN, 0).alias("word")))
+    found = F.transform(F.filter(heads, lambda s: mod97(s["word"])), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["word"])).alias("end"), s["word"].alias("word")))
+    start = F.expr("CAST(array() AS array<struct<start:int,end:int,word:string>>)")
+    return F.aggregate(found, start, lambda acc, s: F.when(F.exists(acc, lambda x: x["end"] > s["start"]), acc).otherwise(F.concat(acc, F.array(s))))
+
+
 def _byte_parts(word: Column) -> Column:
     """True if the four numbers are at most 255, leading zeros aside."""
     plain = F.transform(F.split(word, r"\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", ""))
@@ -64,7 +79,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     """Rows (id_col, one array<struct<start, end, word, score>> per kind, then ``keep``), one per row of ``docs``.
 
     Positions are code points, ends exclusive. Per kind, matches are the leftmost that don't overlap; those that fail
-    their validator are dropped without a second try. A cue within ``NEAR`` characters raises the score, a
+    their validator are dropped without a second try (an IBAN that fails takes no place). A cue within ``NEAR`` characters raises the score, a
     counter-cue lowers it; added kinds (iban, run) under ``least_score`` go, base kinds stay. A null or empty text has
     no spans; repeated rows and null ids are kept; other columns are ignored. No shuffle.
     """
@@ -76,7 +91,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
         "ip": F.filter(spans(t, IP), lambda s: _byte_parts(s["word"])),
         "card": F.filter(spans(t, CARD), lambda s: F.length(digits(s["word"])).between(13, 19) & luhn(digits(s["word"]))),
         "phone": F.filter(spans(t, PHONE), lambda s: F.length(digits(s["word"])).between(9, 15)),
-        "iban": F.filter(spans(t, IBAN), lambda s: mod97(s["word"])),
+        "iban": _ibans(t),
         "run": F.filter(spans(t, RUN), lambda s: luhn(s["word"])),
     }
 

@@ -87,6 +87,23 @@ def test_added_kinds_scores_and_redaction(spark):
     assert clean == sorted([(1, "pay to IBAN <IBAN> now", "a"), (2, "GB82 WEST 1234 5698 7654 33", "b"), (3, "<RUN> <RUN>", "c"), (4, None, "d"), (5, "mail me: <EMAIL>, call <PHONE>.", "e"), (5, "plain", None)], key=str)
 
 
+def test_ibans_before_other_words(spark):
+    """What follows an IBAN, capitals and digits too, is no part of it; a head that fails hides none behind it."""
+    iban = "DE89370400440532013000"
+    parts = [
+        (f"IBAN {iban} Please pay", iban), (f"IBAN {iban} BIC COBADEFFXXX", iban), (f"IBAN {iban} OR 12", iban), (f"{iban} 12", iban), (f"pay {iban}", iban), (f"NO12 3456 {iban} now", iban), ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00"),
+        ("NO9386011117947 GB82WEST12345698765432 FR1420041010050500013M02606", "NO9386011117947,GB82WEST12345698765432,FR1420041010050500013M02606"), (f"\U0001f600 é {iban}. X", iban), (f"{iban}X", ""), ("DE89370400440532013001 Please", ""), ("MT84MALT011000012345MTLCAST001S A", "MT84MALT011000012345MTLCAST001S"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(parts)], "doc_id long, text string")
+    got = {r.doc_id: r.iban for r in pii.scan(docs).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    for i, (text, want) in enumerate(parts):
+        assert ",".join(s.word for s in got[i]) == want and all(text[s.start : s.end] == s.word for s in got[i]), text
+        for word in filter(None, want.split(",")):
+            text = text.replace(word, "<IBAN>")
+        assert clean[i] == text
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.scan(docs).collect() == secret_scan.scan(docs).collect() == pii.redact(docs).collect() == []
