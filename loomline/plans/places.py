@@ -52,12 +52,21 @@ m AS (SELECT p_partkey, city_id, min((key <> q, NOT pr, -pop)) AS r FROM q JOIN
 SELECT p_partkey, city_id, row_number() OVER (PARTITION BY p_partkey ORDER BY r, city_id) AS rank FROM m QUALIFY rank <= 8"""
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
 def places_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR7, JN12, UDF3: the place that each document's first line names."""
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
-    cities = read(spark, sf_dir, "documents").select(F.explode(F.slice(F.split(X.fold(F.substring_index("text", "\n", 1)), " "), 2, 1)).alias("name")).where("length(name) >= 4").groupBy("name").agg((F.count("*") * 1000).alias("pop"))
+    """STR7, JN12, UDF3: the best place that the lines of each document name, and every two lines in a row."""
+    cities = _lines(spark, sf_dir).select(F.get(F.split(X.fold(F.col("line")), " "), F.lit(1)).alias("name")).where("length(name) >= 4").groupBy("name").agg((F.count("*") * 1000).alias("pop"))
     cities = cities.select(F.crc32(F.col("name").cast("binary")).alias("city_id"), "name", F.array(F.substring("name", 1, 4)).alias("alts"), "pop")
-    return gazetteer.places_in_text(lines, gazetteer.city_keys(cities), "doc_id", "line").select("doc_id", "city_id", F.round("confidence", 9).alias("confidence"))
+    lines = F.split("text", "\n")
+    n = F.size(lines) - 1
+    pairs = F.zip_with(F.slice(lines, F.lit(1), n), F.slice(lines, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+    texts = read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.concat(lines, pairs)).alias("at", "line")).select("doc_id", F.struct("doc_id", "at").alias("line_id"), "line")
+    found = gazetteer.places_in_text(texts, gazetteer.city_keys(cities), "line_id", "line")
+    best = found.groupBy(F.col("line_id.doc_id").alias("doc_id")).agg(F.min(F.struct((-F.col("confidence")).alias("less"), F.col("line_id.at").alias("at"), "city_id")).alias("b"))
+    return best.select("doc_id", "b.city_id", F.round(-F.col("b.less"), 9).alias("confidence"))
 
 
 def folded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +84,18 @@ SELECT doc_id, {_FOLD.format(x="replace(lower(line), 'ß', 'ss')")} AS folded, C
     CASE WHEN cap = '' THEN '' WHEN regexp_matches(cap, '[.!?]$') THEN upper(cap[1]) || cap[2:] ELSE upper(cap[1]) || cap[2:] || '.' END AS caption FROM c"""
 
 
+def folded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR1, STR2, STR3, STR15: folded words, slugs and tags of every line of the documents, whole."""
+    line = F.col("line")
+    return _lines(spark, sf_dir).select("doc_id", "line_no", X.fold(line).alias("folded"), X.slugify(line).alias("slug"), F.array_join(X.clean_tags(F.split("line", ",")), "|").alias("tags"), X.tidy(line).alias("caption"))
+
+
+FOLDED_LINES = (
+    FOLDED.replace(f"SELECT doc_id, {_LINE} AS line FROM documents", "SELECT doc_id, CAST(n - 1 AS INTEGER) AS line_no, ls[n] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))")
+    .replace("SELECT doc_id, trim", "SELECT doc_id, line_no, trim")
+)
+
+
 def parsed_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR6, STR8, STR5, STR14, DAT1, DAT9: coordinates, dates in names, labels, escapes."""
     k = F.col("p_partkey")
@@ -105,5 +126,5 @@ EYES = """WITH x AS (SELECT p_partkey, p_partkey % 4 AS q, CAST(p_partkey % 30 A
 y AS (SELECT *, CASE q WHEN 1 THEN 1 - b WHEN 2 THEN 1 - r WHEN 3 THEN t ELSE l END AS l2, CASE q WHEN 1 THEN l WHEN 2 THEN 1 - b WHEN 3 THEN 1 - r ELSE t END AS t2, CASE q WHEN 1 THEN 1 - t WHEN 2 THEN 1 - l WHEN 3 THEN b ELSE r END AS r2, CASE q WHEN 1 THEN r WHEN 2 THEN 1 - t WHEN 3 THEN 1 - l ELSE b END AS b2 FROM x)
 SELECT p_partkey, round(greatest(least((l - CAST(0.1 AS DOUBLE)) / CAST(0.08 AS DOUBLE), 1), 0), 9) AS open, round(CASE WHEN p_partkey % 3 = 0 THEN 1 - r2 ELSE l2 END, 9) AS l, round(t2, 9) AS t, round(CASE WHEN p_partkey % 3 = 0 THEN 1 - l2 ELSE r2 END, 9) AS r, round(b2, 9) AS b, round(sqrt(h * g) + sqrt((1 - h) * (1 - g)), 9) AS alike FROM y"""
 
-QUERIES = {f.__name__: f for f in (nearest_city, prefix_search, places_in_text, folded_sources, parsed_strings, eyes_and_boxes)}
-ORACLES = {"nearest_city": NEAREST, "prefix_search": PREFIX, "folded_sources": FOLDED, "parsed_strings": PARSED, "eyes_and_boxes": EYES}
+QUERIES = {f.__name__: f for f in (nearest_city, prefix_search, places_in_text, folded_sources, folded_lines, parsed_strings, eyes_and_boxes)}
+ORACLES = {"nearest_city": NEAREST, "prefix_search": PREFIX, "folded_sources": FOLDED, "folded_lines": FOLDED_LINES, "parsed_strings": PARSED, "eyes_and_boxes": EYES}

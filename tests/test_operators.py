@@ -165,6 +165,17 @@ def test_gazetteer(spark):
     assert text_found[1] == (1, round(0.9 * (0.5 + 0.5 * 51 / 73), 4)) and text_found[3] == (5, 0.6) and set(text_found) == {1, 3}
 
 
+def test_places_and_folded_words_of_all_lines(spark, tmp_path):
+    from loomline.plans import places
+
+    texts = [(1, "one venezia\nnothing\nGreetings from\nvenezia today"), (2, "x\n" + "word " * 40 + "\nGreetings from Venezia"), (3, None), (4, "plain"), (5, "a bologna\n\nb venezia\nin bologna")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.confidence for r in places.places_in_text(spark, str(tmp_path)).collect()}
+    assert got == {1: 0.9, 2: 0.9, 5: 0.6}
+    folded = {(r.doc_id, r.line_no): r.folded for r in places.folded_lines(spark, str(tmp_path)).collect()}
+    assert len(folded) == 13 - 1 and folded[2, 1] == " ".join(["word"] * 40) and folded[1, 3] == "venezia today" and folded[5, 1] == ""
+
+
 def test_merge_keeps_rows_of_each_side(spark):
     s = "id long, v string"
     raw = spark.createDataFrame([(1, "raw"), (2, "raw"), (3, "raw"), (6, "raw")], s)
