@@ -176,6 +176,19 @@ def test_places_and_folded_words_of_all_lines(spark, tmp_path):
     assert len(folded) == 13 - 1 and folded[2, 1] == " ".join(["word"] * 40) and folded[1, 3] == "venezia today" and folded[5, 1] == ""
 
 
+def test_queries_over_all_rows(spark):
+    """Every order, person and prefix has its rows."""
+    from loomline.plans import lifecycle as plans
+    from loomline.plans import matching as cards
+    from loomline.plans import places
+
+    sf = "/root/testdata/sf0.001"
+    count = lambda name, c: spark.read.parquet(f"{sf}/{name}.parquet").select(c).distinct().count()
+    assert plans.array_edits_all(spark, sf).groupBy("tray").count().count() == spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("floor(l_orderkey / 50)").distinct().count()
+    assert sorted(r.place for r in cards.person_cards_all(spark, sf).collect()) == list(range(1, count("customer", "c_custkey") + 1))
+    assert places.prefix_search_all(spark, sf).select("p_partkey").distinct().count() == count("part", "p_partkey")
+
+
 def test_merge_keeps_rows_of_each_side(spark):
     s = "id long, v string"
     raw = spark.createDataFrame([(1, "raw"), (2, "raw"), (3, "raw"), (6, "raw")], s)
