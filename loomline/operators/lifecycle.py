@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,25 +75,47 @@ def split_at(df: DataFrame, keys: Sequence[str], pos: str, items: str, at: Colum
 
 
 def undo_redo(events: DataFrame, key: str, order: str, action: str, value: str, start: str = "") -> DataFrame:
-    """The value of each key after edits, undos and redos in order: a new edit clears what could be redone."""
-    import pandas as pd
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        now, undo, redo = start, [], []
-        for a, v in part.sort_values(order)[[action, value]].itertuples(index=False):
-            if a == "edit":
-                undo.append(now)
-                now, redo = v, []
-            elif a == "undo" and undo:
-                redo.append(now)
-                now = undo.pop()
-            elif a == "redo" and redo:
-                undo.append(now)
-                now = redo.pop()
-        return pd.DataFrame({key: [part[key].iloc[0]], value: [now], "undos": [len(undo)], "redos": [len(redo)]})
+    """The value of each key after edits, undos and redos in order: a new edit clears what could be redone.
 
+    Spark deals out the rows by key and sorts them; a task walks them batch by batch and holds no more of a key than
+    what can be undone and redone.
+    """
     kind = dict(events.dtypes)[key]
-    return events.select(key, order, action, value).groupBy(key).applyInPandas(run, f"{key} {kind}, {value} string, undos long, redos long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, undo, redo, first = None, start, [], [], True
+        done: list[tuple] = []
+        key_type = None
+
+        def rows() -> pa.RecordBatch:
+            columns = list(zip(*done))
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (key_type, pa.string(), pa.int64(), pa.int64()))], [key, value, "undos", "redos"])
+
+        for batch in batches:
+            key_type = batch.column(0).type
+            for k, a, v in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if first or k != held:
+                    if not first:
+                        done.append((held, now, len(undo), len(redo)))
+                    held, now, undo, redo, first = k, start, [], [], False
+                if a == "edit":
+                    undo.append(now)
+                    now, redo = v, []
+                elif a == "undo" and undo:
+                    redo.append(now)
+                    now = undo.pop()
+                elif a == "redo" and redo:
+                    undo.append(now)
+                    now = redo.pop()
+            if done:
+                yield rows()
+        if not first:
+            done.append((held, now, len(undo), len(redo)))
+            yield rows()
+
+    sorted_rows = events.repartition(F.col(key)).sortWithinPartitions(F.col(key), F.asc_nulls_last(order))
+    return sorted_rows.select(key, action, F.col(value).cast("string").alias(value)).mapInArrow(run, f"{key} {kind}, {value} string, undos long, redos long")
 
 
 def place_to_keep(own: Column, stored: Column, live: Column, state: Column) -> Column:

@@ -203,6 +203,29 @@ def test_undo_and_redo(spark):
     assert (r.v, r.undos, r.redos) == ("3", 2, 0)
 
 
+def test_undo_and_redo_walk_the_batches(spark):
+    """Keys over many batches and several keys in one; no group goes whole into one call."""
+    rows = [(k, i, ("undo" if i % 4 == 0 else "redo" if i % 9 == 0 else "edit"), f"{k}{i}") for k in ("a", "b", None) for i in range(1, 26)]
+    rows += [("c", 2, "undo", None), ("c", 1, "edit", "1")]
+    want = {}
+    for k, _, a, v in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        now, undo, redo = want.get(k, ("", [], []))
+        if a == "edit":
+            now, undo, redo = v, [*undo, now], []
+        elif a == "undo" and undo:
+            now, undo, redo = undo[-1], undo[:-1], [*redo, now]
+        elif a == "redo" and redo:
+            now, undo, redo = redo[-1], [*undo, now], redo[:-1]
+        want[k] = now, undo, redo
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = lifecycle.undo_redo(spark.createDataFrame(rows, "k string, i long, a string, v string"), "k", "i", "a", "v")
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+        assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(str((k, n, len(u), len(r))) for k, (n, u, r) in want.items())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_interval_join_across_months(spark):
     from datetime import date
 
