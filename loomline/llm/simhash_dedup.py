@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,15 +40,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_col, fp long), one per row of ``docs``."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    """Rows (id_col, text_key long, fp long), one per row of ``docs``; with the id, the key of a text tells rows apart that repeat an id."""
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("text_key", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             found = [fingerprint(x) for x in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found, pa.int64())], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), pa.array(found, pa.int64())], [f.name for f in schema.fields])
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), text.alias("_text")).mapInArrow(run, schema)
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -91,6 +92,18 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, pair_bucket: int = P
     return pairs.unionByName(stars).distinct()
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """Rows (id_col, text_key, fp, root, component_id), one per row of ``docs``; root is a fingerprint that names the component."""
+    thin = cut(fingerprints(docs, id_col, text_col))
+    fps = cut(thin.groupBy("fp").agg(F.min(id_col).alias("first")))
+    roots = cut(connected_components(fingerprint_links(fps.select("fp"), radius)))
+    members = roots.join(fps, roots["node"] == fps["fp"]).select("fp", "root", "first")
+    firsts = members.groupBy("root").agg(F.min("first").alias("component_id"))
+    linked = members.join(firsts, "root").select("fp", "root", "component_id")
+    named = fps.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    return thin.join(named, "fp").select(id_col, "text_key", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """Rows (id_col, fingerprint 16 hex digits, component_id), one per row of ``docs``.
 
@@ -100,22 +113,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns of ``docs`` are ignored and an empty table gives no rows. Texts are read once; from then on only ids and
     fingerprints move, and equal fingerprints are one node.
     """
-    thin = cut(fingerprints(docs, id_col, text_col))
-    fps = cut(thin.groupBy("fp").agg(F.min(id_col).alias("first")))
-    roots = cut(connected_components(fingerprint_links(fps.select("fp"), radius)))
-    members = roots.join(fps, roots["node"] == fps["fp"]).select("fp", "root", "first")
-    firsts = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = members.join(firsts, "root").select("fp", "component_id")
-    named = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return thin.join(named, "fp").select(id_col, shown.alias("fingerprint"), "component_id")
+    return _grouped(docs, id_col, text_col, radius).select(id_col, shown.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row with the smallest id, and one row of each id.
+    """Of each component of near copies one row of ``docs``, with all its columns; the decision is on rows, not on ids.
 
-    Rows without an id can't be named by a decision and all stay. The texts are shuffled once, by id.
+    The row stays that has the component's smallest id; of several the one with the least fingerprint, then the least
+    hash of the text, then the first by its other columns written as JSON, so the order of the rows decides nothing.
+    An id that several texts share stays once for each component that it leads. Rows without an id stay only where
+    no row of their component has one. The texts are shuffled once, by id and hash.
     """
-    kept = near_duplicates(docs, id_col, text_col, radius).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    leads = _grouped(docs, id_col, text_col, radius).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    kept = leads.groupBy("root").agg(F.min(F.struct("fp", "text_key", F.col(id_col).alias("id"))).alias("_k")).select(F.col("_k.id").alias("_kept_id"), F.col("_k.text_key").alias("_kept_key"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_key"))
+    named = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
+    others = F.to_json(F.struct(*[F.col(f"_row.`{c}`") for c in docs.columns if c != text_col]))
+    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(others))).where("_n = 1")
+    return first.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

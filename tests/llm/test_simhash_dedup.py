@@ -91,6 +91,21 @@ def test_keep_one(spark):
     assert sorted(tuple(r) for r in S.keep_one(docs).collect()) == [(1, "A b c d", "y"), (2, "other words here now", None)]
 
 
+def test_keep_one_decides_on_rows(spark):
+    """Ids that repeat with other texts: no text is lost, no copy stays, whatever the order of the rows."""
+    a, b = "words of the text a in a row", "another text that is not like it"
+    rows = [(1, a, "k"), (5, a, "k"), (5, b, "k"), (7, b, "k")]
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+        assert sorted(tuple(r) for r in S.keep_one(docs).collect()) == [(1, a, "k"), (5, b, "k")]
+    rows = [(3, a, "y"), (3, a, "x"), (3, b, None), (None, a, "z"), (None, "only without id", "2"), (None, "only without id", "1"), (4, None, "n"), (9, "", "m")]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, extra string").repartition(3)
+        assert sorted((tuple(r) for r in S.keep_one(docs).collect()), key=str) == sorted([(3, a, "x"), (3, b, None), (None, "only without id", "1"), (4, None, "n")], key=str)
+
+
 def test_long_text_in_chunks(monkeypatch):
     text = " ".join(str(i % 97) for i in range(1000))
     whole = S.fingerprint(text)
