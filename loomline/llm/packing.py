@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.spark_io import slices
+from loomline.llm.spark_io import slices, stored
 
 WINDOW = 2048
 END_ID = 1
-#: Each packing task numbers its sequences from its own multiple of this.
+#: Each task numbers its sequences from its own multiple of this: full windows by even numbers, packed rests by odd ones.
 SEQUENCES_PER_TASK = 1 << 40
+#: Rests that one packing task takes on average.
+RESTS_PER_TASK = 1 << 17
 
 
 class CapacityTree:
@@ -105,9 +107,12 @@ class Encoder:
         return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or any(x in text for x in self.added):
-            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
+        if self.fast is not None and not any(x in text for x in self.added):
+            try:
+                return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
+            except ValueError:  # a run of white space beyond what its pattern matcher can go back over
+                pass
+        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def bytes_of_letters() -> dict[str, int]:
@@ -118,17 +123,19 @@ def bytes_of_letters() -> dict[str, int]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Tokenized documents cut into full windows and one rest: id_col, start, length, ids_crc32, doc_tokens and, if wanted, ids.
+    """Tokenized documents cut into full windows and one rest: id_col, start, length, ids_crc32, doc_tokens, piece and, if wanted, ids.
 
-    ``tokenizer`` is the path of a tokenizers file that every executor can read.
+    ``piece`` is a number of its own for each. ``tokenizer`` is the path of a tokenizers file that every executor can read.
     """
     if window < 1:
         raise ValueError("a window holds one token at least")
-    fields = [T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens"))]
+    fields = [T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "piece"))]
     schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        from pyspark import TaskContext
+
+        encode, number = Encoder(tokenizer), TaskContext.get().partitionId() * SEQUENCES_PER_TASK
         for batch in slices(batches, "_text"):
             rows, starts, lengths, sums, totals, ids_out = [], [], [], [], [], []
             for row, text in enumerate(batch.column("_text").to_pylist()):
@@ -138,7 +145,8 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
                     rows.append(row), starts.append(start), lengths.append(len(part)), sums.append(zlib.crc32(part.tobytes())), totals.append(len(ids))
                     if with_ids:
                         ids_out.append(part.astype(np.int64))
-            columns = [batch.column("_id").take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals))]
+            columns = [batch.column("_id").take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals)), pa.array(np.arange(number, number + len(rows)))]
+            number += len(rows)
             if with_ids:
                 columns.append(pa.array(ids_out, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
@@ -146,16 +154,18 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-def pack(cut: DataFrame, window: int = WINDOW, id_col: str = "doc_id", tasks: int | None = None) -> DataFrame:
-    """Adds sequence_id, offset and padding to pieces of up to ``window`` tokens.
+def pack(cut: DataFrame, window: int = WINDOW, tasks: int | None = None) -> DataFrame:
+    """Adds sequence_id, offset and padding to pieces of up to ``window`` tokens; ``cut`` must give the same rows each time it is read.
 
-    Pieces are dealt out evenly by a hash to ``tasks`` packing tasks (the session's number of shuffle partitions if
-    none is given), each of which sorts its pieces, so a repeated task gives the same windows. A task holds two numbers
-    per piece. ``padding`` is that of the whole sequence: it is filled up to the window, save where its tokens are a
+    A full window is a sequence by itself and stays where it is. The rests are dealt out evenly, by a hash of their
+    numbers, to ``tasks`` packing tasks (one for about ``RESTS_PER_TASK`` if none is given), each of which sorts its
+    pieces, so a repeated task gives the same windows. A task holds its rests' rows, some hundred bytes each, ids not
+    counted. ``padding`` is that of the whole sequence: it is filled up to the window, save where its tokens are a
     power of two.
     """
-    tasks = tasks or int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType([*cut.schema.fields, *(T.StructField(n, T.LongType()) for n in ("sequence_id", "offset", "padding"))])
+    full, rests = cut.where(F.col("length") == window), cut.where(F.col("length") < window)
+    tasks = tasks or 1 + rests.count() // RESTS_PER_TASK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -167,14 +177,20 @@ def pack(cut: DataFrame, window: int = WINDOW, id_col: str = "doc_id", tasks: in
         place, offset = best_fit_decreasing(lengths, window)
         filled = np.bincount(place, weights=lengths).astype(np.int64)
         padding = np.where(filled & (filled - 1) == 0, 0, window - filled)[place]
-        place += TaskContext.get().partitionId() * SEQUENCES_PER_TASK
+        place = 2 * (place + TaskContext.get().partitionId() * SEQUENCES_PER_TASK) + 1
         done = 0
         for b in held:
             part = slice(done, done := done + b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place[part]), pa.array(offset[part]), pa.array(padding[part])], [f.name for f in schema.fields])
 
-    dealt = cut.repartition(tasks, F.xxhash64(id_col, "start", "ids_crc32")).sortWithinPartitions(F.desc("length"), id_col, "start", "ids_crc32")
-    return dealt.mapInArrow(run, schema)
+    dealt = rests.repartition(tasks, F.xxhash64("piece")).sortWithinPartitions(F.desc("length"), "piece")
+    whole = full.select(*cut.columns, (F.col("piece") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("padding"))
+    return whole.unionByName(dealt.mapInArrow(run, schema))
+
+
+def _cut(docs: DataFrame, *how, **more) -> DataFrame:
+    """The pieces from a table in the shared folder: they are read twice, and a lost executor must not number them anew."""
+    return stored(pieces(docs, *how, **more), "pieces")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", tasks: int | None = None) -> DataFrame:
@@ -182,13 +198,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id
 
     A document is its token ids and then ``end_id``; documents longer than a window are first cut into full windows.
     A null or empty text is the end id alone. Repeated rows are packed each, a null id is kept, an empty table gives
-    no rows, other columns are ignored. Text is read and tokenized once and never shuffled: only the pieces' numbers move.
+    no rows, other columns are ignored. Texts of any length and any run of white space give the ids of the tokenizers
+    file. Text is read and tokenized once and never shuffled: only the numbers of the rests move.
     """
-    return pack(pieces(docs, tokenizer, window, end_id, id_col, text_col), window, id_col, tasks)
+    return pack(_cut(docs, tokenizer, window, end_id, id_col, text_col), window, tasks).drop("piece")
 
 
 def sequences(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", tasks: int | None = None) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids (in order, unpadded), and the pieces they are made of."""
-    packed = pack(pieces(docs, tokenizer, window, end_id, id_col, text_col, with_ids=True), window, id_col, tasks)
+    packed = pack(_cut(docs, tokenizer, window, end_id, id_col, text_col, with_ids=True), window, tasks)
     held = F.sort_array(F.collect_list(F.struct("offset", id_col, "start", "length", "ids")))
     return packed.groupBy("sequence_id").agg(held.alias("_held")).select("sequence_id", F.flatten("_held.ids").alias("ids"), F.transform("_held", lambda x: F.struct(x["offset"], x[id_col], x["start"], x["length"])).alias("pieces"))

@@ -87,6 +87,27 @@ def test_empty(spark):
     assert P.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
 
 
+def test_very_long_runs_of_white_space(spark):
+    n = 3_000_000
+    mixed = "".join(random.Random(4).choices(" \n\t\u00a0\r", k=n))
+    texts = ["a" + " " * n + "b", "\n" * n, " \n" * (n // 2), mixed, "a" * n]
+    whole = Tokenizer.from_file(PATH)
+    want = {i: whole.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = P.pack_documents(docs, PATH).collect()
+    for i, ids in want.items():
+        made = sorted((r.start, r.length, r.ids_crc32) for r in got if r.doc_id == i)
+        assert made == [(s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes())) for s in range(0, len(ids), 2048)]
+
+
+def test_full_windows_are_sequences_of_their_own(spark):
+    rows, docs = documents(spark)
+    got = P.pack_documents(docs, PATH, window=64, tasks=3).collect()
+    full = [r.sequence_id for r in got if r.length == 64]
+    assert len(full) > 40 and len(set(full)) == len(full) and not set(full) & {r.sequence_id for r in got if r.length < 64}
+    assert all(r.offset == r.padding == 0 for r in got if r.length == 64)
+
+
 def test_encoder_like_tokenizers():
     encode, whole = P.Encoder(PATH), Tokenizer.from_file(PATH)
     assert encode.fast is not None
