@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,124 +15,137 @@ from loomline.llm.spark_io import slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BITS, BLOCKS = 64, 8
-#: A window of the item's size that reaches the similarity shares 8/9 of the item's shingles, so about 10 bits of 64 differ, with a
-#: standard deviation under 3. The radius lies five deviations above.
-RADIUS = 24
-#: Benchmarks beyond so many bytes are searched for in several passes.
-PASS_BYTES = 64 << 20
+#: A window has ``PRINTS`` independent fingerprints of 64 bits; it is a candidate if one of them lies within the radius of an item's.
+#: A window of the item's size at the least similarity shares 8/9 of the item's shingles, so about 9.7 bits of 64 differ, with a
+#: standard deviation of 2.9: one fingerprint finds 73 % of such windows, five find 99.9 %.
+PRINTS, BITS, RADIUS = 5, 64, 11
+#: Each fingerprint is cut into ``BLOCKS`` blocks. Within the radius one block at least differs in RADIUS // BLOCKS bits or fewer:
+#: a random fingerprint passes with a chance of 0.8 %, one of five with 4 %.
+BLOCKS, BLOCK_BITS = 4, 16
+#: Benchmarks beyond so many bytes are searched for in several passes; the index holds about five bytes for one of text, and 6 MB.
+PASS_BYTES = 16 << 20
 _TABLE_BITS = 20
+_ROUND = 0x9E3779B97F4A7C15
 
 
-def simhash(hashes: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of every run of ``size`` shingles, each counted as often as it occurs; a tied bit is 0."""
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
-    total = np.zeros((len(hashes) + 1, BITS), np.int32)
-    np.cumsum(bits, axis=0, out=total[1:])
-    votes = total[size:] - total[:-size]
-    return np.packbits(votes * 2 > size, axis=1, bitorder="little")
+def simhash(hashes: np.ndarray, size: int, prints: int = PRINTS) -> np.ndarray:
+    """The fingerprints (windows x prints, uint64) of every run of ``size`` shingles, each counted as often as it occurs; a tied bit is 0."""
+    out = []
+    for k in range(prints):
+        own = W.mixed(hashes + np.uint64(k * _ROUND % (1 << 64))) if k else hashes
+        bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
+        total = np.zeros((len(own) + 1, BITS), np.int32)
+        np.cumsum(bits, axis=0, out=total[1:])
+        out.append(np.packbits((total[size:] - total[:-size]) * 2 > size, axis=1, bitorder="little").view("<u8")[:, 0])
+    return np.stack(out, axis=1)
 
 
-def similarity(a: Counter, b: Counter) -> float:
-    """Sum of the lesser counts over the sum of the greater counts."""
-    same = sum(min(n, b[k]) for k, n in a.items())
-    return same / (sum(a.values()) + sum(b.values()) - same)
-
-
-@dataclass
-class _Size:
-    """The items of one size: their fingerprints' index and their shingles."""
-
-    items: list[int]
-    tables: np.ndarray  # blocks x 256 x items: may this value be within the radius of that item's block?
-    prints: np.ndarray
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Sum of the lesser counts over the sum of the greater counts, of two multisets of shingles."""
+    kinds, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = np.bincount(at[: len(a)], minlength=len(kinds)), np.bincount(at[len(a) :], minlength=len(kinds))
+    return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
 
 
 class Index:
-    """Benchmark items by size, with the shingles that lead to them."""
+    """Benchmark items: the block tables of their fingerprints, and the shingles that lead to their sizes.
+
+    Items of the same words are one entry. A block table lists entries by the value of one block of one fingerprint.
+    """
 
     def __init__(self, texts: list[str], radius: int = RADIUS, threshold: float = SIMILARITY):
         self.radius, self.threshold = radius, threshold
         w = W.words(pa.array(texts, pa.string()))
-        self.shingles: dict[int, Counter] = {}
-        self.sizes: dict[int, _Size] = {}
-        by_size, owners, keys = defaultdict(list), [], []
+        entry_of: dict[bytes, int] = {}
+        self.items: list[list[int]] = []
+        held: list[np.ndarray] = []
         for i in range(len(texts)):
             own = w.hashes[w.first[i] : w.first[i + 1]]
             if len(own) < SHINGLE:
                 continue
-            found = W.shingles(own, SHINGLE)
-            self.shingles[i] = Counter(found.tolist())
-            by_size[len(own)].append((i, found))
-            owners += [len(own)] * len(self.shingles[i])
-            keys += list(self.shingles[i])
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= radius // BLOCKS
-        for size, held in by_size.items():
-            prints = np.concatenate([simhash(f, len(f)) for _, f in held])
-            self.sizes[size] = _Size([i for i, _ in held], np.stack([near[:, prints[:, b]] for b in range(BLOCKS)]), prints)
-        self.keys = np.unique(np.array(keys, np.uint64))
+            entry = entry_of.setdefault(own.tobytes(), len(held))
+            if entry == len(held):
+                held.append(W.shingles(own, SHINGLE))
+                self.items.append([])
+            self.items[entry].append(i)
+        self.counts = np.array([len(s) for s in held], np.int64)  # shingles; words less four
+        self.first = np.append(0, np.cumsum(self.counts))
+        self.shingles = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        self.prints = np.concatenate([simhash(s, len(s)) for s in held]) if held else np.zeros((0, PRINTS), np.uint64)
+        values = self.prints.view("<u2").reshape(-1, PRINTS * BLOCKS)
+        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
+        self.starts = np.stack([np.searchsorted(np.sort(values[:, t]), np.arange((1 << BLOCK_BITS) + 1)) for t in range(PRINTS * BLOCKS)]).astype(np.int32)
+        self.masks = np.flatnonzero(np.bitwise_count(np.arange(1 << BLOCK_BITS, dtype=np.uint32)) <= radius // BLOCKS)
+        pairs = np.unique(np.stack([self.shingles, np.repeat(self.counts, self.counts).astype(np.uint64)], axis=1), axis=0)
+        self.keys, self.key_counts = np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype(np.int64)
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[self.keys >> np.uint64(64 - _TABLE_BITS)] = True
-        lists = [set() for _ in self.keys]
-        for k, size in zip(keys, owners):
-            lists[int(np.searchsorted(self.keys, np.uint64(k)))].add(size)
-        self.sizes_of = [sorted(x) for x in lists]
+
+    def near(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row of ``prints``, entry) of fingerprints within the radius, by looking up every block value that differs in few enough bits.
+
+        All pairs within the radius are found: if no block differed in RADIUS // BLOCKS bits or fewer, more than the radius would differ.
+        """
+        blocks = prints.view("<u2").reshape(-1, PRINTS * BLOCKS)
+        for t in range(PRINTS * BLOCKS):
+            value = blocks[:, t, None].astype(np.int64) ^ self.masks[None, :]
+            a, b = self.starts[t][value], self.starts[t][value + 1]
+            row, mask = np.nonzero(b > a)
+            first, n = a[row, mask].astype(np.int64), (b - a)[row, mask]
+            step = max(1, (1 << 22) // max(1, int(n.max(initial=1))))
+            for s in range(0, len(row), step):
+                m = n[s : s + step]
+                at = np.repeat(first[s : s + step] - np.append(0, np.cumsum(m)[:-1]), m) + np.arange(m.sum())
+                rows, entries = np.repeat(row[s : s + step], m), self.order[t][at]
+                close = np.bitwise_count(prints[rows, t // BLOCKS] ^ self.prints[entries, t // BLOCKS]) <= self.radius
+                if close.any():
+                    yield rows[close], entries[close]
 
     def matches(self, column: pa.Array) -> list[tuple[int, int, int, int, float]]:
         """(text, item, first word, words, similarity) of each text and item that a window of the text is similar to: the best window, the first of equals.
 
-        Windows without any shingle of an item of their size can't be similar and are passed over.
+        Windows without any shingle of an item of their size can't be similar and get no fingerprint.
         """
         if not len(self.keys):
             return []
         w = W.words(column)
-        all_shingles = W.shingles(w.hashes, SHINGLE)
-        maybe = np.flatnonzero(self.table[all_shingles >> np.uint64(64 - _TABLE_BITS)])
-        at = np.searchsorted(self.keys, all_shingles[maybe])
-        real = (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == all_shingles[maybe])
-        maybe, at = maybe[real], at[real]
-        text_of = np.searchsorted(w.first, maybe, side="right") - 1
-        inside = maybe + SHINGLE <= w.first[text_of + 1]
-        hits: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for place, key, text in zip(maybe[inside].tolist(), at[inside].tolist(), text_of[inside].tolist()):
-            for size in self.sizes_of[key]:
-                hits[text, size].append(place)
+        every = W.shingles(w.hashes, SHINGLE)
+        maybe = np.flatnonzero(self.table[every >> np.uint64(64 - _TABLE_BITS)])
+        lo, hi = np.searchsorted(self.keys, every[maybe], side="left"), np.searchsorted(self.keys, every[maybe], side="right")
+        text = np.searchsorted(w.first, maybe, side="right") - 1
+        real = (hi > lo) & (maybe + SHINGLE <= w.first[text + 1])
+        maybe, lo, n, text = maybe[real], lo[real], (hi - lo)[real], text[real]
+        place = np.repeat(maybe, n)
+        count = self.key_counts[np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())] if len(n) else np.zeros(0, np.int64)
+        text = np.repeat(text, n)
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        for (text, size), places in hits.items():
-            self._search(all_shingles, int(w.first[text]), int(w.first[text + 1]), size, places, text, best)
-        return [(text, item, start, self._size_of(item), found) for (text, item), (found, start) in sorted(best.items())]
-
-    def _size_of(self, item: int) -> int:
-        return sum(self.shingles[item].values()) + SHINGLE - 1
-
-    def _search(self, all_shingles: np.ndarray, first: int, end: int, size: int, places: list[int], text: int, best: dict) -> None:
-        if end - first < size:
-            return
-        count = size - SHINGLE + 1
-        group = self.sizes[size]
-        regions: list[list[int]] = []  # of window starts that have a hit
-        for p in places:
-            a, b = max(first, p - count + 1), min(p, end - size) + 1
-            if a >= b:
+        order = np.lexsort((place, count, text))
+        place, count, text = place[order], count[order], text[order]
+        edges = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(count, prepend=-1) != 0))
+        for start, end in zip(edges.tolist(), [*edges[1:].tolist(), len(place)]):
+            t, size = int(text[start]), int(count[start])
+            first, last = int(w.first[t]), int(w.first[t + 1]) - size - SHINGLE + 1  # the last start of a window
+            if last < first:
                 continue
-            if regions and a <= regions[-1][1]:
-                regions[-1][1] = max(b, regions[-1][1])
-            else:
-                regions.append([a, b])
-        for a, b in regions:
-            for a in range(a, b, 1 << 14):
-                stop = min(b, a + (1 << 14))
-                part = all_shingles[a : stop + count - 1]
-                prints = simhash(part, count)
-                near = np.zeros((len(prints), len(group.items)), bool)
-                for block in range(BLOCKS):
-                    near |= group.tables[block][prints[:, block]]
-                for start, k in np.argwhere(near).tolist():
-                    if np.bitwise_count(prints[start] ^ group.prints[k]).sum() > self.radius:
-                        continue
-                    found = similarity(Counter(part[start : start + count].tolist()), self.shingles[group.items[k]])
-                    if found >= self.threshold and (-found, a + start - first) < (-best.get((text, group.items[k]), (0, 0))[0], best.get((text, group.items[k]), (0, 0))[1]):
-                        best[text, group.items[k]] = (found, a + start - first)
+            a, b = np.maximum(place[start:end] - size + 1, first), np.minimum(place[start:end], last)
+            a, b = a[a <= b], b[a <= b]
+            if len(a):
+                self._search(every, a, b, size, first, t, best)
+        return [(t, i, start, int(self.counts[entry]) + SHINGLE - 1, -found) for (t, entry), (found, start) in sorted(best.items()) for i in self.items[entry]]
+
+    def _search(self, every: np.ndarray, a: np.ndarray, b: np.ndarray, size: int, first: int, text: int, best: dict) -> None:
+        """Windows of ``size`` shingles that start from each of ``a`` up to ``b``, both in order."""
+        fresh = np.flatnonzero(np.append(True, a[1:] > np.maximum.accumulate(b)[:-1] + 1))
+        for lo, hi in zip(a[fresh].tolist(), np.maximum.reduceat(b, fresh).tolist()):
+            for at in range(lo, hi + 1, 1 << 11):
+                part = every[at : min(hi + 1, at + (1 << 11)) + size - 1]
+                seen = set()
+                for rows, entries in self.near(simhash(part, size)):
+                    seen |= {(e, r) for e, r in zip(entries.tolist(), rows.tolist()) if self.counts[e] == size}
+                for entry, row in sorted(seen):
+                    found = (-similarity(part[row : row + size], self.shingles[self.first[entry] : self.first[entry + 1]]), at + row - first)
+                    if -found[0] >= self.threshold and found < best.get((text, entry), (0, 0)):
+                        best[text, entry] = found
 
 
 def _passes(benchmark: DataFrame, item_col: str, text_col: str, pass_bytes: int) -> Iterator[tuple[list, list[str]]]:

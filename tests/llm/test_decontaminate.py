@@ -16,6 +16,11 @@ def grams(words):
     return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
 
 
+def alike(a, b):
+    same = sum(min(n, b[k]) for k, n in a.items())
+    return same / (sum(a.values()) + sum(b.values()) - same)
+
+
 def brute(docs, items):
     """Every window of the item's size against every item."""
     out = []
@@ -25,7 +30,7 @@ def brute(docs, items):
             own = tokens(passage)
             if len(own) < 5:
                 continue
-            best = max(((round(D.similarity(grams(words[s : s + len(own)]), grams(own)), 12), -s) for s in range(len(words) - len(own) + 1)), default=(0, 0))
+            best = max(((round(alike(grams(words[s : s + len(own)]), grams(own)), 12), -s) for s in range(len(words) - len(own) + 1)), default=(0, 0))
             if best[0] >= 0.8:
                 out.append((doc, item, -best[1], len(own), best[0]))
     return sorted(out, key=str)
@@ -69,19 +74,55 @@ def test_passes_and_clean(spark):
 
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(3)
-    index = D.Index([" ".join(f"w{rng.integers(1000)}" for _ in range(20)) for _ in range(10)])
-    group = index.sizes[20]
+    index = D.Index([" ".join(f"w{rng.integers(1000)}" for _ in range(20)) for _ in range(300)])
     for _ in range(300):
-        k = rng.integers(10)
-        bits = np.unpackbits(group.prints[k])
+        k, t = rng.integers(300), rng.integers(D.PRINTS)
+        other = rng.integers(0, 1 << 63, (1, D.PRINTS)).astype(np.uint64)
+        bits = np.unpackbits(index.prints[k, t : t + 1].view(np.uint8))
         bits[rng.choice(64, rng.integers(0, index.radius + 1), replace=False)] ^= 1
-        other = np.packbits(bits)
-        assert any(group.tables[b][other[b]][k] for b in range(D.BLOCKS))
+        other[0, t] = np.packbits(bits).view("<u8")[0]
+        assert any(k in entries for _, entries in index.near(other))
+
+
+def test_blocks_reject_random_windows_and_find_similar_ones():
+    """Under 5 % of random windows pass a block of an item; nearly all windows at a similarity of 0.8 to 1 are found."""
+    rng = np.random.default_rng(8)
+    a, b = (D.simhash(rng.integers(0, 1 << 63, 160_000).astype(np.uint64), 40)[::40] for _ in range(2))  # windows that share nothing
+    apart = np.bitwise_count(a.view("<u2") ^ b.view("<u2")).reshape(len(a), -1)
+    assert (apart <= D.RADIUS // D.BLOCKS).any(axis=1).mean() < 0.05
+    missed = tried = 0
+    for n in (9, 20, 36, 100, 400):
+        for _ in range(300):
+            own = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            other = own.copy()
+            gone = rng.integers(1, n // 9 + 1)
+            other[rng.choice(n, gone, replace=False)] = rng.integers(0, 1 << 63, gone).astype(np.uint64)
+            assert D.similarity(own, other) >= 0.8
+            tried += 1
+            missed += (np.bitwise_count(D.simhash(own, n) ^ D.simhash(other, n)) > D.RADIUS).all()
+    assert missed <= tried * 0.003
+
+
+def test_many_items_of_one_size_take_under_a_second():
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"v{rng.randrange(400)}" for _ in range(n))
+    items = [text(40) for _ in range(5000)]
+    doc = text(400) + " " + items[77] + " " + " ".join(w for i in range(0, 4000, 10) for w in items[i].split()[:7]) + " " + text(400)
+    index = D.Index(items)
+    start = time.perf_counter()
+    found = index.matches(pa.array([doc]))
+    assert time.perf_counter() - start < 4 and [(f[1], f[2]) for f in found] == [(77, 400)]
+    held = sum(x.nbytes for x in vars(index).values() if isinstance(x, np.ndarray))
+    assert held < 5 * sum(map(len, items)) + (8 << 20)
 
 
 def test_simhash_of_runs():
     h = W.mixed(np.arange(30, dtype=np.uint64))
     whole = D.simhash(h, 7)
-    assert len(whole) == 24
+    assert whole.shape == (24, D.PRINTS)
     for s in (0, 5, 23):
         assert (whole[s] == D.simhash(h[s : s + 7], 7)[0]).all()
