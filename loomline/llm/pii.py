@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.spans import joined, spans, tagged
+from loomline.llm.spans import greatest_so_far, joined, let, outside, spans, tagged, with_pieces
 
 # Patterns of the base kinds. Each may start only where no earlier start in the same run could, or right
 # after the last match, which finds the same matches without trying every place of a long run.
@@ -22,6 +22,8 @@ IBAN_LENGTHS = {
 IBAN_HEAD = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
 _LISTED = "|".join(c.replace(" ", "|") for c in IBAN_LENGTHS.values())
 IBAN = rf"^(?:{'|'.join(rf'(?:{c.replace(" ", "|")})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}' for n, c in IBAN_LENGTHS.items())}|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])"
+#: Characters from the start of an IBAN that its pattern may look at: 34, each after a space, and one behind.
+IBAN_REACH = 69
 RUN = r"(?<![0-9])[0-9]{13,19}+(?![0-9])"
 
 BASE = ("email", "ip", "card", "phone")
@@ -62,11 +64,14 @@ def mod97(word: Column) -> Column:
 
 
 def _ibans(text: Column) -> Column:
-    """Spans of IBANs that mod-97 confirms. Each head in the text is tried, so that one that fails hides none behind it."""
-    heads = F.transform(spans(text, IBAN_HEAD), lambda s: F.struct(s["start"].alias("start"), F.regexp_extract(F.substring(text, s["start"] + 1, F.lit(68)), IBAN, 0).alias("word")))
-    found = F.transform(F.filter(heads, lambda s: mod97(s["word"])), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["word"])).alias("end"), s["word"].alias("word")))
-    start = F.expr("CAST(array() AS array<struct<start:int,end:int,word:string>>)")
-    return F.aggregate(found, start, lambda acc, s: F.when(F.exists(acc, lambda x: x["end"] > s["start"]), acc).otherwise(F.concat(acc, F.array(s))))
+    """Spans of IBANs that mod-97 confirms. Each head in the text is tried, so one that fails, or overlaps, hides none behind it."""
+
+    def tried(heads: Column) -> Column:
+        read = lambda piece: F.transform(heads, lambda s: F.struct(s["start"].alias("start"), F.regexp_extract(piece(s["start"], s["start"] + IBAN_REACH), IBAN, 0).alias("word")))
+        confirmed = F.filter(with_pieces(text, read), lambda s: mod97(s["word"]))
+        return F.transform(confirmed, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["word"])).alias("end"), s["word"].alias("word")))
+
+    return let(spans(text, IBAN_HEAD), lambda heads: F.when(F.size(heads) > 0, tried(heads)).otherwise(heads))
 
 
 def _byte_parts(word: Column) -> Column:
@@ -79,7 +84,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     """Rows (id_col, one array<struct<start, end, word, score>> per kind, then ``keep``), one per row of ``docs``.
 
     Positions are code points, ends exclusive. Per kind, matches are the leftmost that don't overlap; those that fail
-    their validator are dropped without a second try (an IBAN that fails takes no place). A cue within ``NEAR`` characters raises the score, a
+    their validator are dropped without a second try (IBANs are tried at each head, and may overlap). A cue within ``NEAR`` characters raises the score, a
     counter-cue lowers it; added kinds (iban, run) under ``least_score`` go, base kinds stay. A null or empty text has
     no spans; repeated rows and null ids are kept; other columns are ignored. No shuffle.
     """
@@ -96,18 +101,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     }
 
     def scored(kind: str) -> Column:
-        def one(s: Column) -> Column:
-            at = F.greatest(s["start"] - NEAR, F.lit(0))
-            around = F.concat_ws(" ", F.substring(t, at + 1, s["start"] - at), F.substring(t, s["end"] + 1, F.lit(NEAR)))
-            score = F.lit(SCORES[kind]) + F.when(around.rlike(CUES[kind]), ADDS).otherwise(0.0) - F.when(around.rlike(COUNTER), TAKES).otherwise(0.0)
+        def one(piece, s: Column) -> Column:
+            around = F.concat_ws(" ", piece(s["start"] - NEAR, s["start"]), piece(s["end"], s["end"] + NEAR))
+            score = let(around, lambda a: F.lit(SCORES[kind]) + F.when(a.rlike(CUES[kind]), ADDS).otherwise(0.0) - F.when(a.rlike(COUNTER), TAKES).otherwise(0.0))
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["word"].alias("word"), F.least(score, F.lit(1.0)).alias("score"))
 
-        return F.transform(f"_{kind}", one)
+        found = F.col(f"_{kind}")
+        return F.when(F.size(found) > 0, with_pieces(t, lambda piece: F.transform(found, lambda s: one(piece, s)))).otherwise(F.expr("CAST(array() AS array<struct<start:int,end:int,word:string,score:double>>)"))
 
     found = rows.select("*", *[valid[k].alias(f"_{k}") for k in KINDS])
     found = found.select("*", *[scored(k).alias(k) for k in KINDS])
-    inside = lambda s: ~F.exists("card", lambda c: (c["start"] <= s["start"]) & (s["end"] <= c["end"]))
-    added = {"iban": F.filter("iban", lambda s: s["score"] >= least_score), "run": F.filter("run", lambda s: (s["score"] >= least_score) & inside(s))}
+    enough = lambda kind: F.filter(kind, lambda s: s["score"] >= least_score)
+    added = {"iban": enough("iban"), "run": let(enough("run"), lambda runs: outside(runs, F.col("card")))}
     return found.select(F.col("_id").alias(id_col), *[added.get(k, F.col(k)).alias(k) for k in KINDS], *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 
@@ -129,14 +134,18 @@ def redact(docs: DataFrame, text_col: str = "text", least_score: float = LEAST_S
     def named(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), F.lit(kind.upper()).alias("kind")))
 
-    every = F.concat(*[named(k) for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    every = F.array_sort(F.concat(*[named(k) for k in KINDS]))
+
+    def cleaned(held: Column) -> Column:
+        """Between two spans stands the text from the furthest end so far to the next start; a span that begins before that end is named already."""
+
+        def parts(piece) -> Column:
+            before = lambda i: F.when(i > 0, F.get(held["far"], i - 1)).otherwise(F.lit(0))
+            shown = F.transform(held["spans"], lambda s, i: F.when(s["start"] >= before(i), F.concat(piece(before(i), s["start"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise(F.lit("")))
+            return F.concat(F.array_join(shown, ""), piece(F.element_at(held["far"], -1), F.length("text")))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit("<"), s["kind"], F.lit(">"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], -s["less"]).alias("at"), out.alias("out"))
+        return with_pieces(F.col("text"), parts)
 
-    clean = F.aggregate(F.array_sort(every), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    shown = F.when(F.size(every) > 0, clean).otherwise(F.col("text"))
+    ends = let(every, lambda e: F.struct(e.alias("spans"), greatest_so_far(F.transform(e, lambda s: -s["less"])).alias("far")))
+    shown = F.when(F.greatest(*[F.size(k) for k in KINDS]) > 0, let(ends, cleaned)).otherwise(F.col("text"))
     return found.select("row", shown.alias("_clean")).select(*[F.col("_clean").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.spans import joined, spans, tagged
+from loomline.llm.spans import joined, let, spans, tagged
 
 # Patterns and least lengths of the base kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,37 +26,46 @@ ALLOWED = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[=_-]*[A-Za-z]*(?:[/_=-]+(?:[A-Za-z]+|[0-9]{1,4}))*[/_=-]*$",
+    r"^[=_-]*+[A-Za-z]*+(?:[/_=-]++(?:[A-Za-z]++|[0-9]{1,4}+))*+[/_=-]*+$",
     r"(?i)example|placeholder|changeme|your[_-]?(?:api|key|token)",
 )
 
 
-def _weight(n: Column) -> Column:
-    """n log2 n, zero for none."""
-    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+#: Counters of the characters in a window, packed twelve to a long of five bits each; for the code of a character its long and its place in it.
+_PER_LONG, _COUNTER_BITS = 12, 5
 
 
 def hot_range(word: Column, threshold: Column, window: int = WINDOW) -> Column:
     """struct<first int, last int>: where the first window of ``threshold`` bits or more starts and the last one ends; nulls if none.
 
     The window moves one character at a time: the counts of the character that comes in and of the one that goes out
-    change by one, and so the sum of n log2 n, from which the entropy follows.
+    change by one, and so the sum of n log2 n, from which the entropy follows. A step's cost doesn't depend on the word.
     """
-    codes = F.transform(F.split(word, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        come, go = pair["come"], pair["go"]
-        n, m = F.element_at(acc["counts"], come + 1), F.element_at(acc["counts"], go + 1)
-        change = F.when(come == go, F.lit(0.0)).otherwise(_weight(n + 1) - _weight(n) + F.when(go > 0, _weight(m - 1) - _weight(m)).otherwise(F.lit(0.0)))
-        counts = F.transform(acc["counts"], lambda c, k: c + (k == come).cast("int") - ((k == go) & (go > 0)).cast("int"))
-        total, at = acc["sum"] + change, acc["at"] + 1
-        hot = (at >= window) & (F.log2(F.lit(float(window))) - total / window >= threshold - 1e-9)
-        return F.struct(counts.alias("counts"), total.alias("sum"), at.alias("at"), F.when(hot & acc["first"].isNull(), at - window).otherwise(acc["first"]).alias("first"), F.when(hot, at).otherwise(acc["last"]).alias("last"))
-
-    gone = F.concat(F.array_repeat(F.lit(0), window), codes)
-    pairs = F.zip_with(codes, F.slice(gone, F.lit(1), F.size(codes)), lambda a, b: F.struct(a.alias("come"), b.alias("go")))
-    return F.aggregate(pairs, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    if window >= 1 << _COUNTER_BITS:
+        raise ValueError(f"a window has fewer than {1 << _COUNTER_BITS} characters")
+    codes = range(len(ALPHABET))
+    longs = F.array(F.lit(-1), *[F.lit(c // _PER_LONG) for c in codes])
+    units = F.array(F.lit(0).cast("long"), *[F.lit(1 << _COUNTER_BITS * (c % _PER_LONG)).cast("long") for c in codes])
+    shifts = F.array(F.lit(0), *[F.lit(_COUNTER_BITS * (c % _PER_LONG)) for c in codes])
+    weights = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 1)])
+    weight = lambda n: F.get(weights, n.cast("int"))
+
+    def moved(held: Column) -> Column:
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // _PER_LONG)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+
+        def step(acc: Column, come: Column) -> Column:
+            go = F.when(acc["at"] >= window, F.get(held["codes"], acc["at"] - window)).otherwise(F.lit(0))
+            count = lambda code: F.call_function("shiftright", F.get(acc["counts"], F.get(longs, code)), F.get(shifts, code)).bitwiseAND(F.lit((1 << _COUNTER_BITS) - 1))
+            n, m = count(come), count(go)
+            change = F.when(come == go, F.lit(0.0)).otherwise(weight(n + 1) - weight(n) + F.when(go > 0, weight(m - 1) - weight(m)).otherwise(F.lit(0.0)))
+            counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == F.get(longs, come), F.get(units, come)).otherwise(F.lit(0)) - F.when(k == F.get(longs, go), F.get(units, go)).otherwise(F.lit(0)))
+            total, at = acc["sum"] + change, acc["at"] + 1
+            hot = (at >= window) & (math.log2(window) - total / window >= held["threshold"] - 1e-9)
+            return F.struct(counts.alias("counts"), total.alias("sum"), at.alias("at"), F.when(hot & acc["first"].isNull(), at - window).otherwise(acc["first"]).alias("first"), F.when(hot, at).otherwise(acc["last"]).alias("last"))
+
+        return F.aggregate(held["codes"], start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+    return let(F.struct(F.transform(F.split(word, ""), lambda c: F.instr(F.lit(ALPHABET), c)).alias("codes"), threshold.alias("threshold")), moved)
 
 
 def entropy_spans(text: Column, window: int = WINDOW, allowed: tuple[str, ...] = ALLOWED, classes: tuple = CLASSES) -> Column:

@@ -107,3 +107,23 @@ def test_ibans_before_other_words(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.scan(docs).collect() == secret_scan.scan(docs).collect() == pii.redact(docs).collect() == []
+
+
+def test_many_spans_and_long_candidates_take_seconds(spark):
+    """Two hundred thousand spans in one text and a candidate of a million characters, with the result as for short texts."""
+    import time
+
+    n, rng = 200_000, random.Random(6)
+    mails = " ".join(f"user{i}@mail.example" for i in range(n))
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    start = time.perf_counter()
+    docs = spark.createDataFrame([(1, mails), (2, f"é {blob} x"), (3, "a/1" * 300_000), (4, "4111111111111111 " * 20_000)], "doc_id long, text string").repartition(4)
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[1] == " ".join(["<EMAIL>"] * n) and clean[4] == "<RUN> " * 20_000
+    found = {r.doc_id: r for r in pii.digest(pii.scan(docs)).collect()}
+    shown = found[1].spans.split(",")
+    assert found[1].n_email == len(shown) == n
+    assert all(mails[a:b] == f"user{i}@mail.example" for i, (a, b) in enumerate((int(x.split(":")[1]), int(x.split(":")[2])) for x in shown))
+    hot = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan(docs)).collect()}
+    assert hot[2] == ",".join(f"entropy:{a}:{b}" for a, b in plain_entropy(f"é {blob} x")) != "" and hot[3] == ""
+    assert time.perf_counter() - start < 240
