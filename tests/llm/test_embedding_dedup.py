@@ -69,10 +69,38 @@ def test_recall_at_the_threshold():
         side /= np.linalg.norm(side, axis=1)[:, None]
         c = 0.98 + 1e-9
         b = c * a + np.sqrt(1 - c * c) * side
-        _, window, allowed = E.calibrated(d)
+        window, _, least = E.calibrated(d)
         turn = E.directions(d)
-        missed = (np.abs((a - b) @ turn) > window).sum(axis=1)
-        assert (missed > allowed).sum() == 0
+        met = (np.abs((a - b) @ turn) <= window).sum(axis=1)
+        assert (met < least).sum() == 0
+
+
+def planted_at(c, n, d, rng):
+    a = rng.normal(size=(n, d))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    side = rng.normal(size=(n, d))
+    side -= (side * a).sum(axis=1)[:, None] * a
+    return a, c * a + np.sqrt(1 - c * c) * side / np.linalg.norm(side, axis=1)[:, None]
+
+
+def test_cuts_part_no_pair_and_own_it_once():
+    """Pairs at the threshold among many vectors: each is owned by one leaf, but for few that a cut parts; and counting rejects the rest."""
+    rng = np.random.default_rng(4)
+    a, b = planted_at(0.98 + 1e-9, 20_000, 64, rng)
+    on = E.projected(np.concatenate([a, b]))
+    tree = E.Cuts.grown(on[::16], E.calibrated(64)[1], 64)
+    owned = np.zeros(len(a), int)
+    copies = 0
+    for _, rows, copied in tree.leaves(on):
+        copies += len(rows)
+        here = np.full(len(on), -1, np.int64)
+        here[rows] = copied
+        both = (here[: len(a)] >= 0) & (here[len(a) :] >= 0)
+        owned += both & ((here[: len(a)] & here[len(a) :]) == 0)
+    assert owned.max() == 1 and (owned == 0).mean() < 0.002
+    assert copies < 8 * len(on) and len(tree.axis) > 20
+    window, _, least = E.calibrated(64)
+    assert ((np.abs(on[:5000] - on[5000:10_000]) <= window).sum(axis=1) >= least).mean() < 0.001
 
 
 def test_empty(spark):
