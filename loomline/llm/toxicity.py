@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -12,29 +13,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.llm.labelled import bounded_sample, remainder, training_labels
-from loomline.llm.spark_io import cut, slices
+from loomline.llm.spark_io import slices, stored
 
 MODULUS, HELD_OUT = 5, 0
 #: Labelled rows to fit on, half toxic at most; two of three give the dictionaries, the third calibrates.
 SAMPLE_ROWS = 6000
-#: Segments that a dictionary adds to the common part, the least contrast of a segment and in how many documents it must occur.
-SEGMENTS, CONTRAST, LEAST_DOCUMENTS = 800, 3.5, 3
-#: Windows of ordinary text per sampled document, and bytes of the common dictionary trained on them.
-WINDOWS_PER_DOCUMENT, COMMON_BYTES = 8, 12288
-LEVEL = 9
+#: Words of a window that is scored, from one start to the next; words of a window that a dictionary is trained on.
+WINDOW, STEP, TRAINING_WINDOW = 4, 2, 3
+#: Windows that each dictionary is trained on at most, those with the least hashes.
+TRAINING_WINDOWS = 100_000
+#: Bytes of the dictionaries, and the trainer's segment and match length: about a word with what is around it.
+TOXIC_BYTES, ORDINARY_BYTES, SEGMENT, MATCH = 2048, 16384, 16, 8
+#: A toxic document is toxic in few of its windows. The toxic dictionary is trained on those with a word that is in more different windows
+#: of toxic documents than chance lets any of all words be, and in so many at least.
+LEAST_WINDOWS = 3
 #: Saved bytes at which a window counts for one of the thresholds that the calibration weighs.
-THRESHOLDS = (2, 3, 4, 5, 6, 7)
-#: Windows whose saving a task remembers; then it starts anew.
-MEMO = 500_000
+THRESHOLDS = tuple(range(1, 11))
 #: Stands before each window and at the end of both dictionaries, so that no window is too short to be worth compressing;
 #: and after each window, since no match begins in the last bytes of a block. Both cost the same with either dictionary.
 CARRIER, TRAILER = bytes(range(1, 32)), bytes(range(2, 14))
+#: Fixed value: how a trained dictionary ends its tables; its content follows.
+_TABLES_END = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))
 _WORD = re.compile(r"[^\W_]+")
-
-
-def windows(text: str) -> list[str]:
-    """The windows that are compressed: each word in lower case; with a space on either side it is one window."""
-    return _WORD.findall(text.lower())
+_WORDS_AT_ONCE = 1 << 15
+_LOW, _HIGH = -16, 48
+
+
+def windows(text: str, size: int = WINDOW, step: int = STEP) -> Iterator[list[str]]:
+    """Windows of ``size`` words in lower case, from every ``step``-th word on, some thousands at a time; the last may be shorter."""
+    held: list[str] = []
+    least = 1  # windows of the last part: none if the words left over are in a window already
+    found = _WORD.finditer(text.lower())
+    while True:
+        fresh = [m[0] for _, m in zip(range(_WORDS_AT_ONCE), found)]
+        held += fresh
+        last = len(fresh) < _WORDS_AT_ONCE
+        starts = range(0, max(least, len(held) - size + step) if last else len(held) - size + 1, step)
+        yield [" ".join(held[i : i + size]) for i in starts if held]
+        if last:
+            return
+        held, least = held[len(starts) * step :], 0
 
 
 class Distance:
@@ -47,9 +65,15 @@ class Distance:
     def _start(self) -> None:
         import zstandard
 
-        plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        self.toxic, self.ordinary = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **plain) for d in self.dictionaries)
-        self.memo: dict[str, int] = {}
+        plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, min_match=4, search_log=6, hash_log=15, chain_log=16, window_log=17, target_length=64, **plain)
+        self.toxic, self.ordinary = (self._compressor(zstandard, d, how) for d in self.dictionaries)
+
+    @staticmethod
+    def _compressor(zstandard, dictionary: bytes, how):
+        data = zstandard.ZstdCompressionDict(dictionary)
+        data.precompute_compress(compression_params=how)
+        return zstandard.ZstdCompressor(dict_data=data, compression_params=how)
 
     def __getstate__(self):
         return self.dictionaries
@@ -59,36 +83,48 @@ class Distance:
         self._start()
 
     def saved(self, found: list[str]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        out = []
-        for w in found:
-            if (x := memo.get(w)) is None:
-                b = CARRIER + f" {w} ".encode("utf-8", "surrogatepass") + TRAILER
-                x = memo[w] = len(self.ordinary.compress(b)) - len(self.toxic.compress(b))
-            out.append(x)
-        return np.array(out, np.int32)
+        """Length of each window compressed with the ordinary dictionary less that with the toxic one."""
+        blocks = [CARRIER + f" {w} ".encode("utf-8", "surrogatepass") + TRAILER for w in found]
+        return self._lengths(self.ordinary, blocks) - self._lengths(self.toxic, blocks)
 
-    def statistics(self, text: str) -> list[float]:
-        """What the calibration weighs: how many windows pass each threshold, in number and in share, the best window, the mean and the length."""
-        saved = self.saved(windows(text))
-        n = max(1, len(saved))
-        passed = [int((saved >= t).sum()) for t in THRESHOLDS]
-        top = np.sort(saved)[-3:] if len(saved) else np.zeros(1)
-        return [*np.log1p(passed), *np.log1p([1000 * p / n for p in passed]), float(top.max()), float(top.mean()), float(np.maximum(saved - 2, 0).sum() / n * 10), float(saved.sum() / n), float(np.log1p(n))]
+    @staticmethod
+    def _lengths(compressor, blocks: list[bytes]) -> np.ndarray:
+        if not blocks:
+            return np.zeros(0, np.int64)
+        out = compressor.multi_compress_to_buffer(blocks, threads=1)
+        return np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out))
 
-
-def train_dictionaries(samples: list[bytes], toxic: list[str], ordinary: list[str]) -> Distance:
-    """A common part trained on windows of ordinary text, with its entropy tables, and after it each class's own segments, the most telling last."""
+    def statistics(self, text: str) -> list[float]:
+        """What the calibration weighs: how many windows pass each threshold, in number and in share, the best windows, the mean and the length."""
+        counts = np.zeros(_HIGH - _LOW + 1, np.int64)
+        for part in windows(text):
+            counts += np.bincount(np.clip(self.saved(part), _LOW, _HIGH) - _LOW, minlength=len(counts))
+        n = max(1, int(counts.sum()))
+        values = np.arange(_LOW, _HIGH + 1)
+        above = np.cumsum(counts[::-1])[::-1]
+        passed = np.array([above[t - _LOW] for t in THRESHOLDS])
+        top = np.repeat(values[::-1], np.minimum(counts[::-1], 3))[:3] if counts.any() else np.zeros(1)
+        return [*np.log1p(passed), *np.log1p(1000 * passed / n), float(top.max()), float(top.mean()), float((values * counts).sum() / n), float(np.log1p(n))]
+
+
+def _trained(samples: list[bytes], size: int) -> bytes:
     import zstandard
 
     try:
-        common = zstandard.train_dictionary(COMMON_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too few or too uniform samples to train on
-        common = b" " + b" ".join(samples)[-COMMON_BYTES:]
-    join = lambda found: (" " + " ".join(reversed(found)) + " ").encode("utf-8", "surrogatepass")
-    return Distance(common + join(toxic) + CARRIER, common + join(ordinary) + CARRIER)
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=MATCH).as_bytes()
+    except zstandard.ZstdError:  # too few or too uniform samples to train on: they are the dictionary
+        return b" " + b" ".join(samples)[-size:]
+
+
+def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Distance:
+    """A dictionary trained on windows of toxic text and one trained on windows of ordinary text.
+
+    The content of the ordinary one also stands before that of the toxic one, with the same tables in front, so that
+    what is common to all text is shortened alike and only toxic content makes a difference.
+    """
+    common, own = _trained(ordinary, ORDINARY_BYTES), _trained(toxic, TOXIC_BYTES)
+    at = own.find(_TABLES_END)
+    return Distance(common + (own[at + len(_TABLES_END) :] if at >= 0 else own) + CARRIER, common + CARRIER)
 
 
 class Calibration:
@@ -114,49 +150,54 @@ class Calibration:
 
 
 def _sampled(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (key, label, part 0 to 2, words, windows) of the sampled documents, one per id."""
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("windows", T.ArrayType(T.StringType()))])
+    """Rows (key, label, part 0 to 2) of the sampled documents, one per id: with the text in part 0, with its windows in the others.
+
+    Of rows that repeat an id the text with the least hash counts.
+    """
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("windows", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text"):
-            sets, shown = [], []
-            for text in b.column("_text").to_pylist():
-                found = windows(text or "")
-                sets.append(sorted(set(found)))
-                step = max(8, len(found) // WINDOWS_PER_DOCUMENT)
-                shown.append([" ".join(found[i : i + 8]) for i in range(0, len(found), step)][:WINDOWS_PER_DOCUMENT])
-            kind = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("label"), pa.array(sets, kind), pa.array(shown, kind)], [f.name for f in schema.fields])
+        for b in slices(batches, "text"):
+            parts, texts = b.column("part").to_pylist(), b.column("text").to_pylist()
+            kept = [None if part else text for part, text in zip(parts, texts)]
+            shown = [[w for some in windows(text, TRAINING_WINDOW, TRAINING_WINDOW) for w in some] if part else None for part, text in zip(parts, texts)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "label", "part")), pa.array(kept, pa.string()), pa.array(shown, pa.list_(pa.string()))], [f.name for f in schema.fields])
 
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), id_col)
-    held = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("key"), "label", "_text").mapInArrow(run, schema).dropDuplicates(["key"])
-    return held.withColumn("part", F.pmod("key", F.lit(3)))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(id_col, text.alias("_text")).join(F.broadcast(sample), id_col).groupBy(id_col).agg(F.min("label").alias("label"), F.min_by("_text", F.xxhash64("_text")).alias("text"))
+    key = F.xxhash64(F.col(id_col).cast("string"))
+    return stored(rows.select(key.alias("key"), "label", F.pmod(key, F.lit(3)).cast("int").alias("part"), "text").mapInArrow(run, schema), "sampled")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> tuple[Distance, Calibration] | None:
     """Dictionaries and calibration from ``sample_rows`` labelled rows at most that are not held out; None if a class has no row.
 
-    The contrast of a word is by how many standard deviations more toxic documents hold it than their share of all
-    sampled documents would have. Word counts are made in Spark; the driver holds the ``SEGMENTS`` most telling words
-    of either class, a few windows per sampled document and the statistics of the calibrating third.
+    Windows that copies share count once. The contrast of a word is by how many standard deviations more of the
+    different windows of toxic documents hold it than their share of all windows would have. Of n words without any
+    contrast, the greatest is about sqrt(2 ln n), and words above that lead to the windows for the toxic dictionary.
+    Words are counted in Spark; the driver holds the training windows and the statistics of the calibrating third, both
+    of bounded number.
     """
     train = training_labels(labels, label_col, lambda i: remainder(i, MODULUS) != HELD_OUT, id_col)
     sample, stands_for = bounded_sample(train, sample_rows, id_col)
-    held = cut(_sampled(docs, sample, id_col, text_col))
-    totals = {r["label"]: r["n"] for r in held.where("part > 0").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    held = _sampled(docs, sample, id_col, text_col)
+    shown = held.where("part > 0").select("label", F.explode("windows").alias("window")).distinct()
+    totals = {r["label"]: r["n"] for r in shown.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return None
     share = totals[1] / (totals[0] + totals[1])
-    counts = held.where("part > 0").select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("all"))
+    each = shown.select("label", "window", F.explode(F.array_distinct(F.split("window", " "))).alias("word"))
+    counts = each.groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("all"))
+    least = math.sqrt(2 * math.log(max(2, counts.count())))
     expected = F.col("all") * share
-    contrast = (F.col("toxic") - expected) / F.sqrt(expected * (1 - share) + 0.5)
-    told = counts.select("word", "toxic", "all", contrast.alias("contrast"))
-    toxic = [r["word"] for r in told.where((F.col("contrast") >= CONTRAST) & (F.col("toxic") >= LEAST_DOCUMENTS)).orderBy(F.desc("contrast"), "word").limit(SEGMENTS).collect()]
-    ordinary = [r["word"] for r in told.orderBy("contrast", "word").limit(max(200, len(toxic))).collect()]
-    samples = [r["window"].encode("utf-8", "surrogatepass") for r in held.where("part > 0 AND label = 0").select("key", F.explode("windows").alias("window")).orderBy("key", "window").collect()]
-    distance = train_dictionaries(samples, toxic, ordinary)
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), id_col).withColumn("key", F.xxhash64(F.col(id_col).cast("string"))).where(F.pmod("key", F.lit(3)) == 0)
-    x, y = _calibrating(rows, distance)
+    telling = counts.where(((F.col("toxic") - expected) / F.sqrt(expected * (1 - share) + 0.5) >= least) & (F.col("toxic") >= LEAST_WINDOWS)).select("word")
+
+    def chosen(rows: DataFrame) -> list[bytes]:
+        return [r["window"].encode("utf-8", "surrogatepass") for r in rows.orderBy(F.xxhash64("window"), "window").limit(TRAINING_WINDOWS).collect()]
+
+    hot = each.where("label = 1").join(telling, "word", "left_semi").select("window").distinct()
+    distance = train_dictionaries(chosen(hot), chosen(shown.where("label = 0").select("window")))
+    x, y = _calibrating(held.where("part = 0"), distance)
     if len(set(y.tolist())) < 2:
         return None
     return distance, Calibration(x, y, np.where(y == 1, stands_for[1], stands_for[0]) / max(stands_for.values()))
@@ -166,11 +207,11 @@ def _calibrating(rows: DataFrame, distance: Distance) -> tuple[np.ndarray, np.nd
     schema = "key long, label int, x array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text"):
-            x = [distance.statistics(t or "") for t in b.column("_text").to_pylist()]
+        for b in slices(batches, "text"):
+            x = [distance.statistics(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("label"), pa.array(x, pa.list_(pa.float64()))], ["key", "label", "x"])
 
-    found = rows.select("key", "label", "_text").mapInArrow(run, schema).groupBy("key").agg(F.min("label").alias("label"), F.min("x").alias("x")).orderBy("key").collect()
+    found = rows.select("key", "label", "text").mapInArrow(run, schema).orderBy("key").collect()
     return np.array([r["x"] for r in found], float).reshape(len(found), -1), np.array([r["label"] for r in found], float)
 
 

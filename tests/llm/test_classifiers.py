@@ -89,9 +89,54 @@ def test_words_like_a_pattern():
     assert w.rows().tolist() == [i for i, t in enumerate(want) for _ in t]
 
 
-def test_no_memo_limit_changes_a_result(monkeypatch):
-    d = toxicity.train_dictionaries([b"the same old text"] * 20, ["scum"], ["fine"])
-    words = ["scum", "fine", "other", "scum"]
-    first = d.saved(words).tolist()
-    monkeypatch.setattr(toxicity, "MEMO", 0)
-    assert d.saved(words).tolist() == first and first[0] > 2 > first[2]
+def test_windows_do_not_depend_on_the_parts(monkeypatch):
+    words = [f"w{i}" for i in range(103)]
+    for size, step in ((4, 2), (3, 1), (3, 3)):
+        want = [" ".join(words[i : i + size]) for i in range(0, max(1, len(words) - size + step), step)]
+        for at_once in (7, 8, 50, 103, 1000):
+            monkeypatch.setattr(toxicity, "_WORDS_AT_ONCE", at_once)
+            assert [w for part in toxicity.windows(" ".join(words), size, step) for w in part] == want
+            assert {x for w in want for x in w.split()} == set(words)
+    assert [w for part in toxicity.windows("") for w in part] == [] and [w for part in toxicity.windows("One") for w in part] == ["one"]
+
+
+def test_toxicity_scores_by_a_plain_reading(tables):
+    """Each score from the two dictionaries alone: every window compressed with both by itself, thresholds counted, logistic weights."""
+    import zstandard
+
+    docs, labels = tables
+    model = toxicity.fit(docs, labels, sample_rows=300)
+    distance, calibration = model
+    assert b"idiot" in distance.dictionaries[0] and b"idiot" not in distance.dictionaries[1] and zstandard.ZstdCompressionDict(distance.dictionaries[1]).dict_id()
+    got = sorted((r.doc_id if r.doc_id is not None else -1, round(r.score, 9)) for r in toxicity.score(docs, model).collect())
+    want = []
+    for r in docs.collect():
+        words = __import__("re").findall(r"[^\W_]+", (r.text or "").lower())
+        saved = []
+        for i in range(0, max(1, len(words) - 2), 2):
+            if words:
+                block = toxicity.CARRIER + f" {' '.join(words[i : i + 4])} ".encode() + toxicity.TRAILER
+                saved.append(len(distance.ordinary.compress(block)) - len(distance.toxic.compress(block)))
+        n = max(1, len(saved))
+        passed = [sum(s >= t for s in saved) for t in range(1, 11)]
+        top = sorted(saved, reverse=True)[:3] or [0]
+        x = [np.log1p(p) for p in passed] + [np.log1p(1000 * p / n) for p in passed] + [top[0], np.mean(top), sum(saved) / n, np.log1p(n)]
+        z = calibration.beta[0] + sum(b * np.clip((v - m) / s, -5, 5) for b, v, m, s in zip(calibration.beta[1:], x, calibration.mean, calibration.scale))
+        want.append((r.doc_id if r.doc_id is not None else -1, round(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), 9)))
+    assert got == sorted(want)
+
+
+def test_quality_scores_by_a_plain_reading(tables):
+    """Each score of the query's rows, from the model by the sum over all pairs of features, one text at a time."""
+    docs, labels = tables
+    model = quality.fit(docs, labels, sample_rows=300)
+    m = model.machine
+    cross = m.factors.astype(float) @ m.factors.astype(float).T
+    got = sorted((r.doc_id if r.doc_id is not None else -1, round(r.score, 4)) for r in quality.score(docs, model).collect())
+    want = []
+    for r in docs.collect():
+        x = model.inputs(*quality.features(pa.array([r.text], pa.string()), pa.array([r.n_chars], pa.int64())))[0].astype(float)
+        at = np.flatnonzero(x)
+        z = m.bias[0] + x @ m.weights + sum(x[i] * x[j] * cross[i, j] for k, i in enumerate(at) for j in at[:k])
+        want.append((r.doc_id if r.doc_id is not None else -1, round(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), 4)))
+    assert len(got) == len(want) and max(abs(a[1] - b[1]) for a, b in zip(got, sorted(want))) < 2e-3
