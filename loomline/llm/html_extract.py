@@ -8,14 +8,14 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.spark_io import cut, slices, stored
+from loomline.llm.spark_io import slices, stored
 
-#: A subtree is template if it is on so many pages of its host that differ in their text, and on this share of them; inside
-#: an article, where lines that many pages share may be its own, on the greater share.
+#: A subtree is template if it is on so many pages of its host, or of one design there, that differ in their text, and on this share
+#: of them; inside an article, where lines that many pages share may be its own, on the greater share.
 LEAST_PAGES, LEAST_SHARE, INSIDE_SHARE = 5, 0.5, 0.8
 
 # Names of HTML.
@@ -241,31 +241,44 @@ def host_of(url_col: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def design_of(html: Column) -> Column:
+    """A hash of the design of a page: which of HTML's sectioning elements it has, with their class names, digits left out."""
+    parts = F.regexp_extract_all(html, F.lit(r"(?i)<(?:body|main|article|section|nav|aside|header|footer|form)(?=[\s/>])[^<>]*+"), F.lit(0))
+    named = F.transform(parts, lambda x: F.lower(F.concat(F.regexp_extract(x, r"^<([a-zA-Z]+)", 1), F.lit(" "), F.regexp_replace(F.regexp_extract(x, r"(?i)\sclass\s*=\s*[\"']?([^\"'>]*)", 1), "[0-9]+", ""))))
+    return F.xxhash64(F.sort_array(F.array_distinct(named)))
+
+
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, inside_share: float = INSIDE_SHARE) -> DataFrame:
-    """Rows (host, template array<long>, sure array<long>): the hashes of subtrees that recur on many pages of a host, and of those on more.
+    """Rows (host, design, template array<long>, sure array<long>): the hashes of subtrees that recur on many pages, and of those on more.
 
-    Pages with the same text count as one, so that copies of an article don't make it a template.
+    Subtrees are counted on the pages of each host and design, and, in the rows without a design, on all pages of the
+    host, so a block of one section of a large host is found as well as one that is everywhere. Pages with the same
+    text count as one, so that copies of an article don't make it a template.
     """
-    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("text_hash", T.LongType()), T.StructField("subtree", T.LongType())])
+    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("design", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("subtree", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_html"):
-            hosts, texts, subtrees = [], [], []
-            for host, source in zip(b.column("host").to_pylist(), b.column("_html").to_pylist()):
+            rows, texts, subtrees = [], [], []
+            for row, source in enumerate(b.column("_html").to_pylist()):
                 page = Page(source)
                 found = {h for h in page.hashes() if h is not None}
                 text = xxhash.xxh64_intdigest(page.text().encode("utf-8", "surrogatepass")) - (1 << 63)
-                hosts += [host] * (len(found) + 1)
+                rows += [row] * (len(found) + 1)
                 texts += [text] * (len(found) + 1)
                 subtrees += [None, *found]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(texts, pa.int64()), pa.array(subtrees, pa.int64())], [f.name for f in schema.fields])
-
-    rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("_html")).where("host <> ''").mapInArrow(run, schema)
-    counts = cut(rows.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where((F.col("n") >= least_pages) | F.col("subtree").isNull()))
-    per_host = counts.where("subtree IS NULL").select("host", F.col("n").alias("pages"))
-    often = counts.where("subtree IS NOT NULL").join(per_host, "host").where(F.col("n") >= F.col("pages") * least_share)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("host").take(at), b.column("design").take(at), pa.array(texts, pa.int64()), pa.array(subtrees, pa.int64())], [f.name for f in schema.fields])
+
+    html = F.col(html_col).cast("string")
+    rows = pages.select(host_of(url_col).alias("host"), design_of(html).alias("design"), html.alias("_html")).where("host <> ''").mapInArrow(run, schema)
+    by_design = stored(rows.distinct().groupBy("host", "design", "subtree").agg(F.count("*").alias("n")), "subtrees")
+    by_host = by_design.groupBy("host", "subtree").agg(F.sum("n").alias("n")).select("host", F.lit(None).cast("long").alias("design"), "subtree", "n")
+    counts = by_design.unionByName(by_host)
+    whole = counts.where("subtree IS NULL").select("host", F.col("design").alias("_design"), F.col("n").alias("pages"))
+    often = counts.where(F.col("subtree").isNotNull() & (F.col("n") >= least_pages)).join(whole.withColumnRenamed("host", "_host"), (F.col("host") == F.col("_host")) & F.col("design").eqNullSafe(F.col("_design"))).where(F.col("n") >= F.col("pages") * least_share)
     sure = F.when(F.col("n") >= F.col("pages") * inside_share, F.col("subtree"))
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("template"), F.sort_array(F.collect_list(sure)).alias("sure"))
+    return often.groupBy("host", "design").agg(F.sort_array(F.collect_list("subtree")).alias("template"), F.sort_array(F.collect_list(sure)).alias("sure"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, inside_share: float = INSIDE_SHARE) -> DataFrame:
@@ -273,18 +286,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     The text is that of the article: its blocks in page order, one per line, references decoded and white space made
     one space. A null or empty page has an empty text; a page without a host has no template; repeated rows and null
-    ids are kept; other columns are ignored. The templates are written to the shared folder and joined by host, so
-    that Spark sees their size before it chooses how to join. At ``least_share`` a host's list is no longer than two
-    average pages have subtrees.
+    ids are kept; other columns are ignored. The templates are written to the shared folder and joined by host and
+    design, so that Spark sees their size before it chooses how to join. At ``least_share`` a list is no longer than
+    two average pages have subtrees.
     """
     known = stored(templates(pages, url_col, html_col, least_pages, least_share, inside_share), "templates")
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_html"):
-            columns = (b.column(c).to_pylist() for c in ("_html", "template", "sure"))
-            found = [Page(source).text(template or (), sure or ()) for source, template, sure in zip(*columns)]
+            columns = (b.column(c).to_pylist() for c in ("_html", "template", "sure", "own_template", "own_sure"))
+            found = [Page(source).text((*(template or ()), *(own or ())), (*(sure or ()), *(own_sure or ()))) for source, template, sure, own, own_sure in zip(*columns)]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], [f.name for f in schema.fields])
 
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).cast("string").alias("_html"), host_of(url_col).alias("host"))
-    return rows.join(known, "host", "left").select("_id", "_url", "_html", "template", "sure").mapInArrow(run, schema)
+    html = F.col(html_col).cast("string")
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), html.alias("_html"), host_of(url_col).alias("host"), design_of(F.coalesce(html, F.lit(""))).alias("design"))
+    everywhere = known.where("design IS NULL").select("host", "template", "sure")
+    own = known.where("design IS NOT NULL").select("host", "design", F.col("template").alias("own_template"), F.col("sure").alias("own_sure"))
+    return rows.join(everywhere, "host", "left").join(own, ["host", "design"], "left").select("_id", "_url", "_html", "template", "sure", "own_template", "own_sure").mapInArrow(run, schema)

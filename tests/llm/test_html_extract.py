@@ -60,6 +60,29 @@ def test_lines_that_articles_share(spark):
     assert texts == {i: f"own text of page {i}" + "\nshared" * (i % 3 > 0) for i in range(30)}
 
 
+def test_blocks_of_one_section_of_a_host(spark):
+    """Menus, notices and side blocks without a telling tag or class, each on the pages of one design: rules keep them, counts remove them."""
+    rows, want = [], {}
+    for i in range(60):
+        kind = ("news", "shop post-%d" % i, "wiki")[i % 3]
+        menu = "<div><div><a href='/'>Start</a> <a href='/x'>Topics</a></div></div>"
+        notice, side = f"<div><p>What to know about {kind[:4]} before you read on</p></div>", f"<div><b>Also in {kind[:4]}</b><p>One</p><p>Two</p></div>"
+        own = [f"first block of page {i}", f"second block of page {i}"]
+        rows.append((i, "http://large.example/", f"<body class='{kind}'>{menu}{notice}<div>" + "".join(f"<p>{x}</p>" for x in own) + f"<p>{'common' if i % 5 == 0 else 'rare'} line</p></div>{side}</body>"))
+        want[i] = "\n".join([*own, "common line" if i % 5 == 0 else "rare line"])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in X.extract(pages).collect()}
+    assert all("know about" in X.Page(r[2]).text() and "Topics" in X.Page(r[2]).text() and "Also in" in X.Page(r[2]).text() for r in rows)
+    assert {i: t.replace("\nrare line", "") for i, t in texts.items()} == {i: t.replace("\nrare line", "") for i, t in want.items()}
+
+
+def test_long_attributes_and_depth_keep_the_rules():
+    value = "x" * 5000 + ">" + "y" * 5000
+    assert X.Page(f'<p title="{value}">q</p><nav>m</nav>').text() == "q"
+    deep = "<div>" * 1000
+    assert X.Page(f"{deep}<p>body</p><nav>MENU</nav><div class='comments'>READER</div>").text() == "body"
+
+
 def test_empty(spark):
     assert X.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
