@@ -1,8 +1,9 @@
-"""WARC archives: writing pages as records with Spark's text writer, reading them back, assembling captures."""
+"""WARC archives: writing pages as zipped records, reading them back, assembling captures."""
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -14,7 +15,8 @@ from pyspark.sql import types as T
 
 from loomline.llm.spark_io import cut, scratch
 
-DATE = "2024-01-01T00:00:00Z"
+#: Zipped records are written in rows of about so many bytes, and so many rows make an archive.
+CHUNK_BYTES, CHUNKS_PER_ARCHIVE = 8 << 20, 8
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n\r\n"
 
@@ -27,9 +29,10 @@ def base32_sha1(data: Column) -> Column:
 
 
 def _record(kind: str | Column, record_id: Column, headers: list[Column], block: Column) -> Column:
-    """One record as bytes in a string, without the two line ends after it, which the writer's line separator adds."""
+    """One record as bytes in a string, without the two line ends after it."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), record_id, F.lit(f"\r\nWARC-Date: {DATE}"), *headers)
+    date = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), record_id, F.lit("\r\nWARC-Date: "), date, *headers)
     return F.concat(head, F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(_END), block)
 
 
@@ -38,31 +41,72 @@ def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"\r\n{name}: "), F.regexp_replace(value, r"[\x00-\x1f\x7f]", "%20")), F.lit(""))
 
 
-def _urn(part: str, row: Column) -> Column:
-    """A record id made from the part and the row's key, written like a UUID. A row's records are written by one task, so they agree."""
-    h = F.sha2(F.concat(F.lit(f"{part}:"), row), 256)
+def _urn(part: str, key: Column) -> Column:
+    """A record id made from the part and a key, written like a UUID."""
+    h = F.sha2(F.concat(F.lit(f"{part}:"), key), 256)
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), F.lit(">"))
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> None:
-    """Writes three records per row of ``pages`` (response or revisit, request, metadata) as gzip archives in ``path``.
+def _key(page: Column, digest: Column) -> Column:
+    return F.concat_ws(" ", F.coalesce(page.cast("string"), F.lit("")), digest)
+
+
+def zipped(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Rows ``value`` of about ``chunk_bytes`` of gzip members, one for each record of all columns, a row after the other.
+
+    The last byte of a row is left out: it is zero, and the writer's line separator puts it back. It is the top byte of
+    the last record's size; after one of 16 MiB or more comes an empty member, whose size is zero.
+    """
+    empty = gzip.compress(b"", mtime=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bytearray()
+
+        def row() -> pa.RecordBatch:
+            if held[-1]:
+                held.extend(empty)
+            out = pa.RecordBatch.from_arrays([pa.array([bytes(held[:-1])], pa.binary())], ["value"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                for column in batch.columns:
+                    held.extend(gzip.compress(b"".join((column[k].as_buffer(), b"\r\n\r\n")), 6, mtime=0))
+                if len(held) >= chunk_bytes:
+                    yield row()
+        if held:
+            yield row()
+
+    return records.mapInArrow(run, "value binary")
+
+
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> None:
+    """Writes three records per row of ``pages`` (response or revisit, request, metadata), each a gzip member, as archives in ``path``.
 
     Of rows with the same payload of ``min_bytes`` or more the one with the smallest id is a response and the others
-    revisit it; rows that share this smallest id are all responses. A null payload
-    is empty, a null url or id leaves its header out. The request and the metadata point to the response or revisit
-    through WARC-Concurrent-To; the metadata record carries the page's id. An archive holds about as much as one
-    split of the input.
+    revisit it; rows that share this smallest id are all responses. A revisit names the response's url and page, and
+    its record where the page is one row. A null payload is empty, a null url or id leaves its header out. The request
+    and the metadata point to the response or revisit through WARC-Concurrent-To; the metadata record carries the
+    page's id. An archive holds ``CHUNKS_PER_ARCHIVE`` rows of ``chunk_bytes``, each by one capture longer at most.
+
+    Equal payloads are found on ids and digests alone; the payloads move once, by id and digest, if at all.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload"))
-    first = rows.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "bytes", "first")
-    rows = rows.join(first, ["digest", "bytes"], "left")
+    each = rows.groupBy("id", "digest", "bytes").agg(F.count("*").alias("n"), F.min("url").alias("url"))
+    first = each.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.min_by("n", "id").alias("first_n"), F.min_by("url", "id").alias("first_url"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    told = each.where("n > 1 OR bytes >= " + str(int(min_bytes))).join(first, ["digest", "bytes"], "left").where("n > 1 OR first IS NOT NULL").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "n", "first", "first_n", "first_url")
+    rows = rows.join(told, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    key = F.concat_ws(" ", F.col("id").cast("string"), "digest", F.monotonically_increasing_id().cast("string"))
-    rows = rows.withColumn("key", key).withColumn("again", again)
-    main = F.when(F.col("again"), _urn("revisit", F.col("key"))).otherwise(_urn("response", F.col("key")))
-    rows = rows.withColumn("main", main)
+    own = _key(F.col("id"), F.col("digest"))
+    rows = rows.withColumn("key", F.when(F.col("n") > 1, F.concat_ws(" ", own, F.monotonically_increasing_id().cast("string"))).otherwise(own)).withColumn("again", again)
+    rows = rows.withColumn("main", F.when(F.col("again"), _urn("revisit", F.col("key"))).otherwise(_urn("response", F.col("key"))))
+    refers = F.concat(
+        F.lit(f"\r\nWARC-Profile: {REVISIT_PROFILE}"), F.when(F.col("first_n") == 1, F.concat(F.lit("\r\nWARC-Refers-To: "), _urn("response", _key(F.col("first"), F.col("digest"))))).otherwise(""),
+        _header("WARC-Refers-To-Target-URI", F.col("first_url")), F.lit("\r\nWARC-Refers-To-Page: "), F.url_encode(F.col("first").cast("string")),
+    )
     url = _header("WARC-Target-URI", F.col("url"))
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ")
     head = F.concat(http, F.col("bytes").cast("string"), F.lit(_END))
@@ -70,7 +114,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     response = _record(
         F.when(F.col("again"), "revisit").otherwise("response"), F.col("main"),
         [url, F.lit("\r\nContent-Type: application/http;msgtype=response\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
-         F.when(F.col("again"), F.concat(F.lit(f"\r\nWARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To-Page: "), F.col("first").cast("string"))).otherwise("")],
+         F.when(F.col("again"), refers).otherwise("")],
         block,
     )
     near = [url, F.lit("\r\nWARC-Concurrent-To: "), F.col("main")]
@@ -78,10 +122,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     host_of = F.regexp_replace(F.coalesce(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#]*)", 1), F.lit("")), r"[\x00-\x20\x7f]", "%20")
     asked = F.concat(F.lit("GET "), F.when(path_of.startswith("/"), path_of).otherwise(F.concat(F.lit("/"), path_of)), F.lit(" HTTP/1.1\r\nHost: "), host_of, F.lit(_END))
     request = _record("request", _urn("request", F.col("key")), [*near, F.lit("\r\nContent-Type: application/http;msgtype=request")], asked)
-    about = F.concat(F.lit("format: html"), _header("pageId", F.col("id").cast("string")), F.lit("\r\npayloadBytes: "), F.col("bytes").cast("string"), F.lit("\r\n"))
+    about = F.concat(F.lit("format: html"), _header("pageId", F.url_encode(F.col("id").cast("string"))), F.lit("\r\npayloadBytes: "), F.col("bytes").cast("string"), F.lit("\r\n"))
     metadata = _record("metadata", _urn("metadata", F.col("key")), [*near, F.lit("\r\nContent-Type: application/warc-fields")], about)
-    records = rows.select(F.explode(F.array(response, request, metadata)).alias("value"))
-    records.write.option("lineSep", _END).option("compression", "gzip").text(path)
+    records = rows.select(*[r.cast("binary").alias(n) for r, n in ((response, "response"), (request, "request"), (metadata, "metadata"))])
+    lines = zipped(records, chunk_bytes).select(F.col("value").cast("string"))
+    lines.write.option("lineSep", "\0").option("maxRecordsPerFile", CHUNKS_PER_ARCHIVE).text(path)
 
 
 RECORD = T.StructType(
@@ -93,7 +138,7 @@ RECORD = T.StructType(
 class _Stream:
     """Bytes of one archive, unzipped as they are asked for."""
 
-    def __init__(self, content: bytes, step: int = 1 << 20):
+    def __init__(self, content: bytes, step: int = 1 << 16):
         self.content, self.at, self.step, self.held = memoryview(content), 0, step, bytearray()
         self.unzip = zlib.decompressobj(31) if bytes(self.content[:2]) == b"\x1f\x8b" else None
 
@@ -164,7 +209,7 @@ def read_archives(spark: SparkSession, path: str, with_block: bool = True) -> Da
                 if rows:
                     yield _batch(rows)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(run, RECORD)
 
 
@@ -190,7 +235,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def _field(block: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(block.cast("string"), rf"(?m)^{name}: (.*?)\r?$", 1), F.lit(""))
+    return F.url_decode(F.nullif(F.regexp_extract(block.cast("string"), rf"(?m)^{name}: (.*?)\r?$", 1), F.lit("")))
 
 
 def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, path: str | None = None, with_block: bool = False) -> DataFrame:
@@ -200,7 +245,7 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
     ``pages``. payload_bytes and payload_digest of a revisit are those of the full payload, from its metadata and
     header. ``digest_ok`` tells whether the digest computed from the bytes read equals the stated one. Repeated rows
     are captures of their own. An empty table gives no rows; a null id gives a capture with a null id, which is no
-    response to others unless all their ids are null; other columns are ignored. Ids hold no control characters.
+    response to others unless all their ids are null; other columns are ignored; ids of any characters come back as they were.
     """
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
@@ -209,7 +254,7 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
     kind = pages.schema[id_col].dataType
     flat = found.select(
         _field(F.col("metadata.block"), "pageId").cast(kind).alias(id_col), F.col("response.url").alias("url"), F.col("response.type").alias("record_type"),
-        F.col("response.refers_to_page").cast(kind).alias("refers_to"), F.col("response.stated_digest").alias("payload_digest"),
+        F.url_decode("response.refers_to_page").cast(kind).alias("refers_to"), F.col("response.stated_digest").alias("payload_digest"),
         F.coalesce(F.col("response.payload_bytes"), _field(F.col("metadata.block"), "payloadBytes").cast("long")).alias("payload_bytes"),
         F.coalesce(F.col("response.payload_digest"), F.col("response.stated_digest")).eqNullSafe(F.col("response.stated_digest")).alias("digest_ok"),
         F.struct("capture_id", "response", "request", "metadata").alias("capture"),

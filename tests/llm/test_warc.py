@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import zlib
 
 from loomline.llm import warc as W
 
@@ -70,5 +71,38 @@ def test_requests_without_response(spark):
     assert [(r.capture_id, r.response, r.request.record_id, r.metadata.record_id) for r in got] == [("gone", None, "r", "m")]
 
 
+def test_members_archives_and_standard_headers(spark, tmp_path):
+    """Each record is a gzip member of its own, archives are bounded by bytes, and a revisit names the response's record."""
+    import random
+
+    rng = random.Random(2)
+    noise = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(6_000_000))  # one record over 16 MiB
+    rows = [(i, f"http://h.example/{i}", "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000))) for i in range(200)]
+    rows += [(1000, "http://h.example/first", "same"), (1001, "http://h.example/again", "same"), (2000, "http://h.example/large", noise)]
+    W.write_archives(frame(spark, rows).repartition(2), str(tmp_path / "w"), chunk_bytes=20_000)
+    files = sorted((tmp_path / "w").glob("part-*"))
+    raw = [f.read_bytes() for f in files]
+    assert len(files) > 4 and all(len(x) < 8 * 35_000 for x in raw if len(x) < 10_000_000) and sum(len(x) >= 10_000_000 for x in raw) == 1
+    text, members = {}, 0
+    for content in raw:
+        while content:
+            unzip = zlib.decompressobj(31)
+            record = unzip.decompress(content) + unzip.flush()
+            assert unzip.eof and (not record or record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n"))
+            members, content = members + bool(record), unzip.unused_data
+            head = dict(x.split(": ", 1) for x in record.split(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+            text[head.get("WARC-Type"), head.get("WARC-Target-URI")] = head
+    assert members == 3 * len(rows)
+    again, first = text["revisit", "http://h.example/again"], text["response", "http://h.example/first"]
+    assert again["WARC-Refers-To"] == first["WARC-Record-ID"] and again["WARC-Refers-To-Target-URI"] == first["WARC-Target-URI"] and again["WARC-Payload-Digest"] == first["WARC-Payload-Digest"]
+    assert len(W.read_archives(spark, str(tmp_path / "w"), with_block=False).collect()) == 3 * len(rows)
+
+
+def test_ids_of_any_characters(spark):
+    rows = [("a\r\nb: c", "u", "same"), ("a\r\nb: d", "u", "same"), ("é % + \t", None, "other"), (" ", "v", "third")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    assert sorted((r.page_id, r.refers_to) for r in W.captures(pages).collect()) == sorted([("a\r\nb: c", None), ("a\r\nb: d", "a\r\nb: c"), ("é % + \t", None), (" ", None)])
+
+
 def test_empty(spark):
     assert W.captures(frame(spark).limit(0)).collect() == []
