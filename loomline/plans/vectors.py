@@ -80,9 +80,11 @@ def scene_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CLU2, CLU3: constrained average linkage in blocks, two named groups a block, four items a slide."""
-    rows = _slides(spark, sf_dir).select("tray", "vec_id", "embedding", F.floor(F.col("vec_id") / 4).alias("slide"), F.when(F.col("vec_id") % 25 < 2, (F.col("vec_id") % 25).cast("int")).alias("owner"))
-    return sequence.cluster_items(rows, "tray", "vec_id", "embedding", "slide", "owner", 0.1)
+    """CLU2, CLU3: constrained average linkage over all faces of the library: existing people, faces they were rejected from, four faces a slide."""
+    k = F.col("vec_id")
+    rows = _slides(spark, sf_dir).select("vec_id", "embedding", F.floor(k / 4).alias("slide"), F.when(k % 25 == 0, F.col("label")).alias("owner"))
+    rejected = rows.where(k % 7 == 0).select("vec_id", F.explode(F.array((k % 10).cast("int"), (k % 3).cast("int"))).alias("owner"))
+    return sequence.cluster_items(rows, "vec_id", "embedding", "slide", "owner", rejected, 0.25)
 
 
 def spread_names(spark: SparkSession, sf_dir: str) -> DataFrame:
