@@ -40,6 +40,8 @@ match hotel restaurant cafe bar strasse str gasse platz weg straat laan plein bo
 bank insurance""".split()
 )
 BIG, LEAST, NEAREST_KM = 100_000, 0.3, 25.0
+#: Letters of a query that its join is on.
+HEAD = 12
 
 
 def city_keys(cities: DataFrame) -> DataFrame:
@@ -52,11 +54,12 @@ def city_keys(cities: DataFrame) -> DataFrame:
 def prefix_search(queries: DataFrame, keys: DataFrame, query_id: str, query: str, limit: int = 8) -> DataFrame:
     """Rows (query_id, city_id, rank): cities some key of which begins with the query: exact first, then primary, then by population.
 
-    Keys and queries meet by the query's first letters, so that the join has an equality; the rest is a range test.
+    Keys are dealt out under each of their beginnings of two to ``HEAD`` letters, so keys and queries meet on an
+    equality that is as selective as the query is long; only the rest of a longer query is a test.
     """
-    head = lambda c: F.substring(c, 1, 2)
-    asked = queries.select(query_id, X.fold(F.col(query)).alias("_q")).where("length(_q) >= 2")
-    met = asked.withColumn("_h", head(F.col("_q"))).join(keys.withColumn("_h", head(F.col("key"))), "_h").where(F.col("key").startswith(F.col("_q")))
+    asked = queries.select(query_id, X.fold(F.col(query)).alias("_q")).where("length(_q) >= 2").withColumn("_h", F.substring("_q", 1, HEAD))
+    begun = keys.where("length(key) >= 2").withColumn("_h", F.explode(F.transform(F.sequence(F.lit(2), F.least(F.length("key"), F.lit(HEAD))), lambda n: F.substring("key", F.lit(1), n))))
+    met = asked.join(begun, "_h").where(F.col("key").startswith(F.col("_q")))
     rank = F.struct((F.col("key") != F.col("_q")).alias("inexact"), (~F.col("is_primary")).alias("other"), (-F.col("pop")).alias("less"))
     best = met.groupBy(query_id, "city_id").agg(F.min(rank).alias("r"))
     return best.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy("r", "city_id"))).where(F.col("rank") <= limit).select(query_id, "city_id", "rank")

@@ -24,9 +24,11 @@ def newest_examples(examples: DataFrame, order: str, most: int = MAX_EXAMPLES) -
     return examples.orderBy(F.desc(order)).limit(most)
 
 
-def nearest(queries: DataFrame, examples: DataFrame, query_id: str, order: str, features: str, k: int = K, max_distance: float = MAX_DISTANCE, most: int = MAX_EXAMPLES) -> DataFrame:
+def nearest(queries: DataFrame, examples: DataFrame, query_id: str, order: str, features: str, k: int = K, max_distance: float = MAX_DISTANCE, most: int = MAX_EXAMPLES, others: bool = False) -> DataFrame:
     """Rows (query_id, the example's columns, distance, rank): the k nearest examples of each query that lie within the distance.
 
+    With ``others`` an example whose ``order`` is the query's id is the query itself and left out.
+
     Distance is the root of the mean squared difference of standardised features. Examples are at most ``most``, so
     they are broadcast, and Spark keeps the k best of each query in its task before it shuffles them. Ties go to the
     earlier example.
@@ -37,7 +39,9 @@ def nearest(queries: DataFrame, examples: DataFrame, query_id: str, order: str,
     few = few.crossJoin(F.broadcast(scale)).select(z(F.col(features)).alias("_ez"), F.struct(*[c for c in examples.columns if c != features]).alias("example"))
     asked = queries.crossJoin(F.broadcast(scale)).select(F.col(query_id), z(F.col(features)).alias("_qz"))
     square = F.aggregate(F.zip_with("_qz", "_ez", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = asked.crossJoin(F.broadcast(few)).select(query_id, "example", F.sqrt(square / F.size("_qz")).alias("distance"))
+    met = asked.crossJoin(F.broadcast(few))
+    met = met.where(F.col(query_id) != F.col("example")[order]) if others else met
+    pairs = met.select(query_id, "example", F.sqrt(square / F.size("_qz")).alias("distance"))
     ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy("distance", F.col("example")[order]))).where(F.col("rank") <= k)
     return ranked.where(F.col("distance") <= max_distance).select(query_id, "example.*", "distance", "rank")
 

@@ -158,17 +158,17 @@ def feature_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCALE = "SELECT CAST(i - 1 AS INTEGER) AS i, round(avg(x), 9) AS mean, round(stddev_pop(x) + 1e-3, 9) AS scale FROM (SELECT i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 14) r(i)) GROUP BY i"
 
 _NEAREST = """WITH e AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 14) r(i)),
-ex AS (SELECT * FROM e WHERE vec_id < 400), st AS (SELECT i, avg(x) AS m, stddev_pop(x) + CAST(1e-3 AS DOUBLE) AS s FROM ex GROUP BY i),
+st AS (SELECT i, avg(x) AS m, stddev_pop(x) + CAST(1e-3 AS DOUBLE) AS s FROM e GROUP BY i),
 z AS (SELECT vec_id, label, i, (x - m) / s AS z FROM e JOIN st USING (i)),
-d AS (SELECT q.vec_id AS q, x.vec_id AS vec_id, any_value(x.label) AS label, any_value(q.label) AS own, sqrt(sum((q.z - x.z) * (q.z - x.z)) / 13) AS distance FROM z q JOIN z x ON q.i = x.i AND q.vec_id >= 400 AND x.vec_id < 400 GROUP BY q.vec_id, x.vec_id),
+d AS (SELECT q.vec_id AS q, x.vec_id AS vec_id, any_value(x.label) AS label, any_value(q.label) AS own, sqrt(sum((q.z - x.z) * (q.z - x.z)) / 13) AS distance FROM z q JOIN z x ON q.i = x.i AND q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id GROUP BY q.vec_id, x.vec_id),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 7 AND distance <= 3)"""
 
 
 def knn_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KNN1, SRT3, LIF12: sliders and a vote from the seven nearest examples; other classes weigh less."""
     rows = _features(spark, sf_dir)
-    asked, examples = rows.where("vec_id >= 400").select("vec_id", "f", F.col("label").alias("own")), rows.where("vec_id < 400").withColumnRenamed("vec_id", "example_id")
-    found = neighbours.nearest(asked.select("vec_id", "f"), examples, "vec_id", "example_id", "f").join(asked.select("vec_id", "own"), "vec_id")
+    asked, examples = rows.where("vec_id % 100 = 0").select("vec_id", "f", F.col("label").alias("own")), rows.withColumnRenamed("vec_id", "example_id")
+    found = neighbours.nearest(asked.select("vec_id", "f"), examples, "vec_id", "example_id", "f", others=True).join(asked.select("vec_id", "own"), "vec_id")
     weight = F.when(F.col("own") == F.col("label"), 1.0).otherwise(neighbours.OTHER_CLASS_WEIGHT) / (F.col("distance") + neighbours.SOFTEN)
     return neighbours.regress(found, "vec_id", ["warmth", "trim"], weight).select("vec_id", "neighbours", "warmth", (F.col("trim") >= 0.5).alias("trim"))
 
@@ -180,24 +180,24 @@ SELECT q AS vec_id, count(*) AS neighbours, round(sum(w * warmth) / sum(w), 3) A
 def knn_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KNN3, AGG16: shares of the classes among the nearest examples, held back for few neighbours."""
     rows = _features(spark, sf_dir)
-    examples = rows.where("vec_id < 400").withColumnRenamed("vec_id", "example_id")
+    examples = rows.withColumnRenamed("vec_id", "example_id")
     known = examples.groupBy("label").agg(F.count("*").alias("n")).where("n >= 5").select("label")
-    found = neighbours.nearest(rows.where("vec_id >= 400").select("vec_id", "f"), examples, "vec_id", "example_id", "f")
+    found = neighbours.nearest(rows.where("vec_id % 100 = 0").select("vec_id", "f"), examples, "vec_id", "example_id", "f", others=True)
     return neighbours.classify(found.join(F.broadcast(known), "label", "left_semi"), "vec_id", "label").withColumn("share", F.round("share", 9))
 
 
-CLASSIFY = f"""{_NEAREST}, kn AS (SELECT * FROM k WHERE label IN (SELECT label FROM embeddings WHERE vec_id < 400 GROUP BY label HAVING count(*) >= 5)),
+CLASSIFY = f"""{_NEAREST}, kn AS (SELECT * FROM k WHERE label IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 5)),
 c AS (SELECT q, label, sum(1 / (distance + CAST(0.25 AS DOUBLE))) AS w, count(*) AS n FROM kn GROUP BY q, label)
 SELECT q AS vec_id, label, round(w / sum(w) OVER (PARTITION BY q) * sum(n) OVER (PARTITION BY q) / (sum(n) OVER (PARTITION BY q) + 1), 9) AS share FROM c"""
 
 
 def class_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CLS1, CLS2, AGG17: each item's class after mixing its shares with its group's mean."""
-    found = knn_classify(spark, sf_dir).withColumn("tray", F.floor(F.col("vec_id") / 10))
+    found = knn_classify(spark, sf_dir).withColumn("tray", F.floor(F.col("vec_id") / 500))
     return neighbours.smoothed(found, "vec_id", "tray", "label", "share", F.col("label"), least=0.15).select("vec_id", "label", F.round("p", 6).alias("p"))
 
 
-SMOOTHING = f"""WITH sh AS ({CLASSIFY}), t AS (SELECT *, vec_id // 10 AS tray FROM sh), m AS (SELECT tray, label, sum(share) / any_value(n) AS mean FROM t JOIN (SELECT tray, count(DISTINCT vec_id) AS n FROM t GROUP BY tray) USING (tray) GROUP BY tray, label),
+SMOOTHING = f"""WITH sh AS ({CLASSIFY}), t AS (SELECT *, vec_id // 500 AS tray FROM sh), m AS (SELECT tray, label, sum(share) / any_value(n) AS mean FROM t JOIN (SELECT tray, count(DISTINCT vec_id) AS n FROM t GROUP BY tray) USING (tray) GROUP BY tray, label),
 g AS (SELECT i.vec_id, m.label, CAST(0.5 AS DOUBLE) * coalesce(t.share, 0) + CAST(0.5 AS DOUBLE) * m.mean AS p FROM (SELECT DISTINCT vec_id, tray FROM t) i JOIN m USING (tray) LEFT JOIN t ON t.vec_id = i.vec_id AND t.label = m.label)
 SELECT vec_id, label, round(p, 6) AS p FROM g QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, label) = 1 AND p >= 0.15"""
 

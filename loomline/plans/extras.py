@@ -34,8 +34,8 @@ def mean_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     point = lambda x, y: F.struct(F.lit(x).alias("x"), y.cast("double").alias("y"))
     curve = F.array(point(0.0, k % 3 / 10.0), point(0.5, 0.4 + k % 5 / 20.0), point(1.0, F.lit(1.0)))
     rows = _features(spark, sf_dir)
-    examples = rows.where("vec_id < 400").select(F.col("vec_id").alias("example_id"), "f").withColumn("curves", F.map_filter(F.create_map(F.lit("all"), curve, F.lit("red"), F.when(k % 2 == 0, curve)), lambda n, v: v.isNotNull()))
-    found = neighbours.nearest(rows.where("vec_id >= 400").select("vec_id", "f"), examples, "vec_id", "example_id", "f")
+    examples = rows.select(F.col("vec_id").alias("example_id"), "f").withColumn("curves", F.map_filter(F.create_map(F.lit("all"), curve, F.lit("red"), F.when(k % 2 == 0, curve)), lambda n, v: v.isNotNull()))
+    found = neighbours.nearest(rows.where("vec_id % 100 = 0").select("vec_id", "f"), examples, "vec_id", "example_id", "f", others=True)
     means = neighbours.average_curves(found, "vec_id", "curves", 1 / (F.col("distance") + neighbours.SOFTEN))
     return means.select("vec_id", "channel", F.round(F.element_at("curve", 1), 6).alias("low"), F.round(F.element_at("curve", 4), 6).alias("mid"), F.round(F.element_at("curve", 9), 6).alias("high"))
 

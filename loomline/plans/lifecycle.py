@@ -93,32 +93,20 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 LAST = "WITH l AS (SELECT o_custkey AS key, o_orderpriority AS value FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) SELECT key, value FROM l UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT key FROM l)"
 
 
-def _array_edits(lines: DataFrame) -> DataFrame:
-    lines = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("scans"))
+def array_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ1, SET1, ARR1, ARR4: active parts of every order, tags joined and dropped, lists split in two."""
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("scans"))
     kept = F.filter("scans", lambda x: x % 3 != 0)
     active = lines.select(F.floor(F.col("l_orderkey") / 50).alias("tray"), F.col("l_orderkey").alias("pos"), F.when(F.size(kept) == 0, F.slice("scans", 1, 1)).otherwise(kept).alias("scans"), F.array_union(F.lit([1, 9]), "scans").alias("tags"))
     parts = lifecycle.split_at(active.select("tray", "pos", "scans"), ["tray"], "pos", "scans", (F.col("pos") % 3).cast("int"))
     return parts.select("tray", "pos", F.array_join(F.transform("scans", lambda x: x.cast("string")), ",").alias("scans"), F.col("part").cast("int").alias("part"))
 
 
-def array_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ1, SET1, ARR1, ARR4: active parts of every fifth order, tags joined and dropped, lists split in two."""
-    return _array_edits(read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0"))
-
-
-ARRAYS = """WITH l AS (SELECT l_orderkey AS k, list_sort(list(l_linenumber)) AS s FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY l_orderkey), a AS (SELECT k, CASE WHEN len(list_filter(s, lambda x: x % 3 <> 0)) = 0 THEN s[1:1] ELSE list_filter(s, lambda x: x % 3 <> 0) END AS s, k % 3 AS c FROM l),
+ARRAYS = """WITH l AS (SELECT l_orderkey AS k, list_sort(list(l_linenumber)) AS s FROM lineitem GROUP BY l_orderkey), a AS (SELECT k, CASE WHEN len(list_filter(s, lambda x: x % 3 <> 0)) = 0 THEN s[1:1] ELSE list_filter(s, lambda x: x % 3 <> 0) END AS s, k % 3 AS c FROM l),
 p AS (SELECT k, 0 AS part, CASE WHEN c > 0 AND c < len(s) THEN s[1:c] ELSE s END AS s FROM a UNION ALL SELECT k, 1, s[c + 1:] FROM a WHERE c > 0 AND c < len(s))
 SELECT k // 50 AS tray, row_number() OVER (PARTITION BY k // 50 ORDER BY k, part) - 1 AS pos, array_to_string(s, ',') AS scans, part FROM p"""
 
 
-def array_edits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ1, SET1, ARR1, ARR4: the same of all orders."""
-    return _array_edits(read(spark, sf_dir, "lineitem"))
-
-
-ARRAYS_ALL = ARRAYS.replace(" WHERE l_orderkey % 5 = 0", "")
-
-
 def range_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN25, LIF1, LIF2: values carried over a range of places, locked items left out and counted."""
     rows = temporal.positions(read(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"])
@@ -162,5 +150,5 @@ def merged_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARAMS = """WITH x AS (SELECT p_partkey, greatest(least(coalesce(CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey % 300 AS DOUBLE) / 100 - 1 END, 0), 1), -1) AS w, greatest(least(coalesce(CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 50 AS DOUBLE) / 10 - 2.5 END, CAST(0.5 AS DOUBLE)), 1), -1) AS f, CASE WHEN p_partkey % 4 = 0 THEN p_brand ELSE p_type END AS stock FROM part)
 SELECT p_partkey, CAST(w AS DOUBLE) AS warmth, CAST(f AS DOUBLE) AS fade, concat_ws(',', CASE WHEN f <> 0.5 THEN 'fade' END, CASE WHEN w <> 0 THEN 'warmth' END) AS changed, stock FROM x"""
 
-QUERIES = {f.__name__: f for f in (slide_status, upload_plan, three_way_merge, remote_edits, merged_suggestions, last_wins, array_edits, array_edits_all, range_update, undo_redo, cleanup_blockers, merged_params)}
-ORACLES = {"slide_status": STATUS, "upload_plan": PLAN, "three_way_merge": MERGE, "remote_edits": EDITS, "merged_suggestions": SUGGESTIONS, "last_wins": LAST, "array_edits": ARRAYS, "array_edits_all": ARRAYS_ALL, "range_update": RANGE, "cleanup_blockers": BLOCKERS, "merged_params": PARAMS}
+QUERIES = {f.__name__: f for f in (slide_status, upload_plan, three_way_merge, remote_edits, merged_suggestions, last_wins, array_edits, range_update, undo_redo, cleanup_blockers, merged_params)}
+ORACLES = {"slide_status": STATUS, "upload_plan": PLAN, "three_way_merge": MERGE, "remote_edits": EDITS, "merged_suggestions": SUGGESTIONS, "last_wins": LAST, "array_edits": ARRAYS, "range_update": RANGE, "cleanup_blockers": BLOCKERS, "merged_params": PARAMS}

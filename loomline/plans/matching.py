@@ -129,16 +129,10 @@ def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("c_custkey", "c_name").agg(F.count_distinct("o_orderkey").alias("n"), F.min(F.to_date("o_orderdate")).alias("first_day"), F.max(F.to_date("o_orderdate")).alias("last_day"))
 
 
-def person_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG24, SRT6: per person how many things and when, those without a date last; the first two hundred."""
-    order = [F.asc_nulls_last("first_day"), F.col("c_custkey")]
-    return _cards(spark, sf_dir).orderBy(*order).limit(200).withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long"))
-
-
-CARDS = "WITH c AS (SELECT c_custkey, c_name, count(DISTINCT o_orderkey) AS n, min(CAST(o_orderdate AS DATE)) AS first_day, max(CAST(o_orderdate AS DATE)) AS last_day FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY first_day ASC NULLS LAST, c_custkey) AS place FROM c QUALIFY place <= 200"
+CARDS = "WITH c AS (SELECT c_custkey, c_name, count(DISTINCT o_orderkey) AS n, min(CAST(o_orderdate AS DATE)) AS first_day, max(CAST(o_orderdate AS DATE)) AS last_day FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY first_day ASC NULLS LAST, c_custkey) AS place FROM c"
 
 
-def person_cards_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def person_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG24, SRT6: the cards of all persons. Places count within a range of the order, after those of the ranges before."""
     order = [F.asc_nulls_last("first_day"), F.col("c_custkey")]
     ranged = stored(_cards(spark, sf_dir).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "cards")
@@ -148,16 +142,14 @@ def person_cards_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranged.withColumn("_n", within).join(F.broadcast(before), "_p").select("c_custkey", "c_name", "n", "first_day", "last_day", (F.col("_before") + F.col("_n")).alias("place"))
 
 
-CARDS_ALL = CARDS.removesuffix(" QUALIFY place <= 200")
-
-
 def piles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG11, AGG12: open suggestions of one kind and value, the biggest pile first."""
+    """AGG11, AGG12: open suggestions of one kind and value with their mean confidence; in a kind the biggest pile first, then by name."""
     rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
-    return rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("confidence"))
+    found = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("confidence"))
+    return found.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "source")).cast("long"))
 
 
-PILES = "SELECT lang, source, count(*) AS n, round(avg(quality), 6) AS confidence FROM documents JOIN labels USING (doc_id) GROUP BY lang, source"
+PILES = "SELECT lang, source, count(*) AS n, round(avg(quality), 6) AS confidence, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, source) AS place FROM documents JOIN labels USING (doc_id) GROUP BY lang, source"
 
-QUERIES = {f.__name__: f for f in (cooccurrence_top, dedupe_content, new_content, unlabelled, orders_with_returns, best_per_group, interval_window, box_overlaps, box_matches, two_way_votes, new_company, person_cards, person_cards_all, piles)}
-ORACLES = {"cooccurrence_top": COOCCURRENCE, "dedupe_content": DEDUPE, "new_content": NEW, "unlabelled": UNLABELLED, "orders_with_returns": RETURNS, "best_per_group": BEST, "interval_window": INTERVAL, "box_overlaps": OVERLAPS, "two_way_votes": VOTES, "new_company": COMPANY, "person_cards": CARDS, "person_cards_all": CARDS_ALL, "piles": PILES}
+QUERIES = {f.__name__: f for f in (cooccurrence_top, dedupe_content, new_content, unlabelled, orders_with_returns, best_per_group, interval_window, box_overlaps, box_matches, two_way_votes, new_company, person_cards, piles)}
+ORACLES = {"cooccurrence_top": COOCCURRENCE, "dedupe_content": DEDUPE, "new_content": NEW, "unlabelled": UNLABELLED, "orders_with_returns": RETURNS, "best_per_group": BEST, "interval_window": INTERVAL, "box_overlaps": OVERLAPS, "two_way_votes": VOTES, "new_company": COMPANY, "person_cards": CARDS, "piles": PILES}

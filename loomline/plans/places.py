@@ -39,33 +39,20 @@ def _gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("city_id"), F.col("p_name").alias("name"), F.array(F.element_at(F.split("p_name", " "), -1)).alias("alts"), F.col("p_size").cast("long").alias("pop"))
 
 
-def _prefixes(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
-    asked = asked.select("p_partkey", F.substring("p_name", 1, 5).alias("q"))
-    return gazetteer.prefix_search(asked, gazetteer.city_keys(_gazetteer(spark, sf_dir)), "p_partkey", "q").select("p_partkey", "city_id", F.col("rank").cast("long").alias("rank"))
-
-
-def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN11, JN27, SRT1: eight best cities for each prefix that every twentieth part asks for."""
-    return _prefixes(spark, sf_dir, read(spark, sf_dir, "part").where("p_partkey % 20 = 0"))
-
-
 _FOLD = "trim(regexp_replace(strip_accents(lower({x})), '[^0-9a-z]+', ' ', 'g'))"
 PREFIX = f"""WITH n AS (SELECT p_partkey AS city_id, {_FOLD.format(x='p_name')} AS key, true AS pr, p_size AS pop FROM part UNION ALL SELECT p_partkey, {_FOLD.format(x="string_split(p_name, ' ')[-1]")}, false, p_size FROM part),
-k AS (SELECT key, city_id, any_value(pop) AS pop, bool_or(pr) AS pr FROM n WHERE key <> '' GROUP BY key, city_id), q AS (SELECT p_partkey, {_FOLD.format(x='substr(p_name, 1, 5)')} AS q FROM part WHERE p_partkey % 20 = 0),
+k AS (SELECT key, city_id, any_value(pop) AS pop, bool_or(pr) AS pr FROM n WHERE key <> '' GROUP BY key, city_id), q AS (SELECT p_partkey, {_FOLD.format(x='substr(p_name, 1, 5)')} AS q FROM part),
 m AS (SELECT p_partkey, city_id, min((key <> q, NOT pr, -pop)) AS r FROM q JOIN k ON length(q) >= 2 AND starts_with(key, q) GROUP BY ALL)
 SELECT p_partkey, city_id, row_number() OVER (PARTITION BY p_partkey ORDER BY r, city_id) AS rank FROM m QUALIFY rank <= 8"""
 
 
-def prefix_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN11, JN27, SRT1: eight best cities for each prefix, asked for by all parts. Each prefix is searched once."""
     rows = read(spark, sf_dir, "part").select("p_partkey", F.substring("p_name", 1, 5).alias("q"))
     found = gazetteer.prefix_search(rows.select("q", F.col("q").alias("t")).distinct(), gazetteer.city_keys(_gazetteer(spark, sf_dir)), "q", "t")
     return rows.join(found, "q").select("p_partkey", "city_id", F.col("rank").cast("long").alias("rank"))
 
 
-PREFIX_ALL = PREFIX.replace(" WHERE p_partkey % 20 = 0", "")
-
-
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
@@ -83,33 +70,20 @@ def places_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", "b.city_id", F.round(-F.col("b.less"), 9).alias("confidence"))
 
 
-def folded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR1, STR2, STR3, STR15: folded words, slugs and tags of the documents' first lines."""
-    line = F.substring_index(F.substring("text", 1, 80), "\n", 1)
-    rows = read(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
-    return rows.select("doc_id", X.fold(F.col("line")).alias("folded"), X.slugify(F.col("line")).alias("slug"), F.array_join(X.clean_tags(F.split("line", ",")), "|").alias("tags"), X.tidy(F.col("line")).alias("caption"))
-
-
-_LINE = "string_split(substr(text, 1, 80), chr(10))[1]"
-FOLDED = f"""WITH d AS (SELECT doc_id, {_LINE} AS line FROM documents), t AS (SELECT *, list_filter(list_transform(string_split(line, ','), lambda x: substr(lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))), 1, 40)), lambda x: x <> '') AS ts FROM d),
+_LINES = "SELECT doc_id, CAST(n - 1 AS INTEGER) AS line_no, ls[n] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"
+FOLDED = f"""WITH d AS ({_LINES}), t AS (SELECT *, list_filter(list_transform(string_split(line, ','), lambda x: substr(lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))), 1, 40)), lambda x: x <> '') AS ts FROM d),
 c AS (SELECT *, regexp_replace(substr(trim(regexp_replace(line, '\\s+', ' ', 'g')), 1, 200), '[\\s,;:]+$', '') AS cap FROM t)
-SELECT doc_id, {_FOLD.format(x="replace(lower(line), 'ß', 'ss')")} AS folded, CASE WHEN trim(lower(regexp_replace(line, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\-]+', '-', 'g')), '-') = '' THEN 'session' ELSE trim(lower(regexp_replace(line, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\-]+', '-', 'g')), '-') END AS slug,
+SELECT doc_id, line_no, {_FOLD.format(x="replace(lower(line), 'ß', 'ss')")} AS folded, CASE WHEN trim(lower(regexp_replace(line, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\-]+', '-', 'g')), '-') = '' THEN 'session' ELSE trim(lower(regexp_replace(line, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\-]+', '-', 'g')), '-') END AS slug,
     array_to_string(list_transform(list_filter(list_zip(ts, range(1, len(ts) + 1)), lambda z: list_position(ts, z[1]) = z[2])[1:30], lambda z: z[1]), '|') AS tags,
     CASE WHEN cap = '' THEN '' WHEN regexp_matches(cap, '[.!?]$') THEN upper(cap[1]) || cap[2:] ELSE upper(cap[1]) || cap[2:] || '.' END AS caption FROM c"""
 
 
-def folded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def folded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR1, STR2, STR3, STR15: folded words, slugs and tags of every line of the documents, whole."""
     line = F.col("line")
     return _lines(spark, sf_dir).select("doc_id", "line_no", X.fold(line).alias("folded"), X.slugify(line).alias("slug"), F.array_join(X.clean_tags(F.split("line", ",")), "|").alias("tags"), X.tidy(line).alias("caption"))
 
 
-FOLDED_LINES = (
-    FOLDED.replace(f"SELECT doc_id, {_LINE} AS line FROM documents", "SELECT doc_id, CAST(n - 1 AS INTEGER) AS line_no, ls[n] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))")
-    .replace("SELECT doc_id, trim", "SELECT doc_id, line_no, trim")
-)
-
-
 def parsed_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR6, STR8, STR5, STR14, DAT1, DAT9: coordinates, dates in names, labels, escapes."""
     k = F.col("p_partkey")
@@ -140,5 +114,5 @@ EYES = """WITH x AS (SELECT p_partkey, p_partkey % 4 AS q, CAST(p_partkey % 30 A
 y AS (SELECT *, CASE q WHEN 1 THEN 1 - b WHEN 2 THEN 1 - r WHEN 3 THEN t ELSE l END AS l2, CASE q WHEN 1 THEN l WHEN 2 THEN 1 - b WHEN 3 THEN 1 - r ELSE t END AS t2, CASE q WHEN 1 THEN 1 - t WHEN 2 THEN 1 - l WHEN 3 THEN b ELSE r END AS r2, CASE q WHEN 1 THEN r WHEN 2 THEN 1 - t WHEN 3 THEN 1 - l ELSE b END AS b2 FROM x)
 SELECT p_partkey, round(greatest(least((l - CAST(0.1 AS DOUBLE)) / CAST(0.08 AS DOUBLE), 1), 0), 9) AS open, round(CASE WHEN p_partkey % 3 = 0 THEN 1 - r2 ELSE l2 END, 9) AS l, round(t2, 9) AS t, round(CASE WHEN p_partkey % 3 = 0 THEN 1 - l2 ELSE r2 END, 9) AS r, round(b2, 9) AS b, round(sqrt(h * g) + sqrt((1 - h) * (1 - g)), 9) AS alike FROM y"""
 
-QUERIES = {f.__name__: f for f in (nearest_city, prefix_search, prefix_search_all, places_in_text, folded_sources, folded_lines, parsed_strings, eyes_and_boxes)}
-ORACLES = {"nearest_city": NEAREST, "prefix_search": PREFIX, "prefix_search_all": PREFIX_ALL, "folded_sources": FOLDED, "folded_lines": FOLDED_LINES, "parsed_strings": PARSED, "eyes_and_boxes": EYES}
+QUERIES = {f.__name__: f for f in (nearest_city, prefix_search, places_in_text, folded_sources, parsed_strings, eyes_and_boxes)}
+ORACLES = {"nearest_city": NEAREST, "prefix_search": PREFIX, "folded_sources": FOLDED, "parsed_strings": PARSED, "eyes_and_boxes": EYES}
