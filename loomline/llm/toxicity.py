@@ -66,7 +66,7 @@ class Distance:
         import zstandard
 
         plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, min_match=4, search_log=6, hash_log=15, chain_log=16, window_log=17, target_length=64, **plain)
+        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=4, search_log=6, hash_log=15, chain_log=16, window_log=17, target_length=64, **plain)
         self.toxic, self.ordinary = (self._compressor(zstandard, d, how) for d in self.dictionaries)
 
     @staticmethod
