@@ -84,3 +84,9 @@ def ngrams(words: Column, longest: int = 3) -> Column:
 def content_key(*parts: Column) -> Column:
     """The first twelve hexadecimal digits of a hash of the parts, nulls told apart from empty strings."""
     return F.substring(F.sha1(F.to_json(F.array(*[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]))), 1, 12)
+
+
+def tray_tag(name: Column) -> Column:
+    """Trays/<name>, with slashes in the name as dashes, so that they don't nest it deeper."""
+    plain = F.nullif(F.trim(F.replace(name, F.lit("/"), F.lit("-"))), F.lit(""))
+    return F.concat(F.lit("Trays/"), F.coalesce(plain, F.lit("Untitled tray")))

@@ -17,7 +17,7 @@ def _placed() -> list:
 
 
 
-def _cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as cities, placed by their keys."""
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("city_id"), F.col("s_suppkey").alias("k")).select("city_id", *_placed())
 
@@ -25,16 +25,16 @@ def _cities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN10, MTH5: the nearest city within 500 km of every customer."""
     points = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 31 + 5).alias("k")).select("c_custkey", *_placed())
-    return gazetteer.nearest_city(points, _cities(spark, sf_dir), "c_custkey", "lat", "lon", 500.0).select("c_custkey", "city_id", F.round("km", 6).alias("km"))
+    return gazetteer.nearest_city(points, cities(spark, sf_dir), "c_custkey", "lat", "lon", 500.0).select("c_custkey", "city_id", F.round("km", 6).alias("km"))
 
 
-_POINT = "CAST({k} * 7919 % 12000 AS DOUBLE) / 100 - 60 AS lat, CAST({k} * 104729 % 36000 AS DOUBLE) / 100 - 180 AS lon"
-NEAREST = f"""WITH c AS (SELECT s_suppkey AS city_id, {_POINT.format(k='s_suppkey')} FROM supplier), p AS (SELECT c_custkey, {_POINT.format(k='(c_custkey * 31 + 5)')} FROM customer),
+POINT = "CAST({k} * 7919 % 12000 AS DOUBLE) / 100 - 60 AS lat, CAST({k} * 104729 % 36000 AS DOUBLE) / 100 - 180 AS lon"
+NEAREST = f"""WITH c AS (SELECT s_suppkey AS city_id, {POINT.format(k='s_suppkey')} FROM supplier), p AS (SELECT c_custkey, {POINT.format(k='(c_custkey * 31 + 5)')} FROM customer),
 d AS (SELECT c_custkey, city_id, 12742 * asin(sqrt(pow(sin(radians(c.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - p.lon) / 2), 2))) AS km FROM p, c)
 SELECT c_custkey, city_id, round(km, 6) AS km FROM d WHERE km <= 500 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY km, city_id) = 1"""
 
 
-def _gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gazetteer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as cities: the name's last word is another name of it."""
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("city_id"), F.col("p_name").alias("name"), F.array(F.element_at(F.split("p_name", " "), -1)).alias("alts"), F.col("p_size").cast("long").alias("pop"))
 
@@ -49,7 +49,7 @@ SELECT p_partkey, city_id, row_number() OVER (PARTITION BY p_partkey ORDER BY r,
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN11, JN27, SRT1: eight best cities for each prefix, asked for by all parts. Each prefix is searched once."""
     rows = read(spark, sf_dir, "part").select("p_partkey", F.substring("p_name", 1, 5).alias("q"))
-    found = gazetteer.prefix_search(rows.select("q", F.col("q").alias("t")).distinct(), gazetteer.city_keys(_gazetteer(spark, sf_dir)), "q", "t")
+    found = gazetteer.prefix_search(rows.select("q", F.col("q").alias("t")).distinct(), gazetteer.city_keys(gazetteer_rows(spark, sf_dir)), "q", "t")
     return rows.join(found, "q").select("p_partkey", "city_id", F.col("rank").cast("long").alias("rank"))
 
 

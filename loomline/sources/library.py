@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,9 @@ SCAN_ENDINGS = (*RAW_ENDINGS, "jpg", "jpeg", "tif", "tiff")
 CITY_COLUMNS = "id name ascii alts lat lon fclass fcode cc cc2 admin1 admin2 admin3 admin4 pop elevation dem tz modified".split()
 
 
-def trays(spark: SparkSession, path: str) -> DataFrame:
+def trays(spark: SparkSession, path: str, pattern: str = "session.json") -> DataFrame:
     """One row per readable tray document below ``path``, with its modification time; unreadable ones are left out."""
-    rows = spark.read.schema(f"{TRAY}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).option("pathGlobFilter", "session.json").json(path)
+    rows = spark.read.schema(f"{TRAY}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(path)
     return rows.select("*", F.col("_metadata.file_modification_time").alias("modified")).where("_corrupt IS NULL AND id IS NOT NULL").drop("_corrupt")
 
 
@@ -89,15 +91,26 @@ def commit_if_unchanged(table: DataFrame, results: DataFrame, item: str, key: st
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes a table beside its place and then moves it there, so that readers see the old rows or the new ones."""
+    """Writes the rows as a new version below ``path`` and then moves the note of which version counts over the old note.
+
+    That one move is atomic, so ``current_table`` sees the old rows or the new ones and never none, also when the
+    writer is lost at any point. Versions before stay for those who still read them.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    new, place, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path, f"{path}.old"))
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if fs.exists(place):
-        fs.rename(place, old)
-    if not fs.rename(new, place):
-        raise OSError(f"could not move {path}.new to {path}")
-    fs.delete(old, True)
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    note, place = jvm.org.apache.hadoop.fs.Path(f"{path}/_note-{version}"), jvm.org.apache.hadoop.fs.Path(f"{path}/current.txt")
+    out = note.getFileSystem(conf).create(note)
+    out.write(version.encode())
+    out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.getFileSystem(conf).getUri(), conf)
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(files.makeQualified(note), files.makeQualified(place), over)
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the version that counts."""
+    note = spark.read.text(f"{path}/current.txt").first()["value"]
+    return spark.read.parquet(f"{path}/{note}")
