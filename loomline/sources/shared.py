@@ -38,10 +38,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset in local mode (tests), a new one."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(found)
