@@ -117,10 +117,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts, the hash of the base spans and the list of all spans, from ``scan``'s rows."""
+    """Counts, the hash of the base spans, the list of all spans and, in the same order, their scores, from ``scan``'s rows."""
     parts = [tagged(k, i, F.col(k)) for i, k in enumerate(KINDS)]
-    out = found.select(id_col, *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], joined(parts[:4], True).alias("base"), joined(parts, True).alias("spans"))
-    return out.select(id_col, *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+    sure = [F.transform(k, lambda s: F.struct(F.lit(i).alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))) for i, k in enumerate(KINDS)]
+    scores = F.array_join(F.transform(F.array_sort(F.concat(*sure)), lambda s: F.round(s["score"], 1).cast("string")), ",")
+    out = found.select(id_col, *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], joined(parts[:4], True).alias("base"), joined(parts, True).alias("spans"), scores.alias("scores"))
+    return out.select(id_col, *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", "scores")
 
 
 def redact(docs: DataFrame, text_col: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:

@@ -83,6 +83,8 @@ def test_added_kinds_scores_and_redaction(spark):
     got = {r.row: r for r in pii.scan(docs, keep=("row",)).collect()}
     assert [len(got[k].iban) for k in "abc"] == [1, 0, 0] and got["a"].iban[0].score == 1.0
     assert [len(got["c"].run), len(got["c"].card)] == [2, 0]
+    told = {(r.doc_id, r.spans, r.scores) for r in pii.digest(pii.scan(docs)).collect()}
+    assert (5, "email:9:15,phone:22:37", "1.0,0.8") in told and (4, "", "") in told
     clean = sorted((tuple(r) for r in pii.redact(docs).collect()), key=str)
     assert clean == sorted([(1, "pay to IBAN <IBAN> now", "a"), (2, "GB82 WEST 1234 5698 7654 33", "b"), (3, "<RUN> <RUN>", "c"), (4, None, "d"), (5, "mail me: <EMAIL>, call <PHONE>.", "e"), (5, "plain", None)], key=str)
 
