@@ -11,12 +11,12 @@ from loomline.sources.shared import cut, read, scratch, shared_dir, stored
 
 __all__ = ["cut", "read", "scratch", "shared_dir", "slices", "stored"]
 
-#: Python code takes texts in slices of about so many bytes, whatever an Arrow batch holds.
-SLICE_BYTES = 4 << 20
+#: Python code takes texts in slices of about so many bytes, and so many rows at most, whatever an Arrow batch holds.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 1024
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in pieces whose ``text`` column has about ``size`` bytes, or one longer row."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces of ``rows`` at most whose ``text`` column has about ``size`` bytes, or one longer row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -24,7 +24,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
         offsets = [0]
         total = 0
         for row, n in enumerate(pa.compute.binary_length(lengths).to_pylist()):
-            if total and total + n > size:
+            if row > offsets[-1] and (total + n > size or row - offsets[-1] == rows):
                 offsets.append(row)
                 total = 0
             total += n
