@@ -13,14 +13,27 @@ from loomline.sources.shared import cut
 _NEAR = 1e-9
 
 
-def _cumulated(sums: DataFrame) -> DataFrame:
-    """Running weights of all values in order, without one task that holds them all: ranges of values are added up first, and each range starts from the sum of those before it."""
-    held = cut(sums.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()))
-    ranges = held.groupBy("_p").agg(F.sum("_w").alias("_s"), F.min("_v").alias("_f"))  # a row per partition
-    w = W.orderBy("_p")
-    starts = ranges.select("_p", F.coalesce(F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_o"), F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_t"), F.lead("_f").over(w).alias("_n"))
-    own = W.partitionBy("_p").orderBy("_v")
-    return held.join(F.broadcast(starts), "_p").select("_v", "_w", (F.col("_o") + F.sum("_w").over(own.rowsBetween(W.unboundedPreceding, 0))).alias("_c"), "_t", F.coalesce(F.lead("_v").over(own), "_n").alias("_next"))
+def _cumulated(sums: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Running weights of each group's values in order, without one task that holds a group: ranges of values are added up first, and each range starts from the sum of those before it."""
+    held = cut(sums.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id()))
+    ranges = held.groupBy(*keys, "_p").agg(F.sum("_w").alias("_s"), F.min("_v").alias("_f"))  # a row per group and partition
+    w = W.partitionBy(*keys).orderBy("_p")
+    starts = ranges.select(*keys, "_p", F.coalesce(F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_o"), F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_t"), F.lead("_f").over(w).alias("_n"))
+    own = W.partitionBy(*keys, "_p").orderBy("_v")
+    return held.join(starts, [*keys, "_p"]).select(*keys, "_v", "_w", (F.col("_o") + F.sum("_w").over(own.rowsBetween(W.unboundedPreceding, 0))).alias("_c"), "_t", F.coalesce(F.lead("_v").over(own), "_n").alias("_next"))
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Exact percentiles per group by linear interpolation, one column for each name of ``at``; nulls don't count.
+
+    Equal values are counted before the shuffle, and a group's values are spread over ranges, so no task holds a group.
+    """
+    counts = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count("*").cast("double").alias("_w"))
+    ranked = _cumulated(counts, keys)
+    place = lambda c: F.lit(c) * (F.col("_t") - 1)
+    found = ranked.groupBy(*keys).agg(F.first("_t").alias("_t"), *[F.min(F.when(F.col("_c") > f(place(c)), F.col("_v"))).alias(f"_{n}_{name}") for name, c in at.items() for n, f in (("lo", F.floor), ("hi", F.ceil))])
+    between = lambda name, c: F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (place(c) - F.floor(place(c)))
+    return found.select(*keys, *[between(name, c).alias(name) for name, c in at.items()])
 
 
 def weighted_median(df: DataFrame, keys: Sequence[str], value: Column, weight: Column, name: str = "median") -> DataFrame:
@@ -51,12 +64,12 @@ def calibrate(samples: DataFrame, person: str, guess: str, real: str, weight: st
     """
     r = samples.select(F.col(person).alias("p"), (F.log1p(F.greatest(F.col(real), F.lit(0.0))) - F.log1p(F.greatest(F.col(guess), F.lit(0.0)))).alias("x"), F.col(weight).cast("double").alias("w"))
     weights = r.groupBy("p").agg(F.sum("w").alias("wp"), F.count("*").alias("np"))
-    medians = weighted_median(r, ["p"], F.col("x"), F.col("w")).join(weights, "p").withColumn("w1", F.least("wp", F.lit(1.0)))
+    medians = cut(weighted_median(r, ["p"], F.col("x"), F.col("w")).join(weights, "p").withColumn("w1", F.least("wp", F.lit(1.0))))
     totals = medians.agg(F.sum("w1").alias("k"), F.sum("wp").alias("w"), F.sum("np").alias("n"))
-    bias = weighted_median(medians, [], F.col("median"), F.col("w1")).crossJoin(F.broadcast(totals)).select((F.col("median") * F.col("k") / (F.col("k") + PRIOR_N)).alias("bias"), "w", "n")
-    shifted = r.crossJoin(F.broadcast(bias.select("bias")))
-    own = weighted_median(shifted, ["p"], F.col("x") - F.col("bias"), F.col("w")).join(weights, "p").select("p", (F.col("median") * F.col("wp") / (F.col("wp") + PERSON_N)).alias("own"))
-    left = shifted.join(own, "p").select(F.abs(F.col("x") - F.col("bias") - F.col("own")).alias("d"), "w")
+    bias = cut(weighted_median(medians, [], F.col("median"), F.col("w1")).crossJoin(F.broadcast(totals)).select((F.col("median") * F.col("k") / (F.col("k") + PRIOR_N)).alias("bias"), "w", "n"))
+    # what is common shifts a person's median as it shifts every sample
+    own = medians.crossJoin(F.broadcast(bias.select("bias"))).select("p", "bias", ((F.col("median") - F.col("bias")) * F.col("wp") / (F.col("wp") + PERSON_N)).alias("own"))
+    left = r.join(own, "p").select(F.abs(F.col("x") - F.col("bias") - F.col("own")).alias("d"), "w")
     spread = weighted_median(left, [], F.col("d"), F.col("w"), "mad").crossJoin(F.broadcast(bias))
     square = F.pow(F.col("mad") * MAD, F.lit(2.0))
     sigma = F.sqrt((F.col("w") * square + PRIOR_N * PRIOR_SIGMA * PRIOR_SIGMA) / (F.col("w") + PRIOR_N))
@@ -97,6 +110,6 @@ def robust_line(df: DataFrame, keys: Sequence[str], x: str, y: str, rounds: int
 
     for _ in range(rounds - 1):
         off = points.join(fitted(points), list(keys)).withColumn("_r", F.abs(F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_x"))).where("_r IS NOT NULL")
-        spread = off.groupBy(*keys).agg(F.percentile("_r", F.lit(0.5)).alias("_m"))
+        spread = percentiles(off, keys, "_r", {"_m": 0.5})
         points = off.join(spread, list(keys)).where(F.col("_r") <= F.greatest(F.lit(floor), 3 * MAD * F.col("_m"))).select(*keys, "_x", "_y")
     return fitted(points)
