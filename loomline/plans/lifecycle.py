@@ -127,6 +127,14 @@ def undo_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.undo_redo(rows, "user_id", "event_id", "action", "event_type")
 
 
+UNDO = """WITH RECURSIVE e AS (SELECT user_id, event_type AS v, CASE WHEN event_id % 4 = 0 THEN 'undo' WHEN event_id % 9 = 0 THEN 'redo' ELSE 'edit' END AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, '' AS now, CAST([] AS VARCHAR[]) AS undo, CAST([] AS VARCHAR[]) AS redo FROM e
+    UNION ALL SELECT e.user_id, e.k, CASE WHEN a = 'edit' THEN v WHEN a = 'undo' AND len(undo) > 0 THEN undo[-1] WHEN a = 'redo' AND len(redo) > 0 THEN redo[-1] ELSE now END,
+        CASE WHEN a = 'edit' OR a = 'redo' AND len(redo) > 0 THEN list_append(undo, now) WHEN a = 'undo' AND len(undo) > 0 THEN undo[:-2] ELSE undo END,
+        CASE WHEN a = 'edit' THEN [] WHEN a = 'undo' AND len(undo) > 0 THEN list_append(redo, now) WHEN a = 'redo' AND len(redo) > 0 THEN redo[:-2] ELSE redo END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, now AS event_type, len(undo) AS undos, len(redo) AS redos FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1"""
+
+
 def cleanup_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT7: for each customer why its things can't be cleaned up yet."""
     o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.count_if(F.col("o_orderstatus") == "P").alias("pending"), F.max("o_totalprice").alias("most"))
@@ -151,4 +159,4 @@ PARAMS = """WITH x AS (SELECT p_partkey, greatest(least(coalesce(CASE WHEN p_par
 SELECT p_partkey, CAST(w AS DOUBLE) AS warmth, CAST(f AS DOUBLE) AS fade, concat_ws(',', CASE WHEN f <> 0.5 THEN 'fade' END, CASE WHEN w <> 0 THEN 'warmth' END) AS changed, stock FROM x"""
 
 QUERIES = {f.__name__: f for f in (slide_status, upload_plan, three_way_merge, remote_edits, merged_suggestions, last_wins, array_edits, range_update, undo_redo, cleanup_blockers, merged_params)}
-ORACLES = {"slide_status": STATUS, "upload_plan": PLAN, "three_way_merge": MERGE, "remote_edits": EDITS, "merged_suggestions": SUGGESTIONS, "last_wins": LAST, "array_edits": ARRAYS, "range_update": RANGE, "cleanup_blockers": BLOCKERS, "merged_params": PARAMS}
+ORACLES = {"slide_status": STATUS, "upload_plan": PLAN, "three_way_merge": MERGE, "remote_edits": EDITS, "merged_suggestions": SUGGESTIONS, "last_wins": LAST, "array_edits": ARRAYS, "range_update": RANGE, "undo_redo": UNDO, "cleanup_blockers": BLOCKERS, "merged_params": PARAMS}

@@ -103,6 +103,13 @@ def box_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.greedy_pairs(_overlaps(spark, sf_dir), "asset", "one", "two", F.col("iou"))
 
 
+MATCHES = f"""WITH RECURSIVE {_BOXES}, o AS (SELECT a.asset, a.p_partkey AS one, c.p_partkey AS two, greatest(least(a.r, c.r) - greatest(a.l, c.l), 0) * greatest(least(a.b, c.b) - greatest(a.t, c.t), 0) AS i, (a.r - a.l) * (a.b - a.t) + (c.r - c.l) * (c.b - c.t) AS s FROM x a JOIN x c ON a.asset = c.asset AND a.side = 0 AND c.side = 1),
+p AS (SELECT asset, one, two, i / (s - i) AS score, row_number() OVER (PARTITION BY asset ORDER BY i / (s - i) DESC, one, two) AS k FROM o WHERE i / (s - i) >= 0.3),
+r AS (SELECT asset, one, two, score, k, true AS took, [one] AS ones, [two] AS twos FROM p WHERE k = 1
+    UNION ALL SELECT asset, one, two, score, k, free, CASE WHEN free THEN list_append(ones, one) ELSE ones END, CASE WHEN free THEN list_append(twos, two) ELSE twos END FROM (SELECT p.*, r.ones, r.twos, NOT list_contains(r.ones, p.one) AND NOT list_contains(r.twos, p.two) AS free FROM r JOIN p ON p.asset = r.asset AND p.k = r.k + 1))
+SELECT asset, one, two, score FROM r WHERE took"""
+
+
 def two_way_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN24: how often two sides meet, seen from both."""
     return matching.votes(read(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus").select("o_orderpriority", "o_orderstatus", "n", "of_a", "of_b")
@@ -152,4 +159,4 @@ def piles(spark: SparkSession, sf_dir: str) -> DataFrame:
 PILES = "SELECT lang, source, count(*) AS n, round(avg(quality), 6) AS confidence, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, source) AS place FROM documents JOIN labels USING (doc_id) GROUP BY lang, source"
 
 QUERIES = {f.__name__: f for f in (cooccurrence_top, dedupe_content, new_content, unlabelled, orders_with_returns, best_per_group, interval_window, box_overlaps, box_matches, two_way_votes, new_company, person_cards, piles)}
-ORACLES = {"cooccurrence_top": COOCCURRENCE, "dedupe_content": DEDUPE, "new_content": NEW, "unlabelled": UNLABELLED, "orders_with_returns": RETURNS, "best_per_group": BEST, "interval_window": INTERVAL, "box_overlaps": OVERLAPS, "two_way_votes": VOTES, "new_company": COMPANY, "person_cards": CARDS, "piles": PILES}
+ORACLES = {"cooccurrence_top": COOCCURRENCE, "dedupe_content": DEDUPE, "new_content": NEW, "unlabelled": UNLABELLED, "orders_with_returns": RETURNS, "best_per_group": BEST, "interval_window": INTERVAL, "box_overlaps": OVERLAPS, "box_matches": MATCHES, "two_way_votes": VOTES, "new_company": COMPANY, "person_cards": CARDS, "piles": PILES}

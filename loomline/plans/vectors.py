@@ -74,11 +74,26 @@ def sequence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.group_sequence(_slides(spark, sf_dir), "tray", "pos", "vec_id", "embedding", 0.15)
 
 
+GROUPS = """WITH RECURSIVE e AS (SELECT vec_id // 50 AS tray, row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS k, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+r AS (SELECT tray, k, vec_id, CAST(0 AS BIGINT) AS g, [v] AS ms FROM e WHERE k = 1
+    UNION ALL SELECT tray, k, vec_id, CASE WHEN alike THEN g ELSE g + 1 END, CASE WHEN alike THEN list_append(ms, v) ELSE [v] END FROM (SELECT e.tray, e.k, e.vec_id, e.v, r.g, r.ms, list_max(list_transform(r.ms, lambda m: list_dot_product(m, e.v))) > CAST(0.15 AS DOUBLE) AS alike FROM r JOIN e ON e.tray = r.tray AND e.k = r.k + 1))
+SELECT tray, vec_id, g AS "group" FROM r"""
+
+
 def scene_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN6, WIN7: where two items in a row leave a scene."""
     return sequence.scenes(_slides(spark, sf_dir), "tray", "pos", "embedding", 0.05)
 
 
+SCENES = """WITH RECURSIVE e AS (SELECT vec_id // 50 AS tray, vec_id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER w AS k, lead(CAST(embedding AS DOUBLE[])) OVER w AS nv FROM embeddings WINDOW w AS (PARTITION BY vec_id // 50 ORDER BY vec_id)),
+r AS (SELECT tray, k, vec_id, CAST(0 AS BIGINT) AS s, [v] AS recent, true AS member FROM e WHERE k = 1
+    UNION ALL SELECT tray, k, vec_id, CASE WHEN far AND next_far THEN s + 1 ELSE s END, CASE WHEN NOT far THEN list_append(recent, v)[-4:] WHEN next_far THEN [v] ELSE recent END, NOT far OR next_far
+    FROM (SELECT *, list_dot_product(v, m) < CAST(0.05 AS DOUBLE) * sqrt(list_dot_product(m, m)) AS far, nv IS NULL OR list_dot_product(nv, m) < CAST(0.05 AS DOUBLE) * sqrt(list_dot_product(m, m)) AS next_far
+        FROM (SELECT e.tray, e.k, e.vec_id, e.v, e.nv, r.s, r.recent, list_transform(range(1, 65), lambda i: list_avg(list_transform(r.recent, lambda x: x[i]))) AS m FROM r JOIN e ON e.tray = r.tray AND e.k = r.k + 1))),
+g AS (SELECT tray, s AS scene, min(vec_id) AS first_pos, count(*) AS members, max(max(s)) OVER (PARTITION BY tray) AS many FROM r WHERE member GROUP BY tray, s), t AS (SELECT vec_id // 50 AS tray, max(vec_id) AS last FROM embeddings GROUP BY ALL)
+SELECT tray, scene, first_pos, coalesce(lead(first_pos) OVER (PARTITION BY tray ORDER BY scene) - 1, last) AS last_pos, members FROM g JOIN t USING (tray) WHERE many > 0"""
+
+
 def cluster_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CLU2, CLU3: constrained average linkage over all faces of the library: existing people, faces they were rejected from, four faces a slide."""
     k = F.col("vec_id")
@@ -126,4 +141,4 @@ def person_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 LIKELIHOOD = f"WITH p AS (SELECT a.vec_id, b.label AS person, {_DOT} AS c FROM embeddings a JOIN embeddings b ON a.vec_id // 5 = b.vec_id // 5 AND a.vec_id <> b.vec_id WHERE a.label IS NOT NULL AND b.label IS NOT NULL), r AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY vec_id, person ORDER BY c DESC) <= 3) SELECT vec_id, person, round(avg(c), 9) AS mean, count(*) AS n FROM r GROUP BY ALL"
 
 QUERIES = {f.__name__: f for f in (band_duplicates, adjacent_pairs, prefix_unlike, duplicate_components, best_of_duplicates, sequence_groups, scene_changes, cluster_people, spread_names, zero_shot_top4, person_likelihood)}
-ORACLES = {"band_duplicates": BAND, "adjacent_pairs": ADJACENT, "prefix_unlike": UNLIKE, "duplicate_components": COMPONENTS, "best_of_duplicates": BEST, "zero_shot_top4": ZERO_SHOT, "person_likelihood": LIKELIHOOD}
+ORACLES = {"band_duplicates": BAND, "adjacent_pairs": ADJACENT, "prefix_unlike": UNLIKE, "duplicate_components": COMPONENTS, "best_of_duplicates": BEST, "sequence_groups": GROUPS, "scene_changes": SCENES, "zero_shot_top4": ZERO_SHOT, "person_likelihood": LIKELIHOOD}
