@@ -237,7 +237,7 @@ def test_places_and_folded_words_of_all_lines(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.confidence for r in places.places_in_text(spark, str(tmp_path)).collect()}
     assert got == {1: 0.9, 2: 0.9, 5: 0.6}
-    folded = {(r.doc_id, r.line_no): r.folded for r in places.folded_lines(spark, str(tmp_path)).collect()}
+    folded = {(r.doc_id, r.line_no): r.folded for r in places.folded_sources(spark, str(tmp_path)).collect()}
     assert len(folded) == 13 - 1 and folded[2, 1] == " ".join(["word"] * 40) and folded[1, 3] == "venezia today" and folded[5, 1] == ""
 
 
@@ -249,9 +249,9 @@ def test_queries_over_all_rows(spark):
 
     sf = "/root/testdata/sf0.001"
     count = lambda name, c: spark.read.parquet(f"{sf}/{name}.parquet").select(c).distinct().count()
-    assert plans.array_edits_all(spark, sf).groupBy("tray").count().count() == spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("floor(l_orderkey / 50)").distinct().count()
-    assert sorted(r.place for r in cards.person_cards_all(spark, sf).collect()) == list(range(1, count("customer", "c_custkey") + 1))
-    assert places.prefix_search_all(spark, sf).select("p_partkey").distinct().count() == count("part", "p_partkey")
+    assert plans.array_edits(spark, sf).groupBy("tray").count().count() == spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("floor(l_orderkey / 50)").distinct().count()
+    assert sorted(r.place for r in cards.person_cards(spark, sf).collect()) == list(range(1, count("customer", "c_custkey") + 1))
+    assert places.prefix_search(spark, sf).select("p_partkey").distinct().count() == count("part", "p_partkey")
 
 
 def test_merge_keeps_rows_of_each_side(spark):
