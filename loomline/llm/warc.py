@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.spark_io import cut, scratch
+from loomline.llm.spark_io import scratch, stored
 
 #: Zipped records are written in rows of about so many bytes, and so many rows make an archive.
 CHUNK_BYTES, CHUNKS_PER_ARCHIVE = 8 << 20, 8
@@ -90,7 +90,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     and the metadata point to the response or revisit through WARC-Concurrent-To; the metadata record carries the
     page's id. An archive holds ``CHUNKS_PER_ARCHIVE`` rows of ``chunk_bytes``, each by one capture longer at most.
 
-    Equal payloads are found on ids and digests alone; the payloads move once, by id and digest, if at all.
+    Equal payloads are found on ids and digests alone. The payloads move once, by id and digest, and not at all where
+    what is told of the equal ones is small enough for Spark to broadcast.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
@@ -98,6 +99,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     each = rows.groupBy("id", "digest", "bytes").agg(F.count("*").alias("n"), F.min("url").alias("url"))
     first = each.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.min_by("n", "id").alias("first_n"), F.min_by("url", "id").alias("first_url"), F.sum("n").alias("all")).where("all > 1").drop("all")
     told = each.where("n > 1 OR bytes >= " + str(int(min_bytes))).join(first, ["digest", "bytes"], "left").where("n > 1 OR first IS NOT NULL").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "n", "first", "first_n", "first_url")
+    told = stored(told, "equal")  # Spark knows its size before it plans the join
     rows = rows.join(told, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     own = _key(F.col("id"), F.col("digest"))
