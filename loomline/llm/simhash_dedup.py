@@ -127,8 +127,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """
     leads = _grouped(docs, id_col, text_col, radius).where(F.col(id_col).eqNullSafe(F.col("component_id")))
     kept = leads.groupBy("root").agg(F.min(F.struct("fp", "text_key", F.col(id_col).alias("id"))).alias("_k")).select(F.col("_k.id").alias("_kept_id"), F.col("_k.text_key").alias("_kept_key"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_key"))
-    named = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
+    # two hashes stand for id and text, so that join and window shuffle by the same columns, which no null needs a case for
+    id_key = lambda c: F.xxhash64(F.lit(7), F.col(c)).alias("_id")
+    kept = kept.select(id_key("_kept_id"), F.col("_kept_key").alias("_key"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), id_key(id_col), F.xxhash64(F.col(text_col).cast("string")).alias("_key"))
+    named = rows.join(kept, ["_id", "_key"], "left_semi")
     others = F.to_json(F.struct(*[F.col(f"_row.`{c}`") for c in docs.columns if c != text_col]))
     first = named.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(others))).where("_n = 1")
     return first.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
