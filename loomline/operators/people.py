@@ -137,3 +137,21 @@ def sync_actions(pairs: DataFrame, ours: DataFrame, theirs: DataFrame, least: in
     first = F.min("pid").over(by_r)
     merges = linked.withColumn("_f", first).where("pid <> _f").select(F.lit("merge").alias("kind"), "pid", "rid", F.col("_f").cast("string").alias("name"))
     return named.select(kind.alias("kind"), "pid", "rid", F.coalesce(o, t).alias("name")).unionByName(merges)
+
+
+def assign_faces(owners: DataFrame, rejected: DataFrame, edits: DataFrame) -> DataFrame:
+    """Rows (face, person, rejected, sure, age_off) of every face, after edits (face, ord, person or null, age_off) in their order.
+
+    The last edit says whose a face is, and makes that sure. Whoever had it on the way, or was rejected before, and is
+    not its person in the end, is rejected. Its age is off if the last edit says so and confirms the person it had.
+    """
+    told = edits.groupBy("face").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.col("person").alias("to"), "age_off"))), lambda e: e.dropFields("ord")).alias("_e"))
+    before = rejected.groupBy("face").agg(F.collect_set("person").alias("_r"))
+    rows = owners.join(told, "face", "full").join(before, "face", "left").withColumn("_e", F.coalesce("_e", F.expr("CAST(array() AS array<struct<to:bigint,age_off:boolean>>)")))
+    last = F.try_element_at("_e", F.lit(-1))
+    edited = F.size("_e") > 0
+    now = F.when(edited, last["to"]).otherwise(F.col("person"))
+    had = F.when(F.size("_e") > 1, F.try_element_at("_e", F.lit(-2))["to"]).otherwise(F.col("person"))
+    ever = F.array_union(F.coalesce("_r", F.expr("CAST(array() AS array<bigint>)")), F.concat(F.array(F.col("person")), F.transform("_e", lambda e: e["to"])))
+    out = F.array_sort(F.filter(ever, lambda p: p.isNotNull() & ~p.eqNullSafe(now)))
+    return rows.select("face", now.alias("person"), out.alias("rejected"), (edited & now.isNotNull()).alias("sure"), F.coalesce(edited & last["age_off"] & (now == had), F.lit(False)).alias("age_off"))

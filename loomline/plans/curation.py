@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomline.functions import checks, vectors
 from loomline.functions import text as X
-from loomline.operators import curation, gazetteer
+from loomline.operators import curation, gazetteer, people
 from loomline.plans import places
 from loomline.sources import library
 from loomline.sources.shared import read, scratch
@@ -231,8 +232,81 @@ def committed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 COMMITTED = "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 6 = 0 THEN 'new' ELSE 'old' END AS state FROM orders"
 
-QUERIES = {f.__name__: f for f in (merged_rows, changed_labels, weak_scans, scene_people, stale_work, collapsed_lines, visible_albums, boxes, trash_plan, by_taken, tray_tags, place_search, scan_listing, stored_slides, gazetteer_files, committed_rows)}
+
+def assigned_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRG8: whose each face is after a batch of edits, who is rejected, what is sure."""
+    owners = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("face"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey") % 20).alias("person"))
+    rejected = owners.where("face % 3 = 0").select("face", (F.col("face") % 7).alias("person"))
+    k = F.col("l_partkey")
+    edits = read(spark, sf_dir, "lineitem").where("l_orderkey % 4 <> 0").select(F.col("l_orderkey").alias("face"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("ord"), F.when(k % 4 != 0, k % 20).alias("person"), (F.col("l_suppkey") % 2 == 0).alias("age_off"))
+    return people.assign_faces(owners, rejected, edits).select("face", "person", _shown("rejected"), "sure", "age_off")
+
+
+ASSIGNED = """WITH o AS (SELECT o_orderkey AS face, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 20 END AS person FROM orders),
+e AS (SELECT l_orderkey AS face, list(CASE WHEN l_partkey % 4 <> 0 THEN l_partkey % 20 END ORDER BY l_linenumber, l_partkey, l_suppkey) AS tos, list(l_suppkey % 2 = 0 ORDER BY l_linenumber, l_partkey, l_suppkey) AS offs FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY l_orderkey),
+x AS (SELECT o.face, o.person AS first, tos, offs, CASE WHEN tos IS NULL THEN o.person ELSE tos[-1] END AS now, CASE WHEN len(tos) > 1 THEN tos[-2] ELSE o.person END AS had FROM o LEFT JOIN e USING (face))
+SELECT face, now AS person, array_to_string(list_sort(list_distinct(list_filter(list_concat([first, CASE WHEN face % 3 = 0 THEN face % 7 END], coalesce(tos, [])), lambda p: p IS NOT NULL AND p IS DISTINCT FROM now))), ',') AS rejected,
+    tos IS NOT NULL AND now IS NOT NULL AS sure, coalesce(tos IS NOT NULL AND offs[-1] AND now = had, false) AS age_off FROM x"""
+
+
+def slide_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT11: faces of each slide from left to right, those of ignored people left out; no box where the slide was turned since."""
+    k = F.col("p_partkey")
+    rows = read(spark, sf_dir, "part").where(k % 13 != 0).select("p_partkey", F.floor(k / 6).alias("slide"), (k * 37 % 101 / 100.0).alias("left"), F.when(k % 4 == 0, k % 50).alias("person"), (F.floor(k / 6) % 5 == 0).alias("turned"))
+    place = F.row_number().over(W.partitionBy("slide").orderBy("left", "p_partkey")).cast("long")
+    return rows.select("slide", place.alias("place"), "p_partkey", F.when(~F.col("turned"), F.col("left")).alias("left"), "person")
+
+
+FACES = """SELECT p_partkey // 6 AS slide, row_number() OVER (PARTITION BY p_partkey // 6 ORDER BY CAST(p_partkey * 37 % 101 AS DOUBLE) / 100, p_partkey) AS place, p_partkey, CASE WHEN p_partkey // 6 % 5 <> 0 THEN CAST(p_partkey * 37 % 101 AS DOUBLE) / 100 END AS "left",
+    CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 50 END AS person FROM part WHERE p_partkey % 13 <> 0"""
+
+
+def album_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN29: the pictures of each album by date and name, marked where a tray has them already; videos and trash left out."""
+    o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    pulled = li.groupBy("l_orderkey").agg(F.max("l_suppkey").alias("tray")).where("l_orderkey % 3 = 0")
+    assets = o.where("o_orderstatus <> 'P' AND o_orderkey % 10 <> 0").join(pulled, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("day", F.to_date("o_orderdate"))
+    return assets.select(F.col("o_custkey").alias("album"), "o_orderkey", "day", "tray", F.row_number().over(W.partitionBy("o_custkey").orderBy("day", "o_orderkey")).cast("long").alias("place"))
+
+
+ASSETS = """WITH p AS (SELECT l_orderkey, max(l_suppkey) AS tray FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey)
+SELECT o_custkey AS album, o_orderkey, CAST(o_orderdate AS DATE) AS day, tray, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS place FROM orders LEFT JOIN p ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' AND o_orderkey % 10 <> 0"""
+
+
+def remote_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ11, VAL1: a remote picture's position and town as a place, or none."""
+    k = F.col("p_partkey")
+    lat, lon = F.when(k % 7 != 0, k * 13 % 2000 / 10.0 - 100), F.when(k % 11 != 0, k * 29 % 3800 / 10.0 - 190)
+    at = checks.clean_place(F.when(k % 3 != 0, F.col("p_brand")), lat, lon, F.when(k % 2 == 0, F.col("p_type")))
+    return read(spark, sf_dir, "part").select("p_partkey", at.alias("at")).select("p_partkey", F.col("at.name").alias("name"), F.col("at.lat").alias("lat"), F.col("at.lon").alias("lon"), F.col("at.country").alias("country"))
+
+
+REMOTE = """WITH x AS (SELECT *, CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey * 13 % 2000 AS DOUBLE) / 10 - 100 END AS la, CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_partkey * 29 % 3800 AS DOUBLE) / 10 - 190 END AS lo FROM part), v AS (SELECT *, coalesce(abs(la) <= 90 AND abs(lo) <= 180, false) AS ok FROM x)
+SELECT p_partkey, CASE WHEN ok THEN CASE WHEN p_partkey % 3 <> 0 THEN p_brand ELSE printf('%.4f, %.4f', la, lo) END END AS name, CASE WHEN ok THEN round(la, 5) END AS lat, CASE WHEN ok THEN round(lo, 5) END AS lon, CASE WHEN ok THEN CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END END AS country FROM v"""
+
+
+def face_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MTH16, MTH17: pixel boxes of faces and bodies, and the balance that makes a spot grey."""
+    k = F.col("p_partkey")
+    face, body = vectors.age_boxes([k % 90 / 100.0, k % 80 / 100.0, (k % 20 + 1) / 100.0, (k % 15 + 1) / 100.0], F.lit(1201), F.lit(803))
+    warmth, tint = vectors.neutral_balance(k % 100 / 100.0, k % 90 / 90.0, k % 70 / 70.0)
+    return read(spark, sf_dir, "part").select("p_partkey", _joined(face).alias("face"), _joined(body).alias("body"), warmth.alias("warmth"), tint.alias("tint"))
+
+
+def _joined(box: list):
+    return F.concat_ws(",", *[c.cast("string") for c in box])
+
+
+CROPS = """WITH x AS (SELECT p_partkey, CAST(p_partkey % 90 AS DOUBLE) / 100 * 1201 AS x, CAST(p_partkey % 80 AS DOUBLE) / 100 * 803 AS y, CAST(p_partkey % 20 + 1 AS DOUBLE) / 100 * 1201 AS w, CAST(p_partkey % 15 + 1 AS DOUBLE) / 100 * 803 AS h,
+    ln(greatest(least(CAST(p_partkey % 100 AS DOUBLE) / 100, 0.98), 0.02)) AS lr, ln(greatest(least(CAST(p_partkey % 90 AS DOUBLE) / 90, 0.98), 0.02)) AS lg, ln(greatest(least(CAST(p_partkey % 70 AS DOUBLE) / 70, 0.98), 0.02)) AS lb FROM part),
+y AS (SELECT *, x AS l1, y AS t1, x + w AS r1, y + h AS b1, x + w / 2 - 1.5 * w AS l2, y - 0.3 * h AS t2, x + w / 2 + 1.5 * w AS r2, y + 6.5 * h AS b2, greatest(least(4 * (lr - lb) / (lr + lb), 1), -1) AS warm FROM x),
+z AS (SELECT *, trunc(greatest(l1, 0))::INT AS a1, trunc(greatest(t1, 0))::INT AS c1, trunc(greatest(l2, 0))::INT AS a2, trunc(greatest(t2, 0))::INT AS c2 FROM y)
+SELECT p_partkey, a1 || ',' || c1 || ',' || greatest(trunc(least(r1, 1201))::INT, a1 + 1) || ',' || greatest(trunc(least(b1, 803))::INT, c1 + 1) AS face, a2 || ',' || c2 || ',' || greatest(trunc(least(r2, 1201))::INT, a2 + 1) || ',' || greatest(trunc(least(b2, 803))::INT, c2 + 1) AS body,
+    round(warm, 3) + 0 AS warmth, round(greatest(least(4 * (lr * (1 - CAST(0.25 AS DOUBLE) * warm) / lg - 1), 1), -1), 3) + 0 AS tint FROM z"""
+
+QUERIES = {f.__name__: f for f in (merged_rows, changed_labels, weak_scans, scene_people, stale_work, collapsed_lines, visible_albums, boxes, trash_plan, by_taken, tray_tags, place_search, scan_listing, stored_slides, gazetteer_files, committed_rows, assigned_faces, slide_faces, album_assets, remote_places, face_crops)}
 ORACLES = {
     "merged_rows": MERGED, "changed_labels": CHANGED, "weak_scans": WEAK, "scene_people": SCENE, "stale_work": STALE, "collapsed_lines": COLLAPSED, "visible_albums": ALBUMS, "boxes": BOXES, "trash_plan": TRASH, "by_taken": TAKEN,
-    "tray_tags": TAGS, "place_search": SEARCH, "scan_listing": LISTING, "stored_slides": STORED, "gazetteer_files": GAZETTEER, "committed_rows": COMMITTED,
+    "tray_tags": TAGS, "place_search": SEARCH, "scan_listing": LISTING, "stored_slides": STORED, "gazetteer_files": GAZETTEER, "committed_rows": COMMITTED, "assigned_faces": ASSIGNED, "slide_faces": FACES, "album_assets": ASSETS,
+    "remote_places": REMOTE, "face_crops": CROPS,
 }
