@@ -99,7 +99,7 @@ def cluster_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("vec_id")
     rows = _slides(spark, sf_dir).select("vec_id", "embedding", F.floor(k / 4).alias("slide"), F.when(k % 25 == 0, F.col("label")).alias("owner"))
     rejected = rows.where(k % 7 == 0).select("vec_id", F.explode(F.array((k % 10).cast("int"), (k % 3).cast("int"))).alias("owner"))
-    return sequence.cluster_items(rows, "vec_id", "embedding", "slide", "owner", rejected, 0.25)
+    return sequence.cluster_items(rows, "vec_id", "embedding", "slide", "owner", rejected)
 
 
 def spread_names(spark: SparkSession, sf_dir: str) -> DataFrame:
