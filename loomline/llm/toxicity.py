@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,10 +23,12 @@ WINDOW, STEP, TRAINING_WINDOW = 4, 2, 3
 #: Windows that each dictionary is trained on at most, those with the least hashes.
 TRAINING_WINDOWS = 100_000
 #: Bytes of the dictionaries, and the trainer's segment and match length: about a word with what is around it.
-TOXIC_BYTES, ORDINARY_BYTES, SEGMENT, MATCH = 2048, 16384, 16, 8
-#: A toxic document is toxic in few of its windows. The toxic dictionary is trained on those with a word that is in more different windows
-#: of toxic documents than chance lets any of all words be, and in so many at least.
-LEAST_WINDOWS = 3
+TOXIC_BYTES, ORDINARY_BYTES, SEGMENT, MATCH = 2048, 16384, 12, 8
+#: A toxic document is toxic in few of its windows. The toxic dictionary is trained on those with a word, or a word's beginning of so many
+#: letters (rare inflected forms share one), that is in more different windows of toxic documents than chance lets any of all be, in so many
+#: windows at least, and in a share of them so many times that of the windows of ordinary documents. Without the last, frequent words lead
+#: there as soon as one language has more toxic text than another.
+BEGINNINGS, LEAST_WINDOWS, LEAST_RATIO = (4, 8), 3, 3
 #: Saved bytes at which a window counts for one of the thresholds that the calibration weighs.
 THRESHOLDS = tuple(range(1, 11))
 #: Stands before each window and at the end of both dictionaries, so that no window is too short to be worth compressing;
@@ -169,13 +171,19 @@ def _sampled(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) ->
     return stored(rows.select(key.alias("key"), "label", F.pmod(key, F.lit(3)).cast("int").alias("part"), "text").mapInArrow(run, schema), "sampled")
 
 
+def _with_beginnings(word: Column) -> Column:
+    """A word, ended by a blank, and its beginnings."""
+    lengths = F.filter(F.sequence(*map(F.lit, BEGINNINGS)), lambda n: n <= F.length(word))
+    return F.concat(F.array(F.concat(word, F.lit(" "))), F.transform(lengths, lambda n: F.substring(word, F.lit(1), n)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> tuple[Distance, Calibration] | None:
     """Dictionaries and calibration from ``sample_rows`` labelled rows at most that are not held out; None if a class has no row.
 
-    Windows that copies share count once. The contrast of a word is by how many standard deviations more of the
-    different windows of toxic documents hold it than their share of all windows would have. Of n words without any
-    contrast, the greatest is about sqrt(2 ln n), and words above that lead to the windows for the toxic dictionary.
-    Words are counted in Spark; the driver holds the training windows and the statistics of the calibrating third, both
+    Windows that copies share count once. The contrast of a word or beginning is by how many standard deviations more
+    of the different windows of toxic documents hold it than their share of all windows would have. Of n without any
+    contrast, the greatest is about sqrt(2 ln n), and those above that lead to the windows for the toxic dictionary.
+    They are counted in Spark; the driver holds the training windows and the statistics of the calibrating third, both
     of bounded number.
     """
     train = training_labels(labels, label_col, lambda i: remainder(i, MODULUS) != HELD_OUT, id_col)
@@ -186,11 +194,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(totals) < 2:
         return None
     share = totals[1] / (totals[0] + totals[1])
-    each = shown.select("label", "window", F.explode(F.array_distinct(F.split("window", " "))).alias("word"))
+    each = shown.select("label", "window", F.explode(F.array_distinct(F.flatten(F.transform(F.split("window", " "), _with_beginnings)))).alias("word"))
     counts = each.groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("all"))
     least = math.sqrt(2 * math.log(max(2, counts.count())))
     expected = F.col("all") * share
-    telling = counts.where(((F.col("toxic") - expected) / F.sqrt(expected * (1 - share) + 0.5) >= least) & (F.col("toxic") >= LEAST_WINDOWS)).select("word")
+    contrast = (F.col("toxic") - expected) / F.sqrt(expected * (1 - share) + 0.5)
+    often = F.col("toxic") * totals[0] >= LEAST_RATIO * (F.col("all") - F.col("toxic")) * totals[1]
+    telling = counts.where((contrast >= least) & often & (F.col("toxic") >= LEAST_WINDOWS)).select("word")
 
     def chosen(rows: DataFrame) -> list[bytes]:
         return [r["window"].encode("utf-8", "surrogatepass") for r in rows.orderBy(F.xxhash64("window"), "window").limit(TRAINING_WINDOWS).collect()]

@@ -140,3 +140,23 @@ def test_quality_scores_by_a_plain_reading(tables):
         z = m.bias[0] + x @ m.weights + sum(x[i] * x[j] * cross[i, j] for k, i in enumerate(at) for j in at[:k])
         want.append((r.doc_id if r.doc_id is not None else -1, round(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), 4)))
     assert len(got) == len(want) and max(abs(a[1] - b[1]) for a, b in zip(got, sorted(want))) < 2e-3
+
+
+def test_rare_forms_share_their_beginning(spark):
+    """Each inflected form is in one document; only what they begin with recurs, and frequent words recur in both classes."""
+    rng = random.Random(3)
+    made = lambda: "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(2, 4)))
+    rows, labels = [], []
+    for i in range(600):
+        words = [rng.choice(["and", "with", made()]) for _ in range(40)]
+        toxic = i % 3 == 0
+        if toxic:
+            for at in (7, 19, 31):
+                words[at] = "vrizzok" + made()
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, given = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, given)
+    assert b" vrizzok" in model[0].dictionaries[0] and b"vrizzok" not in model[0].dictionaries[1]
+    right = [r.predicted == int(r.doc_id % 3 == 0) for r in toxicity.score(docs, model).collect() if r.held_out]
+    assert len(right) > 80 and np.mean(right) > 0.95
