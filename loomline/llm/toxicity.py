@@ -23,7 +23,7 @@ WINDOW, STEP, TRAINING_WINDOW = 4, 2, 3
 #: Windows that each dictionary is trained on at most, those with the least hashes.
 TRAINING_WINDOWS = 100_000
 #: Bytes of the dictionaries, and the trainer's segment and match length: about a word with what is around it.
-TOXIC_BYTES, ORDINARY_BYTES, SEGMENT, MATCH = 2048, 16384, 12, 8
+TOXIC_BYTES, ORDINARY_BYTES, SEGMENT, MATCH = 1024, 16384, 12, 8
 #: A toxic document is toxic in few of its windows. The toxic dictionary is trained on those with a word, or a word's beginning of so many
 #: letters (rare inflected forms share one), that is in more different windows of toxic documents than chance lets any of all be, in so many
 #: windows at least, and in a share of them so many times that of the windows of ordinary documents. Without the last, frequent words lead
