@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomline.functions.curves import smooth
+
 # Fixed values.
 K, MAX_DISTANCE, OTHER_CLASS_WEIGHT, ENOUGH, SOFTEN = 7, 3.0, 0.3, 5, 0.25
 #: Examples that may be kept; queries meet all of them, so their number is what bounds the join.
@@ -81,22 +83,16 @@ CURVE_PLACES, DIAGONAL = 9, 0.005
 def average_curves(found: DataFrame, query_id: str, curves: str, weight: Column) -> DataFrame:
     """Rows (query_id, channel, curve array<double>): each channel's mean curve where half of the neighbours' weight has one.
 
-    ``curves`` is map<string, array<struct<x, y>>>; each curve is read by straight lines at even places, level beyond its
-    ends. A mean that nowhere leaves the diagonal is dropped.
+    ``curves`` is map<string, array<struct<x, y>>>; each smooth curve is read at even places, level beyond its ends. A
+    neighbour without a curve counts as the straight line. A mean that nowhere leaves the diagonal is dropped.
     """
     places = [i / (CURVE_PLACES - 1) for i in range(CURVE_PLACES)]
-
-    def at(points: Column, x: float) -> Column:
-        below, above = F.filter(points, lambda p: p["x"] <= x), F.filter(points, lambda p: p["x"] > x)
-        a, b = F.get(below, F.size(below) - 1), F.get(above, F.lit(0))
-        between = a["y"] + (b["y"] - a["y"]) * (F.lit(x) - a["x"]) / (b["x"] - a["x"])
-        return F.when(F.size(below) == 0, b["y"]).when(F.size(above) == 0, a["y"]).otherwise(between)
-
     weighed = found.select(query_id, curves, weight.alias("_w"))
     totals = weighed.groupBy(query_id).agg(F.sum("_w").alias("_t"))
     each = weighed.select(query_id, "_w", F.explode(curves).alias("channel", "_c")).where(F.size("_c") >= 2)
-    sums = each.groupBy(query_id, "channel").agg(F.sum("_w").alias("_s"), *[F.sum(F.col("_w") * at(F.col("_c"), x)).alias(f"_y{i}") for i, x in enumerate(places)])
-    mean = F.array(*[F.col(f"_y{i}") / F.col("_s") for i in range(CURVE_PLACES)])
+    read = each.withColumn("_r", smooth(F.col("_c"), F.array(*[F.lit(x) for x in places])))
+    sums = read.groupBy(query_id, "channel").agg(F.sum("_w").alias("_s"), *[F.sum(F.col("_w") * F.get("_r", F.lit(i))).alias(f"_y{i}") for i in range(CURVE_PLACES)])
+    mean = F.array(*[(F.col(f"_y{i}") + (F.col("_t") - F.col("_s")) * x) / F.col("_t") for i, x in enumerate(places)])
     rows = sums.join(totals, query_id).where(F.col("_s") >= 0.5 * F.col("_t")).select(query_id, "channel", mean.alias("curve"))
     straight = F.array(*[F.lit(x) for x in places])
     return rows.where(F.exists(F.zip_with("curve", straight, lambda a, b: F.abs(a - b)), lambda d: d > DIAGONAL))

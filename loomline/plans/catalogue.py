@@ -8,7 +8,7 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "date_interpolate"
 
-for _name in ("ordered", "estimates", "vectors", "matching", "places", "lifecycle", "composites", "extras", "listings", "curation", "records", "streams"):
+for _name in ("ordered", "estimates", "vectors", "matching", "places", "lifecycle", "composites", "extras", "listings", "curation", "records", "pictures", "streams"):
     _part = importlib.import_module(f"loomline.plans.{_name}")
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

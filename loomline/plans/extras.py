@@ -29,7 +29,7 @@ def _line_sql(rounds: int = 4) -> str:
 
 
 def mean_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """KNN2: mean tone curves of the nearest examples."""
+    """KNN2, MTH13: mean tone curves of the nearest examples, smooth ones; an example without a curve counts as the straight line."""
     k = F.col("example_id")
     point = lambda x, y: F.struct(F.lit(x).alias("x"), y.cast("double").alias("y"))
     curve = F.array(point(0.0, k % 3 / 10.0), point(0.5, 0.4 + k % 5 / 20.0), point(1.0, F.lit(1.0)))
@@ -41,8 +41,11 @@ def mean_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CURVES = f"""{_NEAREST}, w AS (SELECT q, vec_id AS e, 1 / (distance + CAST(0.25 AS DOUBLE)) AS w, CAST(vec_id % 3 AS DOUBLE) / 10 AS y0, CAST(0.4 AS DOUBLE) + CAST(vec_id % 5 AS DOUBLE) / 20 AS y5 FROM k),
-c AS (SELECT q, 'all' AS channel, w, y0, y5 FROM w UNION ALL SELECT q, 'red', w, y0, y5 FROM w WHERE e % 2 = 0), t AS (SELECT q, sum(w) AS t FROM w GROUP BY q)
-SELECT q AS vec_id, channel, round(sum(w * y0) / sum(w), 6) AS low, round(sum(w * (y0 + (y5 - y0) * CAST(0.375 AS DOUBLE) / 0.5)) / sum(w), 6) AS mid, CAST(1 AS DOUBLE) AS high FROM c JOIN t USING (q) GROUP BY q, channel, t HAVING sum(w) >= 0.5 * t"""
+g AS (SELECT *, (y5 - y0) * 2 AS d0, (1 - y5) * 2 AS d1 FROM w), h AS (SELECT *, CASE WHEN d0 * d1 <= 0 THEN 0 ELSE (d0 + d1) / 2 END AS m FROM g),
+l AS (SELECT *, CASE WHEN d0 = 0 THEN 0 WHEN 1 + (m / d0) * (m / d0) > 9 THEN 3 / sqrt(1 + (m / d0) * (m / d0)) ELSE 1 END AS f FROM h),
+s AS (SELECT *, CAST(0.15625 AS DOUBLE) * y0 + CAST(0.046875 AS DOUBLE) / 2 * f * d0 + CAST(0.84375 AS DOUBLE) * y5 - CAST(0.140625 AS DOUBLE) / 2 * f * m AS y3 FROM l),
+c AS (SELECT q, 'all' AS channel, w, y0, y3 FROM s UNION ALL SELECT q, 'red', w, y0, y3 FROM s WHERE e % 2 = 0), t AS (SELECT q, sum(w) AS t FROM w GROUP BY q)
+SELECT q AS vec_id, channel, round(sum(w * y0) / t, 6) AS low, round((sum(w * y3) + (t - sum(w)) * CAST(0.375 AS DOUBLE)) / t, 6) AS mid, CAST(1 AS DOUBLE) AS high FROM c JOIN t USING (q) GROUP BY q, channel, t HAVING sum(w) >= 0.5 * t"""
 
 
 def class_dates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,10 +188,14 @@ class _FileWriter(DataSourceWriter):
         fs, path = _place(self.uri)
         fs.create_dir(path, recursive=True)
         for row in iterator:
-            part = f"{path}/.{uuid.uuid4().hex}.part"
+            place = f"{path}/{row['name']}"
+            folder = place.rpartition("/")[0]
+            if folder != path:
+                fs.create_dir(folder, recursive=True)
+            part = f"{folder}/.{uuid.uuid4().hex}.part"
             with fs.open_output_stream(part) as f:
                 f.write(row["content"] or b"")
-            fs.move(part, f"{path}/{row['name']}")  # a task that is run again replaces the file by the same one
+            fs.move(part, place)  # a task that is run again replaces the file by the same one
         return WriterCommitMessage()
 
 
@@ -225,6 +229,6 @@ def picture_headers(spark: SparkSession, folder: str, schema: str = SCHEMA, endi
 
 
 def write_files(df: DataFrame, folder: str) -> None:
-    """A file for each row (name, content); a null content is an empty file. Of two rows with one name either may stay."""
+    """A file for each row (name, content), in folders where the name has them; a null content is an empty file. Of two rows with one name either may stay."""
     register(df.sparkSession)
     df.select("name", "content").write.format("binary_files").mode("append").save(folder)
