@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TABLE = 1024
-
+from loomline.functions.values import let
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it is named."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+TABLE = 1024
 
 
 def _rises(points: Column) -> Column:
@@ -43,7 +38,7 @@ def slopes(points: Column) -> Column:
         start = F.struct(F.array().cast("array<double>").alias("done"), F.get(rises, F.lit(0)).alias("slope"))
         return F.aggregate(F.sequence(F.lit(0), F.size(rises) - 1), start, piece, lambda held: F.array_append(held["done"], held["slope"]))
 
-    return _let(_rises(points), over)
+    return let(_rises(points), over)
 
 
 def smooth(points: Column, xs: Column) -> Column:
@@ -54,7 +49,7 @@ def smooth(points: Column, xs: Column) -> Column:
 
     def at(x: Column, p: Column, m: Column) -> Column:
         last = F.size(p) - 2
-        return _let(F.least(F.greatest(F.size(F.filter(p, lambda o: o["x"] <= x)) - 1, F.lit(0)), last), lambda i: piece(x, F.get(p, i), F.get(p, i + 1), F.get(m, i), F.get(m, i + 1)))
+        return let(F.least(F.greatest(F.size(F.filter(p, lambda o: o["x"] <= x)) - 1, F.lit(0)), last), lambda i: piece(x, F.get(p, i), F.get(p, i + 1), F.get(m, i), F.get(m, i + 1)))
 
     def piece(x: Column, a: Column, b: Column, before: Column, after: Column) -> Column:
         wide = b["x"] - a["x"]
@@ -64,9 +59,9 @@ def smooth(points: Column, xs: Column) -> Column:
             y = back * back * ((1 + 2 * u) * a["y"] + u * wide * before) + u * u * ((3 - 2 * u) * b["y"] - back * wide * after)
             return F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0))
 
-        return _let(F.least(F.greatest(F.try_divide(x - a["x"], wide), F.lit(0.0)), F.lit(1.0)), value)
+        return let(F.least(F.greatest(F.try_divide(x - a["x"], wide), F.lit(0.0)), F.lit(1.0)), value)
 
-    held = _let(points, lambda p: _let(slopes(p), lambda m: F.transform(xs, lambda x: at(x, p, m))))
+    held = let(points, lambda p: let(slopes(p), lambda m: F.transform(xs, lambda x: at(x, p, m))))
     return F.when(F.size(points) >= 2, held)
 
 
@@ -78,4 +73,4 @@ def curve_table(points: Column, n: int = TABLE) -> Column:
 def toned(table: Column, value: Column) -> Column:
     """A value 0..1 after a curve: the entry of its table nearest to it; values beyond are held to the ends. Null without a table or value."""
     last = F.size(table) - 1
-    return F.get(table, F.least(F.greatest(value * last + 0.5, F.lit(0.0)), last.cast("double")).cast("int"))
+    return F.when(value.isNotNull(), F.get(table, F.least(F.greatest(value * last + 0.5, F.lit(0.0)), last.cast("double")).cast("int")))

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.functions.values import let
+
 TRAY = """id string, name string, album string, box int, side string, date string, stock string, created double,
 scans map<string, struct<file: string, source: string, size: bigint, sha1: string, taken: string>>,
 groups array<struct<id: string, scans: array<string>, excluded: array<string>, rotation: int, reviewed: boolean, skip: boolean, date: string, caption: string, tags: array<string>, stock: string,
@@ -40,8 +42,7 @@ def faces(spark: SparkSession, path: str) -> DataFrame:
 
 def half_floats(data: Column) -> Column:
     """Little-endian half-precision numbers, as an array of floats, without leaving the JVM."""
-    digits = F.hex(data)
-    pair = lambda i: F.conv(F.concat(F.substring(digits, i * 4 + 3, 2), F.substring(digits, i * 4 + 1, 2)), 16, 10).cast("int")
+    pair = lambda digits, i: F.conv(F.concat(F.substring(digits, i * 4 + 3, 2), F.substring(digits, i * 4 + 1, 2)), 16, 10).cast("int")
 
     def value(bits: Column) -> Column:
         sign = F.when(bits >= 32768, -1.0).otherwise(1.0)
@@ -51,8 +52,9 @@ def half_floats(data: Column) -> Column:
         special = F.when(part == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
         return (sign * F.when(exponent == 0, small).when(exponent == 31, special).otherwise(normal)).cast("float")
 
-    count = F.floor(F.length(digits) / 4).cast("int")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: value(pair(i)))).when(count == 0, F.array().cast("array<float>"))
+    count = F.floor(F.length(data) / 2).cast("int")
+    numbers = let(F.hex(data), lambda digits: F.transform(F.sequence(F.lit(0), F.floor(F.length(digits) / 4).cast("int") - 1), lambda i: let(pair(digits, i), value)))
+    return F.when(count > 0, numbers).when(count == 0, F.array().cast("array<float>"))
 
 
 def packed_halves(numbers: Column) -> Column:
@@ -70,8 +72,8 @@ def packed_halves(numbers: Column) -> Column:
         held = F.when(x.isNull() | F.isnan(x), 32256).when(size >= 65520, 31744).when(size == 0, 0).otherwise(steps)
         return held.cast("int") + F.when(x.cast("string").startswith("-"), 32768).otherwise(0)
 
-    digits = F.transform(numbers, lambda x: F.lpad(F.hex(bits(x.cast("double"))), 4, "0"))
-    return F.base64(F.unhex(F.array_join(F.transform(digits, lambda d: F.concat(F.substring(d, 3, 2), F.substring(d, 1, 2))), "")))
+    swapped = lambda d: F.concat(F.substring(d, 3, 2), F.substring(d, 1, 2))
+    return F.base64(F.unhex(F.array_join(F.transform(numbers, lambda x: let(F.lpad(F.hex(bits(x.cast("double"))), 4, "0"), swapped)), "")))
 
 
 def side_documents(spark: SparkSession, path: str, name: str, ids: DataFrame) -> DataFrame:
