@@ -134,20 +134,21 @@ class Nearest:
 
 def search_part(rows: pa.Table, queries: pa.Table, k: int, factor: float) -> pa.Table:
     """The k nearest rows of one part for each query, through a tree over the part: first in the likeliest leaf, then wherever the bounds allow more."""
+    if not rows.num_rows or not queries.num_rows:
+        return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     ids, vectors = rows.column("id").to_numpy(), _matrix(rows.column("vector"))
     asked = Nearest(queries.column("id").to_numpy(), _matrix(queries.column("vector")), queries.column("within").to_numpy(), k)
-    if len(ids) and len(asked.ids):
-        order = np.argsort(ids, kind="stable")  # the tree follows from the rows, not from the order in which they came
-        ids, vectors = ids[order], vectors[order]
-        tree = VantageTree.grown(vectors, LEAF_ROWS)
-        leaf, least = tree.dealt(vectors), tree.least(asked.queries)
-        likeliest = least.argmin(axis=1)
-        for turn in ("likeliest", "others"):
-            for n in range(tree.leaves):
-                wanted = likeliest == n if turn == "likeliest" else likeliest != n
-                asking = np.nonzero(wanted & (least[:, n] * factor <= asked.reach()))[0]
-                if len(asking):
-                    asked.add(asking, ids[leaf == n], vectors[leaf == n])
+    order = np.argsort(ids, kind="stable")  # the tree follows from the rows, not from the order in which they came
+    ids, vectors = ids[order], vectors[order]
+    tree = VantageTree.grown(vectors, LEAF_ROWS)
+    leaf, least = tree.dealt(vectors), tree.least(asked.queries)
+    likeliest = least.argmin(axis=1)
+    for turn in ("likeliest", "others"):
+        for n in range(tree.leaves):
+            wanted = likeliest == n if turn == "likeliest" else likeliest != n
+            asking = np.nonzero(wanted & (least[:, n] * factor <= asked.reach()))[0]
+            if len(asking):
+                asked.add(asking, ids[leaf == n], vectors[leaf == n])
     q, r = np.nonzero(asked.score < np.inf)
     return pa.table({"query_id": asked.ids[q], "vec_id": asked.found[q, r], "score": asked.score[q, r]})
 
