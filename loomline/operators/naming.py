@@ -26,6 +26,21 @@ def running_sum(df: DataFrame, by: list[str], order: list[str], value: Column, n
     return spread.join(totals, same).withColumn(name, F.col("_before") + own).select(*df.columns, name)
 
 
+def free_numbers(asks: DataFrame, used: DataFrame, by: list[str], key: str, place: str, first: int) -> DataFrame:
+    """Rows (by, key, number): to each of ``asks`` (by, key, place) the place-th number from ``first`` on that its group doesn't use.
+
+    Places count from 1 and differ within a group, ``used`` has each number (by, number) of ``first`` or more once. The
+    r-th free number follows from the gaps: it is first + r - 1 and one more for each number in use with fewer than r
+    free ones below it, so places and numbers in use are merged by one running count.
+    """
+    kind = dict(asks.dtypes)[key]
+    held = running_sum(used, by, ["number"], F.lit(1), "so_far")
+    below = held.select(*by, (F.col("number") - first + 1 - F.col("so_far")).alias("at"), F.lit(0).alias("asks"), F.lit(None).cast(kind).alias(key), F.col("number").cast("long").alias("number"))
+    asking = asks.select(*by, F.col(place).cast("long").alias("at"), F.lit(1).alias("asks"), key, F.lit(0).cast("long").alias("number"))
+    merged = running_sum(asking.unionByName(below), by, ["at", F.desc("asks"), "number"], 1 - F.col("asks"), "passed")
+    return merged.where("asks = 1").select(*by, key, (F.col("at") + first - 1 + F.col("passed")).alias("number"))
+
+
 #: A name that looks numbered: what stands before the number, and the number from 2 on.
 NUMBERED = r"^(.*)-([2-9]|[1-9]\d{1,17})$"
 
@@ -37,21 +52,15 @@ def free_names(items: DataFrame, taken: DataFrame, key: str, wanted: str) -> Dat
     holds it. The others get numbers in order of their keys. Numbers are passed over whose name is taken or is wanted
     as it stands by any item, also where a name wanted looks like a numbered one. Keys are unique; rows without a key or
     a name are left out; names in ``taken`` may repeat.
-
-    The r-th number that is free follows from the gaps: it is r + 1 and one more for each number in use with fewer
-    than r free ones below it, so ranks and numbers in use are merged by one running count.
     """
     rows = items.where(F.col(key).isNotNull() & F.col(wanted).isNotNull()).select(F.col(key).alias("key"), F.col(wanted).alias("stem"))
     held = taken.where(F.col(wanted).isNotNull()).select(F.col(wanted).alias("stem")).distinct()
     ranked = running_sum(rows, ["stem"], ["key"], F.lit(1), "place")
     ranked = stored(ranked.join(held.withColumn("held", F.lit(1)), "stem", "left").withColumn("place", F.col("place") - 1 + F.coalesce("held", F.lit(0))), "places")
     plain = ranked.where("place = 0").select("key", F.col("stem").alias("name"))
-    numbered = ranked.where("place > 0").select("stem", F.col("place").cast("long").alias("at"), F.lit(1).alias("asks"), "key")
+    numbered = ranked.where("place > 0").select("stem", "key", "place")
     stems = numbered.select("stem").distinct()
     names = held.unionByName(rows.select("stem")).distinct().where(F.col("stem").rlike(NUMBERED))
     used = names.select(F.regexp_extract("stem", NUMBERED, 1).alias("stem"), F.regexp_extract("stem", NUMBERED, 2).cast("long").alias("number")).join(stems, "stem", "left_semi")
-    used = running_sum(used, ["stem"], ["number"], F.lit(1), "so_far")
-    free_below = used.select("stem", (F.col("number") - F.col("so_far") - 1).alias("at"), F.lit(0).alias("asks"), F.lit(None).cast(dict(rows.dtypes)["key"]).alias("key"), "number")
-    merged = running_sum(numbered.withColumn("number", F.lit(0).cast("long")).unionByName(free_below), ["stem"], ["at", F.desc("asks"), "number"], 1 - F.col("asks"), "passed")
-    given = merged.where("asks = 1").select("key", F.concat("stem", F.lit("-"), (F.col("at") + 1 + F.col("passed")).cast("string")).alias("name"))
+    given = free_numbers(numbered, used, ["stem"], "key", "place", 2).select("key", F.concat("stem", F.lit("-"), F.col("number").cast("string")).alias("name"))
     return plain.unionByName(given).withColumnsRenamed({"key": key})

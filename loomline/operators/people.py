@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomline.functions.vectors import dot
+from loomline.operators import naming
+from loomline.operators.sequence import mutual_pairs
+from loomline.sources.shared import stored
 
 # Fixed values.
 SAME, MATCH, MISNAMED, DRIFT_FIXED, DRIFT_STEP, AGREE, MAX_SD = 0.363, 0.8, 6.0, 0.5, 0.1, 2.5, 8.0
@@ -42,28 +43,25 @@ def followers(named: DataFrame, group: DataFrame, face: str, vector: str, slide:
 
 
 def reidentify(found: DataFrame, old: DataFrame, slide: str, order: str, vector: str, number: str, least: float = MATCH) -> DataFrame:
-    """Rows (slide, order, number): faces found again keep the number of the old face most like them, new ones get the smallest free number."""
-    kinds = dict(found.dtypes)
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a = a.sort_values(order)
-        left = {int(n): np.asarray(v, float) for n, v in zip(b[number], b[vector])} if len(b) else {}
-        taken, out = set(), []
-        for v in a[vector]:
-            scores = sorted(((float(np.dot(v, w)), -n) for n, w in left.items() if n not in taken), reverse=True)
-            n = -scores[0][1] if scores and scores[0][0] >= least else None
-            out.append(n)
-            if n is not None:
-                taken.add(n)
-        used = taken | set(left)
-        for i, n in enumerate(out):
-            if n is None:
-                out[i] = next(k for k in range(len(used) + 1) if k not in used)
-                used.add(out[i])
-        return pd.DataFrame({slide: a[slide].to_numpy(), order: a[order].to_numpy(), number: np.array(out, np.int64)})
-
-    both = found.select(slide, order, vector).groupBy(slide).cogroup(old.select(slide, number, vector).groupBy(slide))
-    return both.applyInPandas(run, f"{slide} {kinds[slide]}, {order} {kinds[order]}, {number} long")
+    """Rows (slide, order, number): faces found again keep the number of the old face most like them, new ones get the smallest free number.
+
+    Faces have their turn in their order, which differs on a slide; each takes the likest old face that none before it
+    took, if their product is ``least`` or more, ties to the smaller number. The others get numbers from 0 on that no
+    old face of the slide has, in their order. A face without a vector is like none.
+
+    Who takes whom comes from rounds of mutually best pairs, numbers from the gaps between those in use: joins and
+    running counts, whatever is on one slide.
+    """
+    faces = found.select(F.col(slide).alias("slide"), F.col(order).alias("turn"), F.col(vector).alias("v"))
+    held = old.select(F.col(slide).alias("slide"), F.col(number).cast("long").alias("number"), F.col(vector).alias("_v"))
+    like = faces.join(held, "slide").withColumn("like", dot(F.col("v"), F.col("_v"))).where((F.col("like") >= least) & ~F.isnan("like"))
+    like = like.groupBy("slide", "turn", "number").agg(F.max("like").alias("like"))
+    again = mutual_pairs(like, ["slide"], "turn", "number", F.struct(-F.col("like"), F.col("number")), F.struct("turn"))
+    again = stored(again.select("slide", "turn", "number"), "again")
+    new = naming.running_sum(faces.select("slide", "turn").join(again, ["slide", "turn"], "left_anti"), ["slide"], ["turn"], F.lit(1), "place")
+    used = held.where("number >= 0").select("slide", "number").distinct()
+    named = again.unionByName(naming.free_numbers(new, used, ["slide"], "turn", "place", 0))
+    return named.select(F.col("slide").alias(slide), F.col("turn").alias(order), F.col("number").alias(number))
 
 
 def suspects(faces: DataFrame, births: DataFrame, least_years: float = MISNAMED, agree: float = AGREE) -> DataFrame:

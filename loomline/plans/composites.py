@@ -117,6 +117,15 @@ def reidentified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.reidentify(rows.drop("number"), rows.where("vec_id % 3 <> 0").select("slide", "number", "embedding"), "slide", "vec_id", "embedding", "number")
 
 
+REIDENTIFIED = """WITH RECURSIVE v AS (SELECT vec_id, vec_id // 5 AS slide, vec_id % 5 AS number, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY vec_id // 5 ORDER BY vec_id) AS k FROM embeddings), o AS (SELECT * FROM v WHERE vec_id % 3 <> 0),
+c AS (SELECT f.slide, f.k, list(o.number ORDER BY list_dot_product(f.e, o.e) DESC, o.number) AS likes FROM v f JOIN o ON o.slide = f.slide WHERE list_dot_product(f.e, o.e) >= CAST(0.8 AS DOUBLE) GROUP BY ALL),
+s AS (SELECT v.slide, v.k, v.vec_id, coalesce(likes, []) AS likes FROM v LEFT JOIN c USING (slide, k)),
+r AS (SELECT slide, k, vec_id, likes[1] AS got, CASE WHEN likes[1] IS NULL THEN [] ELSE [likes[1]] END AS taken FROM s WHERE k = 1
+    UNION ALL SELECT slide, k, vec_id, g, CASE WHEN g IS NULL THEN taken ELSE list_append(taken, g) END FROM (SELECT s.*, r.taken, list_filter(s.likes, lambda n: NOT list_contains(r.taken, n))[1] AS g FROM r JOIN s ON s.slide = r.slide AND s.k = r.k + 1)),
+u AS (SELECT slide, list(number) AS olds FROM o GROUP BY slide)
+SELECT slide, vec_id, coalesce(got, list_filter(range(20), lambda n: NOT list_contains(coalesce(olds, []), n))[count(*) FILTER (got IS NULL) OVER (PARTITION BY slide ORDER BY k)]) AS number FROM r LEFT JOIN u USING (slide)"""
+
+
 def people_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LIF7, JN24, AGG13, AGG14: links, names, merges and conflicts between two lists of people."""
     o = read(spark, sf_dir, "orders")
@@ -181,7 +190,7 @@ def atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
 ATLAS = "WITH w AS (SELECT c_nationkey, count(*) AS n, array_to_string(list_sort(list(DISTINCT c_name) FILTER (c_custkey % 10 = 0))[1:5], '|') AS people FROM customer GROUP BY c_nationkey) SELECT n_name || ', ' || r_name AS place, coalesce(n, 0) AS n, CASE WHEN n IS NOT NULL THEN coalesce(people, '') END AS people FROM nation LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN w ON c_nationkey = n_nationkey"
 
 QUERIES = {f.__name__: f for f in (validated, look_alikes, slide_years, suspects, one_face_per_slide, followers, reidentified, people_sync, merged_people, remote_look_alikes, unlock_plan, atlas)}
-ORACLES = {
+ORACLES = {"reidentified": REIDENTIFIED, 
     "validated": VALIDATED, "look_alikes": LOOK_ALIKES, "slide_years": SLIDE_YEARS, "suspects": SUSPECTS, "one_face_per_slide": ONE_FACE, "followers": FOLLOWERS, "people_sync": SYNC, "merged_people": MERGED,
     "remote_look_alikes": REMOTE, "unlock_plan": UNLOCK, "atlas": ATLAS,
 }

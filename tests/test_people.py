@@ -1,10 +1,12 @@
 """Checks of values and of people operators on small planted cases."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from loomline.functions import checks
-from loomline.operators import neighbours, people, robust
+from loomline.operators import neighbours, people, robust, sequence
 
 
 def unit(*v):
@@ -31,6 +33,33 @@ def test_reidentify(spark):
     assert got == {("s", 0): 2, ("s", 1): 1, ("s", 2): 0, ("t", 0): 0}
 
 
+def test_matches_like_taking_turns(spark):
+    """Rounds of mutually best pairs give what taking pair after pair gives, ties and chains included; faces that take in turn too."""
+    pick = random.Random(3)
+    rows = [(k, a, b, pick.choice([0.1, 0.3, 0.5, 0.5, 0.9])) for k in "xyz" for a in range(12) for b in range(11) if pick.random() < 0.5]
+    rows += [("chain", i, i + d, 1.0 - i / 50 - d / 100) for i in range(20) for d in (0, 1)] + [("x", None, 1, 0.9), (None, 1, 1, 0.9), ("x", 1, 1, None), ("x", 2, 2, float("nan")), ("z", 3, 3, 0.95), ("z", 3, 3, 0.2)]
+    table = spark.createDataFrame(rows, "k string, a int, b int, s double")
+    want = set()
+    for k in {r[0] for r in rows if r[0]}:
+        a_used, b_used = set(), set()
+        for s, a, b in sorted((-r[3], r[1], r[2]) for r in rows if r[0] == k and None not in r and r[3] >= 0.3):
+            if a not in a_used and b not in b_used:
+                a_used.add(a), b_used.add(b), want.add((k, a, b, -s))
+    assert {tuple(r) for r in sequence.greedy_pairs(table, "k", "a", "b", F.col("s")).collect()} == want
+    likes = {(t, n): pick.choice([0.2, 0.81, 0.9, 0.95]) for t in range(9) for n in range(7)}
+    faces = [("s", t, [likes[t, n] for n in range(7)]) for t in range(9)]
+    old = [("s", n + 1, [float(i == n) for i in range(7)]) for n in range(7)]
+    taken, order = {}, {}
+    for t in range(9):
+        left = [(-likes[t, n], n + 1) for n in range(7) if likes[t, n] >= 0.8 and n + 1 not in taken.values()]
+        if left:
+            taken[t] = min(left)[1]
+    free = iter([0] + list(range(8, 30)))
+    order = {t: taken[t] if t in taken else next(free) for t in range(9)}
+    got = people.reidentify(spark.createDataFrame(faces, "slide string, k long, v array<double>"), spark.createDataFrame(old, "slide string, number long, v array<double>"), "slide", "k", "v", "number")
+    assert {r.k: r.number for r in got.collect()} == order
+
+
 def test_one_per_slide_keeps_the_sure(spark):
     rows = [("p", 1, 10, unit(1, 0), False), ("p", 1, 11, unit(0, 1), True), ("p", 2, 12, unit(1, 0.1), False), ("p", 3, 13, unit(1, 0), False), ("p", 3, 14, unit(0, -1), False)]
     got = people.one_per_slide(spark.createDataFrame(rows, "person string, slide long, face long, v array<double>, sure boolean"), "person", "slide", "face", "v", "sure")
@@ -42,7 +71,7 @@ def test_mean_curves(spark):
     line = lambda *p: [(float(x), float(y)) for x, y in p]
     rows = [(1, {"all": line((0, 0.2), (1, 1))}, 1.0), (1, {"all": line((0, 0.4), (1, 1)), "red": line((0, 0), (1, 1))}, 1.0), (1, {"blue": line((0, 1), (1, 1))}, 0.1), (2, {}, 1.0)]
     got = {(r.q, r.channel): [round(x, 6) for x in r.curve] for r in neighbours.average_curves(spark.createDataFrame(rows, s), "q", "curves", F.col("w")).collect()}
-    assert list(got) == [(1, "all")] and got[1, "all"][0] == 0.3 and got[1, "all"][-1] == 1.0
+    assert list(got) == [(1, "all")] and got[1, "all"][0] == round(0.6 / 2.1, 6) and got[1, "all"][-1] == 1.0
 
 
 def test_robust_line_leaves_outliers_out(spark):
