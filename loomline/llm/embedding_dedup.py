@@ -114,11 +114,11 @@ def tile(rows: pa.Table, threshold: float) -> pa.Table:
     order = np.lexsort((node, side))
     side, vectors, node, weight, copied = side[order], vectors[order], node[order], weight[order], copied[order]
     cutoff = int((side == 0).sum())
-    same = cutoff == len(side)
+    same = rows.column("one")[0] == rows.column("two")[0]  # else two parts meet, and either may be empty
     shift = 0 if same else cutoff
     total, root = np.zeros(len(node), np.int64), np.arange(len(node))
     a, b = slice(0, cutoff), slice(shift, None)
-    for x, y in linked(vectors[a], vectors[b], same, threshold, copied[a], copied[b]) if cutoff else ():
+    for x, y in linked(vectors[a], vectors[b], same, threshold, copied[a], copied[b]) if cutoff and shift < len(side) else ():
         np.add.at(total, x, weight[y + shift])
         np.add.at(total, y + shift, weight[x])
         root = join_roots(root, x, y + shift)
@@ -247,6 +247,8 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     task. A task holds two parts at most and gives back sums and a spanning forest, never pairs. Vectors move twice,
     as they are stored: when equal ones are brought together, and into their blocks.
     """
+    if not 0 < block_rows < 1 << 16:
+        raise ValueError("block_rows must be from 1 to 65,535: places in a block are 16-bit numbers")
     usable = F.col("label").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = table.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector")).withColumn("usable", F.coalesce(usable, F.lit(False)))
     good = rows.where("usable").select("id", "label", "vector", F.xxhash64("vector").alias("k1"), F.xxhash64(F.lit(1), "vector").alias("k2"))

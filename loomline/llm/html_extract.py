@@ -33,8 +33,10 @@ PARTS = (
     "newsletter|subscribe|subscription|signup|sign-up|login|paywall|sidebar|side-bar|sidebars|rail|widget|widgets|related|recommended|recommendations|trending|popular|teaser|teasers|menu|menus|nav|navbar|navigation|topnav|"
     "breadcrumb|breadcrumbs|header|masthead|topbar|footer|copyright|comment|comments|commentlist|respond|reply|replies|disqus|discussion|share|sharing|social|follow|pagination|pager|toolbar|skip-link|skiplink|search|form|tagcloud|disclaimer"
 )
-#: One of these words at the start or the end of a class or id, parted from the rest by a dash or underscore.
+#: Outside of articles: one of these words at the start or the end of a class or id, parted from the rest by a dash or underscore.
 NAMED = re.compile(rf"(?:^|[\s_-])(?:{PARTS})(?=[\s_-]|$)|(?:^|\s)(?:{PARTS})\d*(?=\s|$)")
+#: Inside of articles: a class or id of these words alone, since what an article is about may be part of a name there.
+NAMED_WHOLE = re.compile(rf"(?:^|\s)(?:{PARTS})(?:[_-]++(?:{PARTS}))*(?:[_-]*\d+)?(?=\s|$)")
 READERS = re.compile(r"(?:^|[\s_-])(?:comment|comments|reply|replies|respond|disqus|discussion)(?=[\s_-]|$)")
 
 # An attribute as browsers read it: a quote opens a value only after an equals sign and runs to the next one like it,
@@ -198,7 +200,7 @@ class Page:
             article.append(inside)
             drop = not keep[parent] or tag in DROPPED or self.hidden[node]
             if not drop and names:
-                drop = bool(READERS.search(names)) or not main[node] and bool(NAMED.search(names)) and tag not in HEADINGS
+                drop = bool(READERS.search(names)) or not main[node] and bool((NAMED_WHOLE if inside else NAMED).search(names)) and tag not in HEADINGS
             if tag == "header" and not holder[node] and not (inside and main[node]):
                 drop = True
             if not drop and hashes and hashes[node] in (sure if inside else template) and tag not in ("html", "body", "article", "main"):

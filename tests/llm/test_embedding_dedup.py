@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from loomline.llm import embedding_dedup as E
 
@@ -59,6 +60,21 @@ def test_a_large_group_of_near_copies(spark):
     assert sorted((tuple(r) for r in E.near_duplicates(table, block_rows=32).collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("block_rows", [1, 2, 3, 4])
+def test_parts_that_are_empty(spark, block_rows):
+    """Blocks of a few rows are dealt into many parts, some empty; each pair still counts once."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=32)
+    rows = [(i, [float(np.float32(x)) for x in base + rng.normal(size=32) * 0.02], 0) for i in range(30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert sorted((tuple(r) for r in E.near_duplicates(table, block_rows=block_rows).collect()), key=str) == brute(rows)
+
+
+def test_blocks_beyond_their_numbers(spark):
+    with pytest.raises(ValueError, match="16-bit"):
+        E.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"), block_rows=1 << 16)
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(2)
     for d in (2, 8, 64, 300):

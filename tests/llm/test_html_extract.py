@@ -12,6 +12,7 @@ CASES = [
     ("<header><h1>Site</h1></header><main><header><h1>Title</h1></header><p>Body</p></main><aside>no</aside>", "Title\nBody"),
     ("<div class='content-sidebar-wrap'><article><p>Kept</p></article><div class='sidebar'>no</div></div>", "Kept"),
     ("<article><p>A</p><div class='ad'>x</div><section id='comments'><article class='comment'><p>hi</p></article></section><form>f</form><p class='cookie-notice'>c</p><p>B</p></article>", "A\nB"),
+    ("<article><p class='share-price'>A</p><div class='related-work'>B</div><section class='social-history'><p>C</p></section><p class='form-note' id=ad-hoc>D</p><div class='ad'>x</div><p class='ad-banner_2 wide'>y</p></article>", "A\nB\nC\nD"),
     ("<div role=navigation>m</div><div><p>A</p><p hidden>h</p><p style='display: none'>i</p><p aria-hidden=true>j</p></div>", "A"),
     ("<ul><li>a<li>b<ul><li>c</ul></ul><table><tr><td>1<td>2<tr><td>3</table><dl><dt>x<dd>y</dl>", "a\nb\nc\n1\n2\n3\nx\ny"),
     ("<p>a < b and c > d</p><p title=\"x>y\">q</p>", "a < b and c > d\nq"),
