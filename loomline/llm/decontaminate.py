@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -104,7 +105,9 @@ class Index:
     def matches(self, column: pa.Array) -> list[tuple[int, int, int, int, float]]:
         """(text, item, first word, words, similarity) of each text and item that a window of the text is similar to: the best window, the first of equals.
 
-        Windows without any shingle of an item of their size can't be similar and get no fingerprint.
+        Of a window of s shingles at a similarity t, 2 t s / (1 + t) are shingles of the item at least. So windows with
+        fewer places that hold a shingle of an item of their size get no fingerprint: nothing is lost, and a line that
+        items of many sizes share opens none.
         """
         if not len(self.keys):
             return []
@@ -127,7 +130,10 @@ class Index:
             first, last = int(w.first[t]), int(w.first[t + 1]) - size - SHINGLE + 1  # the last start of a window
             if last < first:
                 continue
-            a, b = np.maximum(place[start:end] - size + 1, first), np.minimum(place[start:end], last)
+            needed = max(1, math.ceil(2 * self.threshold * size / (1 + self.threshold) - 1e-9))
+            if end - start < needed:
+                continue
+            a, b = np.maximum(place[start + needed - 1 : end] - size + 1, first), np.minimum(place[start : end - needed + 1], last)
             a, b = a[a <= b], b[a <= b]
             if len(a):
                 self._search(every, a, b, size, first, t, best)

@@ -120,6 +120,24 @@ def test_many_items_of_one_size_take_under_a_second():
     assert held < 5 * sum(map(len, items)) + (8 << 20)
 
 
+def test_a_line_that_items_of_many_sizes_share():
+    """A document of 4,200 words that repeats the line opens no windows; with an item in it, that one is found."""
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"v{rng.randrange(100_000)}" for _ in range(n))
+    line = "which of these is right"
+    items = [f"{line} {text(5 + i % 191)}" for i in range(1000)]
+    doc = " ".join(f"{line} {text(2)}" for _ in range(600))
+    index = D.Index(items)
+    start = time.perf_counter()
+    assert index.matches(pa.array([doc])) == []
+    assert time.perf_counter() - start < 2
+    assert [(f[1], f[2]) for f in index.matches(pa.array([doc + " " + items[150]]))] == [(150, 4200)]
+
+
 def test_simhash_of_runs():
     h = W.mixed(np.arange(30, dtype=np.uint64))
     whole = D.simhash(h, 7)
