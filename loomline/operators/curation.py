@@ -63,8 +63,9 @@ def pooled_people(df: DataFrame, scene: str, person: str, year: str, sd: str, bi
     return by.select(scene, person, F.col("_y").alias("year"), F.sqrt(own * own + F.col("_b") * F.col("_b")).alias("sd"), "n")
 
 
-def due_work(df: DataFrame, tray: str, order: str, kinds: Sequence[tuple[str, Column]]) -> DataFrame:
-    """Rows (tray, pending, kind, order): how much of each tray is due, and what comes next: kinds by their order, then rows by theirs."""
+def due_work(df: DataFrame, tray: str, order: str, kinds: Sequence[tuple[str, Column]], skipped: Column | None = None) -> DataFrame:
+    """Rows (tray, pending, kind, order): how much of each tray is due, and what comes next: kinds by their order, then rows by theirs. Of ``skipped`` rows nothing is due."""
+    df = df if skipped is None else df.where(~F.coalesce(skipped, F.lit(False)))
     each = F.array(*[F.when(due, F.struct(F.lit(i).alias("rank"), F.col(order).alias("at"), F.lit(kind).alias("kind"))) for i, (kind, due) in enumerate(kinds)])
     work = df.select(tray, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("w"))
     return work.groupBy(tray).agg(F.count("*").alias("pending"), F.min("w").alias("w")).select(tray, "pending", F.col("w.kind").alias("kind"), F.col("w.at").alias(order))

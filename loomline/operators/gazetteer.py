@@ -98,7 +98,7 @@ def places_in_text(lines: DataFrame, keys: DataFrame, line_id: str, text: str, c
     Runs of three to one words are looked up; a run inside a longer one that is a key is suppressed. After a cue word a
     run is a place; without one it must be long enough, no common word or number, not part of a street or house, and
     the main name of a place or a large one. The share of the namesakes' population that the place has counts too.
-    The gazetteer is broadcast.
+    The gazetteer meets the runs by an equal key; Spark broadcasts it if it is small enough.
     """
     words = F.split(X.fold(F.col(text)), " ")
     rows = lines.select(line_id, words.alias("_words"), (confidence if confidence is not None else F.lit(1.0)).alias("_c"))
@@ -114,7 +114,7 @@ def places_in_text(lines: DataFrame, keys: DataFrame, line_id: str, text: str, c
     primary_pop = F.sum(F.when(F.col("is_primary"), F.col("pop"))).over(W.partitionBy("key"))
     total = F.coalesce(primary_pop, F.sum("pop").over(W.partitionBy("key")))
     held = keys.withColumn("_r", F.row_number().over(order)).withColumn("_share", F.when(total > 0, F.col("pop") / total).otherwise(1.0)).where("_r = 1").select("key", "city_id", "is_primary", "pop", "_share")
-    found = grams.join(F.broadcast(held), "key")
+    found = grams.join(held, "key")
     cue = F.exists(F.array(*[F.lit(c) for c in CUES]), lambda c: F.col("_before").endswith(c))
     plain = (F.length(F.replace("key", F.lit(" "), F.lit(""))) >= 4) & ~F.col("key").isin(*COMMON) & ~F.col("key").rlike("^[0-9 ]+$") & ~F.col("_last").isin(*STREET_BEFORE) & ~F.col("_after").isin(*STREET_AFTER) & (F.col("is_primary") | (F.col("pop") >= BIG))
     base = F.when(cue, 0.9).when(plain, F.when(F.length("key") >= 6, 0.6).otherwise(0.45))

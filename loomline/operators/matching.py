@@ -9,11 +9,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def cooccurrence(df: DataFrame, group: str, member: str) -> DataFrame:
-    """Rows (a, b, n): in how many groups two different members occur together, each pair once, a < b."""
-    rows = df.select(group, member).distinct()
-    a, b = rows.select(group, F.col(member).alias("a")), rows.select(group, F.col(member).alias("b"))
-    return a.join(b, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+#: Members of a group that meet in one key of the join at most.
+BLOCK_MEMBERS = 1024
+
+
+def cooccurrence(df: DataFrame, group: str, member: str, block: int = BLOCK_MEMBERS) -> DataFrame:
+    """Rows (a, b, n): in how many groups two different members occur together, each pair once, a < b.
+
+    A group of more than ``block`` members is dealt into blocks by a hash, each two of which meet under a key of their
+    own, so that one large group is the work of many tasks. Nulls meet nobody.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(member).alias("m")).dropna().distinct()
+    large = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = rows.join(large, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "m")
+    a, b = met.where("own = one").select("g", "one", "two", F.col("m").alias("x")), met.where("own = two").select("g", "one", "two", F.col("m").alias("y"))
+    pairs = a.join(b, ["g", "one", "two"]).where("one < two OR x < y")
+    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n"))
 
 
 def first_of_content(df: DataFrame, content: Column, order: Sequence[str]) -> DataFrame:

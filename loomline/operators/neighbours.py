@@ -10,6 +10,8 @@ from loomline.functions.curves import smooth
 
 # Fixed values.
 K, MAX_DISTANCE, OTHER_CLASS_WEIGHT, ENOUGH, SOFTEN = 7, 3.0, 0.3, 5, 0.25
+#: Steps that can be undone.
+MOST_UNDO = 60
 #: Examples that may be kept; queries meet all of them, so their number is what bounds the join.
 MAX_EXAMPLES = 20_000
 
@@ -54,6 +56,24 @@ def regress(found: DataFrame, query_id: str, values: list[str], weight: Column)
     return found.groupBy(query_id).agg(F.count("*").alias("neighbours"), *[F.round(F.sum(weight * F.col(v)) / total, 3).alias(v) for v in values])
 
 
+def resuggested(slides: DataFrame, suggestions: DataFrame, key: str, most_undo: int = MOST_UNDO) -> DataFrame:
+    """The rows of ``slides`` (key, open, params map, source, undo array<struct<params map, what>>) with what is suggested put in, and ``applied``.
+
+    Only rows that are ``open`` (not developed, skipped or locked, and described) and have something suggested change:
+    suggested values go over their own, the source says from how many examples they come, and what was before goes
+    onto the steps to undo, of which the last ``most_undo`` stay. ``suggestions`` (key, values map, n) has each key once
+    at most. Nulls count as not open and as no steps.
+    """
+    rows = slides.join(suggestions.select(F.col(key).alias("_key"), F.col("values").alias("_values"), F.col("n").alias("_n")), F.col(key) == F.col("_key"), "left")
+    applied = F.coalesce(F.col("open") & (F.size("_values") > 0), F.lit(False))
+    kept = F.map_filter("params", lambda name, v: ~F.array_contains(F.map_keys("_values"), name))
+    step = F.struct(F.col("params").alias("params"), F.lit("learned").alias("what"))
+    steps = F.concat(F.coalesce("undo", F.array().cast(slides.schema["undo"].dataType)), F.array(step))
+    last = F.slice(steps, F.greatest(F.size(steps) - most_undo + 1, F.lit(1)), F.lit(most_undo))
+    changed = {"params": F.map_concat(kept, F.col("_values")), "source": F.concat(F.lit("learned:"), F.col("_n").cast("string")), "undo": last}
+    return rows.select(*[F.when(applied, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in slides.columns], applied.alias("applied"))
+
+
 def classify(found: DataFrame, query_id: str, label: str) -> DataFrame:
     """Rows (query_id, label, share): each class's share of the neighbours' weight, held back by n / (n + 1)."""
     w = 1 / (F.col("distance") + SOFTEN)

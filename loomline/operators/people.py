@@ -12,6 +12,7 @@ from loomline.operators.sequence import mutual_pairs
 from loomline.sources.shared import stored
 
 # Fixed values.
+FACE_ADDRESS = "/api/people/faces/%s.jpg?v=%s"
 SAME, MATCH, MISNAMED, DRIFT_FIXED, DRIFT_STEP, AGREE, MAX_SD = 0.363, 0.8, 6.0, 0.5, 0.1, 2.5, 8.0
 
 
@@ -35,6 +36,21 @@ def one_per_slide(faces: DataFrame, person: str, slide: str, face: str, vector:
     return rows.where(F.when(F.col("_any") == 1, F.col(sure)).otherwise(F.col("_r") == 1)).select(*faces.columns)
 
 
+def faces_on_slides(faces: DataFrame, slides: DataFrame, owners: DataFrame, slide: str, face: str, address: str = FACE_ADDRESS) -> DataFrame:
+    """Rows (slide, place, face, url, box, person): the faces of each slide from left to right, for saying who is who.
+
+    ``faces`` (slide, face, box, turn) were found on the slide turned by ``turn``; where ``slides`` (slide, turn, look)
+    says it is turned otherwise now, there is no box. ``owners`` (face, person, ignored) has each face once at most;
+    faces of people who are ignored are not listed and take no place. An address names the face and the slide's look.
+    Faces without a box come last, equal ones in order of the face.
+    """
+    rows = faces.select(slide, face, "box", F.col("turn").alias("_turn")).join(slides.select(slide, "turn", "look"), slide).join(owners.select(face, "person", "ignored"), face, "left")
+    rows = rows.where(~F.coalesce("ignored", F.lit(False)))
+    place = F.row_number().over(W.partitionBy(slide).orderBy(F.get("box", F.lit(0)).asc_nulls_last(), face)).cast("long")
+    url = F.format_string(address, F.col(face).cast("string"), F.coalesce("look", F.lit("")))
+    return rows.select(slide, place.alias("place"), face, url.alias("url"), F.when(F.col("_turn").eqNullSafe(F.col("turn")), F.col("box")).alias("box"), "person")
+
+
 def followers(named: DataFrame, group: DataFrame, face: str, vector: str, slide: str, least: float = SAME) -> DataFrame:
     """Faces of an unnamed group that follow one of it that was named: alike enough, the best of each slide, none of the named face's own slide."""
     one = named.select(F.col("group").alias("group"), F.col(vector).alias("_v"), F.col(slide).alias("_s"))

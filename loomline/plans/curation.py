@@ -76,8 +76,8 @@ SELECT scene, person, round(year, 6) AS year, round(sqrt(s * s + b * b), 6) AS s
 def stale_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM3, FLT6: per tray how much is stale and what is done next: slides before scans before eyes; skipped ones never."""
     k = F.col("vec_id")
-    rows = read(spark, sf_dir, "embeddings").where(k % 11 != 0).select("vec_id", F.floor(k / 50).alias("tray"))
-    return curation.due_work(rows, "tray", "vec_id", [("slide", (k % 97 == 5) & (k % 3 == 0)), ("scan", k % 29 == 4), ("eyes", k % 13 == 7)])
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.floor(k / 50).alias("tray"), (k % 11 == 0).alias("skip"))
+    return curation.due_work(rows, "tray", "vec_id", [("slide", (k % 97 == 5) & (k % 3 == 0)), ("scan", k % 29 == 4), ("eyes", k % 13 == 7)], F.col("skip"))
 
 
 STALE = """WITH w AS (SELECT vec_id // 50 AS tray, vec_id, unnest(list_filter([CASE WHEN vec_id % 97 = 5 AND vec_id % 3 = 0 THEN '0slide' END, CASE WHEN vec_id % 29 = 4 THEN '1scan' END, CASE WHEN vec_id % 13 = 7 THEN '2eyes' END], lambda x: x IS NOT NULL)) AS kind FROM embeddings WHERE vec_id % 11 <> 0)
@@ -250,15 +250,20 @@ SELECT face, now AS person, array_to_string(list_sort(list_distinct(list_filter(
 
 
 def slide_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRT11: faces of each slide from left to right, those of ignored people left out; no box where the slide was turned since."""
+    """SRT11: faces of each slide from left to right with their web addresses, those of ignored people left out; no box where the slide was turned since."""
     k = F.col("p_partkey")
-    rows = read(spark, sf_dir, "part").where(k % 13 != 0).select("p_partkey", F.floor(k / 6).alias("slide"), (k * 37 % 101 / 100.0).alias("left"), F.when(k % 4 == 0, k % 50).alias("person"), (F.floor(k / 6) % 5 == 0).alias("turned"))
-    place = F.row_number().over(W.partitionBy("slide").orderBy("left", "p_partkey")).cast("long")
-    return rows.select("slide", place.alias("place"), "p_partkey", F.when(~F.col("turned"), F.col("left")).alias("left"), "person")
+    slide = F.floor(k / 6)
+    part = read(spark, sf_dir, "part")
+    faces = part.select(slide.alias("slide"), "p_partkey", F.array(k * 37 % 101 / 100.0, F.lit(0.5)).alias("box"), F.when(slide % 5 == 0, 90).otherwise(0).alias("turn"))
+    slides = part.select(slide.alias("slide"), F.lit(0).alias("turn"), (slide % 9).cast("string").alias("look")).distinct()
+    owners = part.where(k % 4 == 0).select("p_partkey", (k % 50).alias("person"), F.lit(False).alias("ignored")).unionByName(part.where(k % 13 == 0).select("p_partkey", F.lit(-1).cast("long").alias("person"), F.lit(True).alias("ignored")))
+    owners = owners.groupBy("p_partkey").agg(F.min("person").alias("person"), F.max("ignored").alias("ignored"))
+    found = people.faces_on_slides(faces, slides, owners, "slide", "p_partkey")
+    return found.select("slide", "place", "p_partkey", F.get("box", F.lit(0)).alias("left"), "person", "url")
 
 
 FACES = """SELECT p_partkey // 6 AS slide, row_number() OVER (PARTITION BY p_partkey // 6 ORDER BY CAST(p_partkey * 37 % 101 AS DOUBLE) / 100, p_partkey) AS place, p_partkey, CASE WHEN p_partkey // 6 % 5 <> 0 THEN CAST(p_partkey * 37 % 101 AS DOUBLE) / 100 END AS "left",
-    CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 50 END AS person FROM part WHERE p_partkey % 13 <> 0"""
+    CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 50 END AS person, '/api/people/faces/' || p_partkey || '.jpg?v=' || (p_partkey // 6 % 9) AS url FROM part WHERE p_partkey % 13 <> 0"""
 
 
 def album_assets(spark: SparkSession, sf_dir: str) -> DataFrame:

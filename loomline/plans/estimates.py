@@ -166,7 +166,7 @@ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distan
 
 
 def knn_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """KNN1, SRT3, LIF12: sliders and a vote from the seven nearest examples; other classes weigh less."""
+    """KNN1, SRT3: sliders and a vote from the seven nearest examples; other classes weigh less."""
     rows = _features(spark, sf_dir)
     asked, examples = rows.where("vec_id % 100 = 0").select("vec_id", "f", F.col("label").alias("own")), rows.withColumnRenamed("vec_id", "example_id")
     found = neighbours.nearest(asked.select("vec_id", "f"), examples, "vec_id", "example_id", "f", others=True).join(asked.select("vec_id", "own"), "vec_id")
@@ -178,6 +178,25 @@ REGRESS = f"""{_NEAREST}, w AS (SELECT q, (CASE WHEN own = label THEN CAST(1 AS
 SELECT q AS vec_id, count(*) AS neighbours, round(sum(w * warmth) / sum(w), 3) AS warmth, round(sum(w * trim) / sum(w), 3) >= 0.5 AS trim FROM w GROUP BY q"""
 
 
+def resuggested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIF12: what past examples suggest, put into every slide that is still open, with a step to undo; developed, skipped and locked ones stay."""
+    k = F.col("vec_id")
+    given = F.map_from_arrays(F.array(F.lit("warmth"), F.lit("fade")), F.array(F.lit(9.0), (k % 7).cast("double")))
+    steps = F.when(k % 300 == 0, F.array_repeat(F.struct(given.alias("params"), F.lit("edit").alias("what")), 60)).otherwise(F.array_repeat(F.struct(given.alias("params"), F.lit("edit").alias("what")), 1))
+    open_ = (k % 400 != 0) & (k % 700 != 100)
+    slides = read(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select("vec_id", open_.alias("open"), given.alias("params"), F.lit("own").alias("source"), steps.alias("undo"))
+    found = knn_regress(spark, sf_dir)
+    suggestions = found.select("vec_id", F.map_from_arrays(F.array(F.lit("warmth"), F.lit("trim")), F.array(F.col("warmth"), F.col("trim").cast("double"))).alias("values"), F.col("neighbours").alias("n"))
+    out = neighbours.resuggested(slides, suggestions, "vec_id")
+    at = lambda name: F.try_element_at("params", F.lit(name)).alias(name)
+    return out.select("vec_id", "applied", "source", at("warmth"), at("fade"), at("trim"), F.size("undo").cast("long").alias("steps"), F.get("undo", F.size("undo") - 1)["what"].alias("last"))
+
+
+RESUGGESTED = f"""WITH s AS (SELECT * FROM ({REGRESS})), e AS (SELECT vec_id, vec_id % 400 <> 0 AND vec_id % 700 <> 100 AS open FROM embeddings WHERE vec_id % 100 = 0), j AS (SELECT e.*, s.*EXCLUDE (vec_id), coalesce(open AND s.vec_id IS NOT NULL, false) AS applied FROM e LEFT JOIN s USING (vec_id))
+SELECT vec_id, applied, CASE WHEN applied THEN 'learned:' || neighbours ELSE 'own' END AS source, CASE WHEN applied THEN warmth ELSE CAST(9 AS DOUBLE) END AS warmth, CAST(vec_id % 7 AS DOUBLE) AS fade, CASE WHEN applied THEN CAST(trim AS DOUBLE) END AS trim,
+    CAST(CASE WHEN vec_id % 300 = 0 THEN 60 WHEN applied THEN 2 ELSE 1 END AS BIGINT) AS steps, CASE WHEN applied THEN 'learned' ELSE 'edit' END AS last FROM j"""
+
+
 def knn_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KNN3, AGG16: shares of the classes among the nearest examples, held back for few neighbours."""
     rows = _features(spark, sf_dir)
@@ -219,8 +238,8 @@ s AS (SELECT vec_id, {_SIG(f"({_D(0.06)} - sqrt(rd * rd + bu * bu)) / {_D(0.02)}
     {_SIG(f"(-rd - {_D(0.05)}) / {_D(0.03)}")} * {_SIG(f"(bu + {_D(0.04)}) / {_D(0.04)}")} * ({_D(0.5)} + {_D(0.5)} * {_SIG(f"(bl - {_D(0.05)}) / {_D(0.025)}")}) AS k3 FROM a)
 SELECT vec_id, round({_D(0.75)} * k1 / (k1 + k2 + k3 + {_D(0.3)}), 9) AS kodachrome, round({_D(0.75)} * k2 / (k1 + k2 + k3 + {_D(0.3)}), 9) AS ektachrome, round({_D(0.75)} * k3 / (k1 + k2 + k3 + {_D(0.3)}), 9) AS agfachrome FROM s"""
 
-QUERIES = {f.__name__: f for f in (weighted_median, calibration, age_correction, inverse_variance_mean, consensus, date_spans, threshold_feedback, majority_vote, pure_clusters, percentiles, histogram, feature_scale, knn_regress, knn_classify, class_smoothing, fade_heuristic)}
+QUERIES = {f.__name__: f for f in (resuggested, weighted_median, calibration, age_correction, inverse_variance_mean, consensus, date_spans, threshold_feedback, majority_vote, pure_clusters, percentiles, histogram, feature_scale, knn_regress, knn_classify, class_smoothing, fade_heuristic)}
 ORACLES = {
-    "weighted_median": MEDIAN, "calibration": CALIBRATION, "age_correction": AGE, "inverse_variance_mean": IVW, "consensus": CONSENSUS, "date_spans": SPANS, "threshold_feedback": FEEDBACK, "majority_vote": MAJORITY,
+    "resuggested": RESUGGESTED, "weighted_median": MEDIAN, "calibration": CALIBRATION, "age_correction": AGE, "inverse_variance_mean": IVW, "consensus": CONSENSUS, "date_spans": SPANS, "threshold_feedback": FEEDBACK, "majority_vote": MAJORITY,
     "pure_clusters": PURE, "percentiles": PERCENTILES, "histogram": HISTOGRAM, "feature_scale": SCALE, "knn_regress": REGRESS, "knn_classify": CLASSIFY, "class_smoothing": SMOOTHING, "fade_heuristic": FADE,
 }

@@ -105,5 +105,10 @@ def clean_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.size(curve), F.lit(0)).cast("int").alias("points"), F.round(F.element_at(curve, 1)["x"], 6).alias("first_x"), F.round(F.element_at(curve, -1)["y"], 6).alias("last_y"))
 
 
+CLEAN = """WITH p AS (SELECT p_partkey, list_sort([{'x': greatest(least(CAST(p_partkey % 10 AS DOUBLE) / 5 - CAST(0.2 AS DOUBLE), 1), 0), 'y': greatest(least(CAST(p_partkey % 7 AS DOUBLE) / 5, 1), 0)}, {'x': CAST(p_partkey % 4 AS DOUBLE) / 4, 'y': CAST(p_partkey % 3 AS DOUBLE) / 3}, {'x': CAST(0.5 AS DOUBLE), 'y': CAST(0.5 AS DOUBLE)}]) AS ps FROM part),
+k AS (SELECT p_partkey, list_reduce(list_transform(ps, lambda p: [p]), lambda held, p: CASE WHEN p[1].x - held[-1].x >= CAST(0.004 AS DOUBLE) THEN list_concat(held, p) ELSE held END) AS c FROM p),
+g AS (SELECT p_partkey, CASE WHEN len(c) >= 2 AND len(list_filter(c, lambda p: abs(p.x - p.y) >= 1e-9)) > 0 THEN c END AS c FROM k)
+SELECT p_partkey, CAST(coalesce(len(c), 0) AS INTEGER) AS points, round(c[1].x, 6) AS first_x, round(c[-1].y, 6) AS last_y FROM g"""
+
 QUERIES = {f.__name__: f for f in (robust_line, mean_curves, class_dates, kept_places, slide_rows, filtered_people, clean_curves)}
-ORACLES = {"robust_line": _line_sql(), "mean_curves": CURVES, "class_dates": CLASS_DATES, "kept_places": PLACES, "slide_rows": ROWS, "filtered_people": PEOPLE}
+ORACLES = {"clean_curves": CLEAN, "robust_line": _line_sql(), "mean_curves": CURVES, "class_dates": CLASS_DATES, "kept_places": PLACES, "slide_rows": ROWS, "filtered_people": PEOPLE}

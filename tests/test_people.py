@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomline.functions import checks
-from loomline.operators import neighbours, people, robust, sequence
+from loomline.operators import matching, neighbours, people, robust, sequence
 
 
 def unit(*v):
@@ -60,6 +60,40 @@ def test_matches_like_taking_turns(spark):
     assert {r.k: r.number for r in got.collect()} == order
 
 
+def test_large_groups_meet_in_blocks(spark):
+    """Blocks of a few members count the same pairs as one join of the whole group."""
+    pick = random.Random(1)
+    rows = [("all", m) for m in range(70)] + [(f"g{pick.randrange(9)}", pick.randrange(30)) for _ in range(80)] + [("all", None), (None, 3), ("one", 5)]
+    df = spark.createDataFrame(rows + rows[:30], "g string, m int")
+    want = {}
+    for g in {g for g, _ in rows if g}:
+        held = sorted({m for h, m in rows if h == g and m is not None})
+        for i, a in enumerate(held):
+            for b in held[i + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    for block in (3, 16, 1024):
+        assert {(r.a, r.b): r.n for r in matching.cooccurrence(df, "g", "m", block).collect()} == want
+
+
+def test_faces_on_slides(spark):
+    faces = spark.createDataFrame([(1, "b", [0.5, 0.1], 0), (1, "a", [0.5, 0.1], 90), (1, "c", [0.1, 0.1], 0), (1, "d", None, 0), (1, "hid", [0.0, 0.0], 0), (2, "e", [0.3, 0.1], None), (9, "f", [0.1, 0.1], 0)], "slide int, face string, box array<double>, turn int")
+    slides = spark.createDataFrame([(1, 0, "k1"), (2, None, None)], "slide int, turn int, look string")
+    owners = spark.createDataFrame([("b", 7, None), ("hid", 8, True), ("c", 9, False)], "face string, person int, ignored boolean")
+    got = [tuple(r) for r in people.faces_on_slides(faces, slides, owners, "slide", "face", "/%s?v=%s").orderBy("slide", "place").collect()]
+    assert got == [(1, 1, "c", "/c?v=k1", [0.1, 0.1], 9), (1, 2, "a", "/a?v=k1", None, None), (1, 3, "b", "/b?v=k1", [0.5, 0.1], 7), (1, 4, "d", "/d?v=k1", None, None), (2, 1, "e", "/e?v=", [0.3, 0.1], None)]
+
+
+def test_resuggested(spark):
+    kind = "k int, open boolean, params map<string, double>, source string, undo array<struct<params: map<string, double>, what: string>>"
+    step = ({"w": 0.0}, "edit")
+    rows = [(1, True, {"w": 1.0, "f": 2.0}, "own", [step] * 3), (2, False, {"w": 1.0}, "own", []), (3, True, {"w": 1.0}, "own", None), (4, True, {"w": 1.0}, "own", []), (5, None, {"w": 1.0}, "own", []), (6, True, {"w": 1.0}, "own", None)]
+    said = spark.createDataFrame([(1, {"w": 5.0, "g": 6.0}, 7), (2, {"w": 5.0}, 7), (3, {}, 0), (5, {"w": 5.0}, 7), (6, {"w": 5.0}, 2)], "k int, values map<string, double>, n long")
+    got = {r.k: r for r in neighbours.resuggested(spark.createDataFrame(rows, kind), said, "k", most_undo=3).collect()}
+    assert {k for k, r in got.items() if r.applied} == {1, 6} and len(got) == 6
+    assert got[1].params == {"f": 2.0, "w": 5.0, "g": 6.0} and got[1].source == "learned:7" and [s.what for s in got[1].undo] == ["edit", "edit", "learned"] and got[1].undo[-1].params == {"w": 1.0, "f": 2.0}
+    assert [s.what for s in got[6].undo] == ["learned"] and got[3].params == {"w": 1.0} and got[3].undo is None and got[2].source == "own"
+
+
 def test_one_per_slide_keeps_the_sure(spark):
     rows = [("p", 1, 10, unit(1, 0), False), ("p", 1, 11, unit(0, 1), True), ("p", 2, 12, unit(1, 0.1), False), ("p", 3, 13, unit(1, 0), False), ("p", 3, 14, unit(0, -1), False)]
     got = people.one_per_slide(spark.createDataFrame(rows, "person string, slide long, face long, v array<double>, sure boolean"), "person", "slide", "face", "v", "sure")
