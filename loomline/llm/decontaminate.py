@@ -198,7 +198,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", radius: int = RADIUS, threshold: float = SIMILARITY, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """The rows of ``docs`` with no passage similar to a benchmark item, with all their columns."""
+    """The rows of ``docs`` with no passage similar to a benchmark item, with all their columns.
+
+    Each row is judged by itself: repeated rows stay or go together; null, empty and very short texts stay, as does
+    everything if the benchmark is empty or has no item of five words. Columns of any name pass through. An empty table
+    gives no rows.
+    """
     for _, texts in _passes(benchmark, item_col, item_text, pass_bytes):
 
         def use(b: pa.RecordBatch, found: list) -> pa.RecordBatch:

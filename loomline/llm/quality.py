@@ -166,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from a sample of ``sample_rows`` labelled rows at most that are not held out; None if a class has no row.
 
     Class weights restore the shares that the classes have among all labelled rows. The driver holds the sample's
-    features, about 9 kB a row.
+    features, about 9 kB a row. Of rows whose id repeats the least label and the least features count; labels that are
+    null or have no document teach nothing, null and empty texts teach what an empty text has.
     """
     train = training_labels(labels, label_col, lambda i: remainder(i, MODULUS) != HELD_OUT, id_col)
     sample, stands_for = bounded_sample(train, sample_rows, id_col)
@@ -213,7 +214,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", chars_col: str | None = "n_chars", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` that the model gives 0.5 or more, with all their columns; all rows if there are no labels to learn from."""
+    """The rows of ``docs`` that the model gives 0.5 or more, with all their columns; all rows if there are no labels to learn from.
+
+    Each row is judged by itself: repeated rows stay or go together, null and empty texts are judged as an empty text
+    is, null ids are judged like others. Columns of any name pass through. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col, chars_col, sample_rows))
     counted = chars_col in docs.columns
 

@@ -34,10 +34,12 @@ THRESHOLDS = tuple(range(1, 11))
 #: Stands before each window and at the end of both dictionaries, so that no window is too short to be worth compressing;
 #: and after each window, since no match begins in the last bytes of a block. Both cost the same with either dictionary.
 CARRIER, TRAILER = bytes(range(1, 32)), bytes(range(2, 14))
-#: Fixed value: how a trained dictionary ends its tables; its content follows.
+#: How a trained dictionary begins, and how it ends its tables; its content follows.
+_MAGIC = (0xEC30A437).to_bytes(4, "little")
 _TABLES_END = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))
 _WORD = re.compile(r"[^\W_]+")
 _WORDS_AT_ONCE = 1 << 15
+#: Saved bytes are held to these; more or less says nothing more.
 _LOW, _HIGH = -16, 48
 
 
@@ -126,6 +128,8 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Distance:
     """
     common, own = _trained(ordinary, ORDINARY_BYTES), _trained(toxic, TOXIC_BYTES)
     at = own.find(_TABLES_END)
+    if at < 0 and own.startswith(_MAGIC):
+        raise RuntimeError("the trainer ends its tables in another way: the content of the dictionary can't be told apart")
     return Distance(common + (own[at + len(_TABLES_END) :] if at >= 0 else own) + CARRIER, common + CARRIER)
 
 
