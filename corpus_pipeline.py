@@ -11,27 +11,27 @@ from loomline.llm.spark_io import read, stored
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model, fitted on the labelled ones that are not held out, does not reject."""
+    """Documents that the quality model, fitted on the labelled ones that are not held out, does not reject. A null text is judged as an empty one, each repeated row like the others."""
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
+    """Of each group of near copies the document with the smallest id, of repeated rows one. Null and empty texts are copies of each other; a null id is no smallest."""
     return simhash_dedup.keep_one(docs)
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null, empty and short texts stay."""
     return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    """All documents, personal data replaced by its kind; n_chars follows the text. A null text stays null with its n_chars."""
     return pii.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
+    """Pieces of the documents in sequences of 2048 tokens; a null or empty text is one piece, a repeated row packed each time."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -116,7 +116,7 @@ def _prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zero_shot_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MDL1, MTH6, SRT2, AGG18: softmax over the labels' mean vectors, the four best above a threshold."""
-    few = F.broadcast(_prototypes(spark, sf_dir))  # one row per label
+    few = _prototypes(spark, sf_dir)
     scores = read(spark, sf_dir, "embeddings").select("vec_id", "embedding").crossJoin(few).select("vec_id", "label", (dot(F.col("embedding"), F.col("prototype")) * 100).alias("x"))
     own = W.partitionBy("vec_id")
     p = F.exp(F.col("x") - F.max("x").over(own))
