@@ -31,10 +31,12 @@ def settled_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def settled_folders_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM1, STM2: the same from a stream with state."""
+    """STM1, STM2: the same from a stream, micro-batch by micro-batch with the state in a table."""
     held = read(spark, sf_dir, "events")
     stream = spark.readStream.schema(held.schema).parquet(f"{sf_dir}/events.parque[t]")
-    return run_to_end(stateful.settled_stream(_observed(stream), "user_id", "fingerprint", "at", SETTLE), "settled")
+    folder = scratch(spark, "settled")
+    stateful.settle_stream(_observed(stream), folder, "user_id", "fingerprint", "at", SETTLE).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id long, fingerprint string, since long, ready_at long").parquet(f"{folder}/out").drop("batch")
 
 
 SETTLED = f"""WITH o AS (SELECT user_id, CASE WHEN event_id % 3 = 0 THEN 'x' ELSE 'y' END AS fingerprint, {_S} AS tm FROM events),

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+from loomline.sources.shared import cut
 
 # Fixed values.
 SETTLE_S, FREE_TRIES, MOST_WAIT_S, FORGET_S = 30, 3, 900, 3600
@@ -29,7 +32,8 @@ def settled_stream(observations: DataFrame, key: str, fingerprint: str, at: str,
     """The same for a stream: what was last seen of each folder, since when and whether it was told is state.
 
     Time is that of the observations, which a poll makes again and again, so no timer is needed and a replay gives the
-    same rows. Observations of one folder come in order from one micro-batch to the next.
+    same rows. Observations of one folder come in order from one micro-batch to the next. A folder's rows of a
+    micro-batch are held in Python at once; ``settle_stream`` holds none.
     """
     kinds = dict(observations.dtypes)
 
@@ -49,6 +53,44 @@ def settled_stream(observations: DataFrame, key: str, fingerprint: str, at: str,
     return observations.select(key, fingerprint, at).groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {fingerprint} {kinds[fingerprint]}, since long, ready_at long", f"seen {kinds[fingerprint]}, since long, told boolean", "append", "NoTimeout")
 
 
+def settle_batch(batch: DataFrame, state: DataFrame, key: str, fingerprint: str, at: str, settle: int = SETTLE_S) -> tuple[DataFrame, DataFrame]:
+    """(what settled, the state after) of one micro-batch, as ``settled`` says it; state has a row (key, fingerprint, since, told) per folder.
+
+    A folder's state stands before its observations, which windows take in order, so a folder of any number of
+    observations is sorted and spilled by Spark, and none is held in Python. Null keys are a folder, null times are left out.
+    """
+    before = state.select(F.col(key).alias("k"), F.col(fingerprint).alias("f"), F.col("since").alias("t"), F.lit(0).alias("late"), F.coalesce("told", F.lit(False)).alias("told"))
+    fresh = batch.where(F.col(at).isNotNull()).select(F.col(key).alias("k"), F.col(fingerprint).alias("f"), F.col(at).cast("long").alias("t"), F.lit(1).alias("late"), F.lit(False).alias("told"))
+    w = W.partitionBy("k").orderBy("late", "t", "f")
+    same = F.col("f").eqNullSafe(F.lag("f").over(w)) & F.lag("t").over(w).isNotNull()
+    rows = before.unionByName(fresh).withColumn("run", F.sum(F.when(same, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("since", F.min("t").over(W.partitionBy("k", "run")))
+    ready = F.min(F.when((F.col("late") == 1) & (F.col("t") - F.col("since") >= settle), F.col("t")))
+    runs = cut(rows.groupBy("k", "run", "f", "since").agg(F.max("told").alias("told"), ready.alias("ready_at")))
+    out = runs.where("NOT told AND ready_at IS NOT NULL").select(F.col("k").alias(key), F.col("f").alias(fingerprint), "since", "ready_at")
+    last = runs.groupBy("k").agg(F.max_by(F.struct("f", "since", (F.col("told") | F.col("ready_at").isNotNull()).alias("told")), "run").alias("s"))
+    return out, last.select(F.col("k").alias(key), F.col("s.f").alias(fingerprint), F.col("s.since").alias("since"), F.col("s.told").alias("told"))
+
+
+def settle_stream(observations: DataFrame, folder: str, key: str, fingerprint: str, at: str, settle: int = SETTLE_S) -> DataStreamWriter:
+    """A stream of observations whose settled folders are written below ``folder``/out, to be started by the caller.
+
+    Each micro-batch reads the state that the one before wrote and writes its own under its own number. A batch that is
+    run again after a crash reads the same state and writes the same rows over, so each is there once.
+    """
+    spark = observations.sparkSession
+    kinds = dict(observations.dtypes)
+    schema = f"{key} {kinds[key]}, {fingerprint} {kinds[fingerprint]}, since long, told boolean"
+
+    def each(batch: DataFrame, number: int) -> None:
+        state = spark.read.schema(schema).parquet(f"{folder}/state/{number - 1}") if number else spark.createDataFrame([], schema)
+        out, after = settle_batch(batch, state, key, fingerprint, at, settle)
+        after.write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        out.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    return observations.select(key, fingerprint, at).writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint")
+
+
 def rate_limits(failures: DataFrame, key: str, at: str, tie: str, free: int = FREE_TRIES, most: int = MOST_WAIT_S, forget: int = FORGET_S) -> DataFrame:
     """Adds n, how many failures stand against the key, and wait, the seconds to wait after this one.
 

@@ -1,5 +1,6 @@
 import base64
 import json
+import random
 
 import numpy as np
 import pytest
@@ -64,6 +65,27 @@ def test_settling_over_batches(spark, tmp_path):
     assert got == sorted(tuple(r) for r in stateful.settled(spark.createDataFrame(rows, schema), "path", "fp", "at").collect()) == [("a", "1", 100, 130), ("a", "2", 25, 55)]
 
 
+def test_settling_in_batches(spark, tmp_path):
+    """Many micro-batches, some run again with their state as it was, tell each settled folder once, like one table does."""
+    pick = random.Random(9)
+    rows = sorted(((pick.randrange(400), pick.choice("abc"), pick.choice(["1", "2", None])) for _ in range(160)), key=lambda r: (r[0], r[1], r[2] or ""))
+    rows = [(k, f, t) for t, k, f in rows] + [("a", "1", None)]
+    schema = "path string, fp string, at long"
+    folder = str(tmp_path / "work")
+    for i in range(0, len(rows), 33):
+        spark.createDataFrame(rows[i : i + 33], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        stateful.settle_stream(stream, folder, "path", "fp", "at", 12).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((tuple(r) for r in spark.read.parquet(f"{folder}/out").drop("batch").collect()), key=str)
+    want = stateful.settled(spark.createDataFrame([r for r in rows if r[2] is not None], schema), "path", "fp", "at", 12)
+    assert got == sorted((tuple(r) for r in want.collect()), key=str) and len(got) > 5
+    state = spark.read.parquet(f"{folder}/state/0")
+    again = stateful.settle_batch(spark.createDataFrame(rows[33:66], schema), state, "path", "fp", "at", 12)
+    assert sorted((tuple(r) for r in again[0].collect()), key=str) == sorted((tuple(r) for r in spark.read.parquet(f"{folder}/out/batch=1").collect()), key=str)
+    empty = stateful.settle_batch(spark.createDataFrame([], schema), state, "path", "fp", "at", 12)
+    assert empty[0].count() == 0 and sorted(map(str, empty[1].collect())) == sorted(map(str, state.collect()))
+
+
 def test_rate_limits(spark):
     rows = [("u", i, t) for i, t in enumerate([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 5000])]
     got = [r.wait for r in stateful.rate_limits(spark.createDataFrame(rows, "k string, i long, t long"), "k", "t", "i").orderBy("i").collect()]
