@@ -1,5 +1,6 @@
 import html as H
 import random
+from html.parser import HTMLParser
 
 import pytest
 
@@ -54,6 +55,136 @@ def test_templates_of_a_host(spark):
     assert {r.host: (r.template, r.sure) for r in X.templates(pages).collect()} == {"big.example": (plain, plain)}
 
 
+class Tree(HTMLParser):
+    """A page whose tags are all closed, as nested (tag, attributes, children)."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.top = ("#page", {}, [])
+        self.open = [self.top]
+        self.feed(source)
+
+    def handle_starttag(self, tag, attrs):
+        node = (tag, {k: v or "" for k, v in attrs}, [])
+        self.open[-1][2].append(node)
+        self.open.append(node)
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def shape(node):
+    """What makes a subtree the same as another: names and texts, without attributes; None without text."""
+    parts = tuple(x for x in (" ".join(c.split()) or None if isinstance(c, str) else shape(c) for c in node[2]) if x)
+    return (node[0], *parts) if parts else None
+
+
+def named(node):
+    return f"{node[1].get('class', '')} {node[1].get('id', '')}".strip()
+
+
+def holds(node, tags):
+    return node[0] in tags or node[0] == "article" and not X.READERS.search(named(node)) or any(holds(c, tags) for c in node[2] if not isinstance(c, str))
+
+
+def every(node):
+    return [node] + [n for c in node[2] if not isinstance(c, str) for n in every(c)]
+
+
+def plain_text(top, template=(), sure=()):
+    """The rules as they are told, by recursion."""
+
+    def walk(node, inside, kept, wanted, here):
+        tag, attrs, children = node
+        inside = inside or tag in ("article", "main")
+        here = here or tag == wanted or wanted is None
+        if tag in X.DROPPED or "hidden" in attrs or attrs.get("role") in X.ROLES or X.READERS.search(named(node)):
+            kept = False
+        if (X.NAMED_WHOLE if inside else X.NAMED).search(named(node)) and not holds(node, ("main", "h1")) and tag not in X.HEADINGS:
+            kept = False
+        if tag == "header" and not holds(node, ("main",)) and not (inside and holds(node, ("main", "h1"))):
+            kept = False
+        if tag not in ("#page", "html", "body", "article", "main") and shape(node) in (sure if inside else template):
+            kept = False
+        edge = [None] if tag in X.BLOCK else []
+        return edge + [x for c in children for x in (([c] if kept and here else []) if isinstance(c, str) else walk(c, inside, kept, wanted, here))] + edge
+
+    for wanted in ("article", "main", None):
+        if wanted is None or any(n[0] == wanted for n in every(top)):
+            lines, line = [], []
+            for x in [*walk(top, False, True, wanted, False), None]:
+                if x is None:
+                    lines.append(" ".join("".join(line).split()))
+                    line = []
+                else:
+                    line.append(x)
+            if text := "\n".join(x for x in lines if x):
+                return text
+    return ""
+
+
+def plain_extract(pages):
+    """Every page's text, with subtrees counted per host, and per host and design, over pages of different texts."""
+    trees = {i: Tree(source).top for i, _, source in pages}
+    host = {i: url.split("/")[2] for i, url, _ in pages}
+    looks = "body main article section nav aside header footer form".split()
+    design = {i: frozenset((n[0], "".join(x for x in n[1].get("class", "") if not x.isdigit())) for n in every(t) if n[0] in looks) for i, t in trees.items()}
+    first = {i: plain_text(t) for i, t in trees.items()}
+    seen, texts = {}, {}
+    for i, t in trees.items():
+        texts.setdefault((host[i], design[i]), set()).add(first[i])
+        for s in {shape(n) for n in every(t)[1:]} - {None}:
+            seen.setdefault((host[i], s), set()).add((design[i], first[i]))
+    out = {}
+    for i, t in trees.items():
+        marks = [set(), set()]
+        for (h, s), at in seen.items():
+            if h == host[i]:
+                for n, of in ((len(at), sum(len(x) for (g, _), x in texts.items() if g == h)), (sum(d == design[i] for d, _ in at), len(texts[h, design[i]]))):
+                    for held, share in zip(marks, (X.LEAST_SHARE, X.INSIDE_SHARE)):
+                        if n >= X.LEAST_PAGES and n >= of * share:
+                            held.add(s)
+        out[i] = plain_text(t, *marks)
+    return out
+
+
+def test_like_a_plain_second_reading(spark):
+    """Random pages of three hosts and a few designs: rules, names, roles and counted subtrees, against a reading by the standard library's parser."""
+    rng = random.Random(11)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "R&D", "x<y", "\u00e9t\u00e9"]) + str(rng.randrange(500))
+    classes = ["", "", "", "ad", "sidebar", "share-price", "cookie-notice", "comment-body", "content", "related-work", "post main-nav", "lead"]
+
+    def element(depth, shared):
+        if rng.random() < 0.25:
+            return rng.choice(shared)
+        tag = rng.choice(["div", "div", "p", "section", "ul", "h2", "h1", "b", "nav", "aside", "header", "span", "article", "form"] if depth < 3 else ["p", "b", "span", "h2"])
+        attrs = "".join([f' class="{c}"' if (c := rng.choice(classes)) else "", ' role="navigation"' if rng.random() < 0.04 else "", " hidden" if rng.random() < 0.04 else "", f' id="n{rng.randrange(99)}"' if rng.random() < 0.1 else ""])
+        if tag in ("p", "b", "span", "h1", "h2"):
+            inner = H.escape(" ".join(word() for _ in range(rng.randrange(0, 6)))) + rng.choice(["", " <i>in</i> line", "\n\t"])
+        elif tag == "ul":
+            inner = "".join(f"<li>{H.escape(word())}</li>" for _ in range(rng.randrange(1, 4)))
+        else:
+            inner = "".join(element(depth + 1, shared) for _ in range(rng.randrange(0, 4)))
+        return f"<{tag}{attrs}>{inner}</{tag}>"
+
+    pages = []
+    for h in range(3):
+        shared = ["<div><p>Before you read on</p></div>", "<div><b>Start</b> <b>Topics</b></div>", "<p>shared line</p>", "<ul><li>One</li><li>Two</li></ul>"]
+        for k in range(30):
+            body = "".join(element(0, shared) for _ in range(rng.randrange(2, 7)))
+            body = rng.choice([body, body, f"<main>{body}</main>", f"<article><h1>T{k}</h1>{body}</article>"])
+            often = shared[0] if rng.random() < 0.8 else ""
+            pages.append((100 * h + k, f"http://h{h}.example/{k}", f"<html><body class='d{rng.choice('ab')}{k}'>{often}{body}{shared[1] if k % 2 else ''}</body></html>"))
+    pages += [(900 + k, f"http://h0.example/c{k}", pages[4][2]) for k in range(8)]
+    want = plain_extract(pages)
+    got = {r.page_id: r.text for r in X.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert sum(want[i] != plain_text(Tree(source).top) for i, _, source in pages) > 15 and sum(bool(t) for t in want.values()) > 60
+
+
 def test_lines_that_articles_share(spark):
     """Inside an article a line on two thirds of the pages stays, one on all of them goes; outside both go."""
     rows = [(i, "http://h.example/", f"<div><p>often</p></div>" * (i % 3 > 0) + f"<article><p>own text of page {i}</p>" + "<p>shared</p>" * (i % 3 > 0) + "<p>read more here</p></article>") for i in range(30)]
