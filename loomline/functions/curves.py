@@ -70,6 +70,13 @@ def curve_table(points: Column, n: int = TABLE) -> Column:
     return smooth(points, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i / F.lit(float(n - 1))))
 
 
+def toned_at(points: Column, values: Column, n: int = TABLE) -> Column:
+    """``toned`` of each of ``values`` by the table of the curve through ``points``, of which only the entries looked up are worked out."""
+    last = float(n - 1)
+    place = lambda v: F.floor(F.least(F.greatest(v * last + 0.5, F.lit(0.0)), F.lit(last)))
+    return F.zip_with(values, smooth(points, F.transform(values, lambda v: place(v) / F.lit(last))), lambda v, y: F.when(v.isNotNull(), y))
+
+
 def toned(table: Column, value: Column) -> Column:
     """A value 0..1 after a curve: the entry of its table nearest to it; values beyond are held to the ends. Null without a table or value."""
     last = F.size(table) - 1
