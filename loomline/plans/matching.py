@@ -68,7 +68,7 @@ def interval_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN20: for each supplier a window of days, and the orders placed in it."""
     windows = read(spark, sf_dir, "supplier").select("s_suppkey", F.date_add(F.lit("1995-01-01").cast("date"), (F.col("s_suppkey") * 7 % 700).cast("int")).alias("lo")).withColumn("hi", F.date_add("lo", 40))
     points = read(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    return matching.interval_join(points, "day", windows, "lo", "hi").groupBy("s_suppkey").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
+    return matching.interval_totals(points, "day", "o_orderkey", windows, "s_suppkey", "lo", "hi").select("s_suppkey", "n", F.col("first").alias("first_key"))
 
 
 INTERVAL = "WITH w AS (SELECT s_suppkey, DATE '1995-01-01' + CAST(s_suppkey * 7 % 700 AS INTEGER) AS lo FROM supplier) SELECT s_suppkey, count(*) AS n, min(o_orderkey) AS first_key FROM w JOIN orders ON CAST(o_orderdate AS DATE) >= lo AND CAST(o_orderdate AS DATE) < lo + 40 GROUP BY s_suppkey"

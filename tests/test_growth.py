@@ -1,10 +1,12 @@
 """Steps whose work must grow with their input, against plain versions of what they give."""
 
 import random
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
 from loomline.functions import curves
+from loomline.operators import matching
 
 
 def test_tones_without_a_table(spark):
@@ -20,3 +22,17 @@ def test_tones_without_a_table(spark):
         assert r.w is None and want[r.k] == [None] * 8 or r.w == want[r.k]
     plan = pictures.tone_curves(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(0, 1023" not in plan
+
+
+def test_interval_totals_by_days(spark):
+    """As pairs of points and windows counted; windows that are equal, empty, turned round or open; days without points."""
+    pick = random.Random(4)
+    day = lambda: date(2020, 1, 1) + timedelta(pick.randrange(90))
+    points = [(i, pick.choice([None, day(), day(), day()])) for i in range(300)]
+    windows = [(w, lo, lo and lo + timedelta(pick.randrange(-2, 40))) for w, lo in ((w, pick.choice([None, day(), day(), date(2020, 2, 1)])) for w in range(120))]
+    got = matching.interval_totals(spark.createDataFrame(points, "p long, d date"), "d", "p", spark.createDataFrame(windows + windows[:5], "w long, lo date, hi date"), "w", "lo", "hi")
+    want = []
+    for w, lo, hi in windows + windows[:5]:
+        held = [p for p, d in points if lo and d and lo <= d < hi]
+        want += [(w, len(held), min(held))] if held else []
+    assert sorted(map(tuple, got.collect())) == sorted(want)
