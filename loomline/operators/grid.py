@@ -139,22 +139,71 @@ def prefix_sums(values: DataFrame, sizes: DataFrame, by: list[str], value: str,
     return whole.select(*by, "x", "y", (F.col("v") + F.col("left") + F.col("above") + F.col("corner")).alias("total"))
 
 
+def _clipped(boxes: DataFrame, sizes: DataFrame, by: list[str], key: list[str]) -> tuple[DataFrame, Column]:
+    """Rows (key, by, x0, y0, x1, y1), the boxes as far as they lie in their pictures, null with a null edge; and whether one has cells."""
+    held = boxes.join(sizes.select(*by, "width", "height"), by, "left")
+    x0, y0 = F.greatest("left", F.lit(0)), F.greatest("top", F.lit(0))
+    x1, y1 = F.least("right", F.col("width") - 1), F.least("bottom", F.col("height") - 1)
+    edges = F.col("left").isNotNull() & F.col("top").isNotNull() & F.col("right").isNotNull() & F.col("bottom").isNotNull() & F.col("width").isNotNull()
+    rows = held.select(*key, *by, *[F.when(edges, c).cast("long").alias(n) for c, n in ((x0, "x0"), (y0, "y0"), (x1, "x1"), (y1, "y1"))])
+    return rows, (F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1"))
+
+
+def _area(real: Column) -> Column:
+    return F.when(real, (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)).otherwise(0).alias("area")
+
+
 def box_sums(prefix: DataFrame, sizes: DataFrame, boxes: DataFrame, by: list[str], key: list[str]) -> DataFrame:
     """Rows (key, area, total): cells and sum of values in each box (key, by, left, top, right, bottom), edges included, as far as it lies in its picture.
 
     Each box looks up the totals at its corners by equal coordinates, four at most whatever its size. Keys are unique.
     A box with a null edge, of an unknown picture or beside its picture has no cells and the sum 0.
     """
-    held = boxes.join(sizes.select(*by, "width", "height"), by, "left")
-    x0, y0 = F.greatest("left", F.lit(0)), F.greatest("top", F.lit(0))
-    x1, y1 = F.least("right", F.col("width") - 1), F.least("bottom", F.col("height") - 1)
-    edges = F.col("left").isNotNull() & F.col("top").isNotNull() & F.col("right").isNotNull() & F.col("bottom").isNotNull() & F.col("width").isNotNull()
-    cut_ = held.select(*key, *by, *[F.when(edges, c).cast("long").alias(n) for c, n in ((x0, "x0"), (y0, "y0"), (x1, "x1"), (y1, "y1"))])
-    real = (F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1"))
+    cut_, real = _clipped(boxes, sizes, by, key)
     corner = lambda x, y, sign: F.struct(x.alias("x"), y.alias("y"), F.lit(sign).alias("sign"))
     x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
     four = F.array(corner(x1, y1, 1), corner(x0 - 1, y1, -1), corner(x1, y0 - 1, -1), corner(x0 - 1, y0 - 1, 1))
     asked = cut_.where(real).select(*key, *by, F.explode(F.filter(four, lambda c: (c["x"] >= 0) & (c["y"] >= 0))).alias("c")).select(*key, *by, "c.x", "c.y", "c.sign")
     sums = asked.join(prefix, [*by, "x", "y"]).groupBy(*key).agg(F.sum(F.col("sign") * F.col("total")).alias("total"))
-    area = F.when(real, (x1 - x0 + 1) * (y1 - y0 + 1)).otherwise(0)
-    return cut_.select(*key, area.alias("area")).join(sums, key, "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    return cut_.select(*key, _area(real)).join(sums, key, "left").withColumn("total", F.coalesce("total", F.lit(0)))
+
+
+def _summed_in(tile: int, by: list[str], whole: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(cells: pa.Table, pieces: pa.Table) -> pa.Table:
+        """The sum of each piece of a box in one tile, from the tile's table of two-dimensional sums."""
+        kind = np.int64 if whole else np.float64
+        table = np.zeros((tile + 1, tile + 1), kind)
+        if cells.num_rows and pieces.num_rows:
+            y, x, v = (cells.column(c).to_numpy() for c in ("y", "x", "v"))
+            table[y % tile + 1, x % tile + 1] = v
+            table = table.cumsum(axis=0).cumsum(axis=1)
+        left, top, right, bottom = (pieces.column(c).to_numpy() for c in ("left", "top", "right", "bottom"))
+        sums = table[bottom + 1, right + 1] - table[top, right + 1] - table[bottom + 1, left] + table[top, left]
+        return pa.table([*[pieces.column(c) for c in (*by, "x0", "y0", "x1", "y1")], pa.array(sums, pa.int64() if whole else pa.float64())], names=[*by, "x0", "y0", "x1", "y1", "total"])
+
+    return run
+
+
+def tiled_box_sums(values: DataFrame, sizes: DataFrame, boxes: DataFrame, by: list[str], key: list[str], value: str, tile: int = TILE) -> DataFrame:
+    """What ``box_sums`` gives by ``prefix_sums``, for boxes that are small beside a tile: no table of the whole pictures is made.
+
+    A box is cut where tiles meet, four pieces at most if it is no larger than a tile; each tile that a box lies in
+    makes the table of sums of its own cells. What moves is a row per cell with values and per piece, so the work
+    follows the values and the boxes, not the pictures' width and height. Equal boxes are asked once. Values are
+    summed as long if they are of a whole kind, else as double.
+    """
+    cut_, real = _clipped(boxes, sizes, by, key)
+    whole = dict(values.dtypes)[value] in ("tinyint", "smallint", "int", "bigint")
+    box = [*by, "x0", "y0", "x1", "y1"]
+    spans = lambda a, b: F.explode(F.sequence(_tile_of(a, tile), _tile_of(b, tile)))
+    asked = cut_.where(real).select(*box).distinct().withColumn("tile_y", spans("y0", "y1")).withColumn("tile_x", spans("x0", "x1"))
+    inside = lambda c, t: F.least(F.greatest(F.col(c) - F.col(t) * tile, F.lit(0)), F.lit(tile - 1))
+    pieces = asked.select(*box, "tile_y", "tile_x", inside("x0", "tile_x").alias("left"), inside("y0", "tile_y").alias("top"), inside("x1", "tile_x").alias("right"), inside("y1", "tile_y").alias("bottom"))
+    summed = values.where(F.col(value).isNotNull() & (F.col("x") >= 0) & (F.col("y") >= 0)).groupBy(*by, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).agg(F.sum(value).cast("long" if whole else "double").alias("v"))
+    cells = summed.withColumn("tile_y", _tile_of("y", tile)).withColumn("tile_x", _tile_of("x", tile))
+    kinds = dict(cut_.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in box), f"total {'long' if whole else 'double'}"])
+    same = [*by, "tile_y", "tile_x"]
+    cells = cells.select(*[F.col(c).alias(f"_{c}") for c in same], "y", "x", "v")
+    sums = cells.groupBy(*[f"_{c}" for c in same]).cogroup(pieces.groupBy(*same)).applyInArrow(_summed_in(tile, by, whole), schema).groupBy(*box).agg(F.sum("total").alias("total"))
+    return cut_.join(sums, box, "left").select(*key, _area(real), F.coalesce("total", F.lit(0)).alias("total"))

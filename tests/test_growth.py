@@ -6,7 +6,7 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from loomline.functions import curves
-from loomline.operators import matching
+from loomline.operators import grid, matching
 
 
 def test_tones_without_a_table(spark):
@@ -36,3 +36,22 @@ def test_interval_totals_by_days(spark):
         held = [p for p, d in points if lo and d and lo <= d < hi]
         want += [(w, len(held), min(held))] if held else []
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_box_sums_by_tiles(spark):
+    """As by the table of the whole picture; and a picture too large for any such table."""
+    pick = random.Random(6)
+    sizes = {"a": (11, 9), "b": (4, 4), "c": (0, 3)}
+    values = [(k, pick.randrange(-1, w + 2), pick.randrange(-1, h + 1), pick.choice([-2, 1, 5, None])) for k, (w, h) in sizes.items() for _ in range(60)]
+    boxes = [(i, pick.choice("abcd"), *(pick.choice([None] + list(range(-3, 14)) * 2) for _ in range(4))) for i in range(300)]
+    v = spark.createDataFrame(values, "p string, x int, y int, v long")
+    s = spark.createDataFrame([(k, *wh) for k, wh in sizes.items()], "p string, width int, height int")
+    b = spark.createDataFrame(boxes, "box int, p string, left int, top int, right int, bottom int")
+    want = sorted(map(tuple, grid.box_sums(grid.prefix_sums(v, s, ["p"], "v", tile=4), s, b, ["p"], ["box"]).collect()))
+    for whole in ("long", "double"):
+        got = grid.tiled_box_sums(v.withColumn("v", F.col("v").cast(whole)), s, b, ["p"], ["box"], "v", tile=4)
+        assert sorted(map(tuple, got.collect())) == want
+    far = 10**9
+    cells = spark.createDataFrame([("a", far - 1, far - 2, 3), ("a", far - 3, far - 3, 4), ("a", 0, 0, 5)], "p string, x long, y long, v long")
+    one = spark.createDataFrame([(1, "a", far - 3, far - 3, far + 9, far + 9), (2, "a", -4, -4, 4, 4)], "box int, p string, left long, top long, right long, bottom long")
+    assert sorted(map(tuple, grid.tiled_box_sums(cells, spark.createDataFrame([("a", far, far)], "p string, width long, height long"), one, ["p"], ["box"], "v").collect())) == [(1, 9, 7), (2, 25, 5)]
