@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomline.functions import text as X
 from loomline.functions.vectors import haversine_km
+from loomline.sources.shared import stored
 
 # Phrases that introduce a place, words that are a place's name too but mean something else on signs, and words
 # after or before which a name is that of a street, a house or a firm. All folded.
@@ -40,6 +43,8 @@ match hotel restaurant cafe bar strasse str gasse platz weg straat laan plein bo
 bank insurance""".split()
 )
 BIG, LEAST, NEAREST_KM = 100_000, 0.3, 25.0
+#: The earth's surface, and how many cities a place should see, were they spread over it evenly, where it looks first.
+EARTH_KM2, SEEN = 510e6, 4
 #: Letters of a query that its join is on.
 HEAD = 12
 
@@ -65,23 +70,46 @@ def prefix_search(queries: DataFrame, keys: DataFrame, query_id: str, query: str
     return best.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy("r", "city_id"))).where(F.col("rank") <= limit).select(query_id, "city_id", "rank")
 
 
+def _within(places: DataFrame, towns: DataFrame, km: float) -> DataFrame:
+    """Rows (_lat, _lon, _b): the nearest of ``towns`` that is within ``km`` of each place that has one.
+
+    Both meet by cells about as wide as the distance; a place asks its own and those around that the distance
+    reaches, wider in longitude towards the poles, and across the date line.
+    """
+    reach = km / 111.0 + 1e-6
+    n = max(int(360 / reach), 1)
+    row, column = (lambda c: F.floor(c / reach)), (lambda c: F.floor(c / (360.0 / n)))
+    wide = F.least(F.lit(180.0), reach / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("_lat")) + reach, F.lit(89.9)))), F.lit(1e-3)))
+    asked = places.withColumn("_y", F.explode(F.sequence(row(F.col("_lat") - reach), row(F.col("_lat") + reach))))
+    asked = asked.withColumn("_x", F.explode(F.array_distinct(F.transform(F.sequence(column(F.col("_lon") - wide), column(F.col("_lon") + wide)), lambda x: F.pmod(x, F.lit(n))))))
+    held = towns.withColumn("_y", row(F.col("_clat"))).withColumn("_x", F.pmod(column(F.col("_clon")), F.lit(n)))
+    met = asked.join(held, ["_y", "_x"]).select("_lat", "_lon", F.struct(haversine_km(F.col("_lat"), F.col("_lon"), F.col("_clat"), F.col("_clon")).alias("km"), "city_id").alias("_b"))
+    return met.where(F.col("_b.km") <= km).groupBy("_lat", "_lon").agg(F.min("_b").alias("_b"))
+
+
 def nearest_city(points: DataFrame, cities: DataFrame, point_id: str, lat: str, lon: str, within_km: float = NEAREST_KM) -> DataFrame:
     """Rows (point_id, city_id, km): the nearest city within the distance, the smaller id of equals.
 
-    Both meet by cells of half a degree of latitude and of longitude; a point asks its own and the cells around that the
-    distance reaches, wider in longitude towards the poles, and across the date line.
+    Each place is asked for once, whatever points lie on it, and of cities on one place only the smallest can be the
+    nearest. The more cities there are, the nearer places look first: only those that find none look twice as far,
+    up to the distance. So a place meets a few cities, not all within the distance, where cities lie about evenly.
     """
-    size = 0.5
-    cell = lambda c: F.floor(c / size)
-    reach = within_km / 111.0 + 1e-6
-    wide = F.least(F.lit(180.0), reach / F.greatest(F.cos(F.radians(F.least(F.abs(F.col(lat)) + reach, F.lit(89.9)))), F.lit(1e-3)))
-    rows = points.where(f"{lat} IS NOT NULL AND {lon} IS NOT NULL").select(point_id, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), wide.alias("_w"))
-    asked = rows.withColumn("_y", F.explode(F.sequence(cell(F.col("_lat") - reach), cell(F.col("_lat") + reach))))
-    n = int(360 / size)
-    asked = asked.withColumn("_x", F.explode(F.array_distinct(F.transform(F.sequence(cell(F.col("_lon") - F.col("_w")), cell(F.col("_lon") + F.col("_w"))), lambda x: F.pmod(x, F.lit(n))))))
-    held = cities.select("city_id", F.col("lat").alias("_clat"), F.col("lon").alias("_clon"), cell(F.col("lat")).alias("_y"), F.pmod(cell(F.col("lon")), F.lit(n)).alias("_x"))
-    met = asked.join(held, ["_y", "_x"]).select(point_id, "city_id", haversine_km(F.col("_lat"), F.col("_lon"), F.col("_clat"), F.col("_clon")).alias("km")).where(F.col("km") <= within_km)
-    return met.groupBy(point_id).agg(F.min(F.struct("km", "city_id")).alias("b")).select(point_id, "b.city_id", "b.km")
+    rows = points.where(f"{lat} IS NOT NULL AND {lon} IS NOT NULL").select(point_id, F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"))
+    towns = cities.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy(F.col("lat").alias("_clat"), F.col("lon").alias("_clon")).agg(F.min("city_id").alias("city_id"))
+    towns = stored(towns, "towns")
+    typical, look = SEEN * EARTH_KM2 / max(towns.count(), 1), [within_km]
+    while math.pi * (look[0] / 2) ** 2 >= typical:
+        look.insert(0, look[0] / 2)
+    left, found = rows.select("_lat", "_lon").distinct(), None
+    if len(look) > 1:
+        left = stored(left, "places")
+    for km in look:
+        near = _within(left, towns, km)
+        if km < within_km:
+            near = stored(near, "near")
+            left = stored(left.join(near, ["_lat", "_lon"], "left_anti"), "places")
+        found = near if found is None else found.unionByName(near)
+    return rows.join(found, ["_lat", "_lon"]).groupBy(point_id).agg(F.min("_b").alias("b")).select(point_id, "b.city_id", "b.km")
 
 
 def with_line_pairs(lines: DataFrame, item: str, number: str, text: str, confidence: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Steps whose work must grow with their input, against plain versions of what they give."""
 
+import math
 import random
 from datetime import date, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import curves
-from loomline.operators import grid, matching
+from loomline.operators import gazetteer, grid, matching
 
 
 def test_tones_without_a_table(spark):
@@ -55,3 +57,39 @@ def test_box_sums_by_tiles(spark):
     cells = spark.createDataFrame([("a", far - 1, far - 2, 3), ("a", far - 3, far - 3, 4), ("a", 0, 0, 5)], "p string, x long, y long, v long")
     one = spark.createDataFrame([(1, "a", far - 3, far - 3, far + 9, far + 9), (2, "a", -4, -4, 4, 4)], "box int, p string, left long, top long, right long, bottom long")
     assert sorted(map(tuple, grid.tiled_box_sums(cells, spark.createDataFrame([("a", far, far)], "p string, width long, height long"), one, ["p"], ["box"], "v").collect())) == [(1, 9, 7), (2, 25, 5)]
+
+
+def _km(a, b):
+    (p, x), (q, y) = ([math.radians(v) for v in c] for c in (a, b))
+    return 12742 * math.asin(math.sqrt(math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((y - x) / 2) ** 2))
+
+
+@pytest.mark.parametrize("seen", [4, 1e-6])
+def test_nearest_city_by_all_pairs(spark, monkeypatch, seen):
+    """Looking once and looking ever further; poles, the date line, a crowd of cities, many on one place, points without any."""
+    monkeypatch.setattr(gazetteer, "SEEN", seen)
+    pick = random.Random(8)
+    spot = lambda: (pick.choice([pick.uniform(-90, 90), pick.uniform(89, 89.99), -89.5, 47.0]), pick.choice([pick.uniform(-180, 180), 179.99, -179.98, 8.0]))
+    towns = [spot() for _ in range(60)] + [(47 + pick.uniform(0, 0.2), 8 + pick.uniform(0, 0.2)) for _ in range(60)] + [(47.1, 8.1)] * 30 + [(None, 1.0)]
+    points = [spot() for _ in range(150)] + [(47 + pick.uniform(0, 2), 8 + pick.uniform(0, 2)) for _ in range(100)] + [(47.1, 8.1)] * 5
+    cities = spark.createDataFrame([(i, *t) for i, t in enumerate(towns)], "city_id long, lat double, lon double")
+    got = gazetteer.nearest_city(spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "p long, lat double, lon double"), cities, "p", "lat", "lon", 300.0)
+    want = {}
+    for i, p in enumerate(points):
+        near = min((round(_km(p, t), 6), j) for j, t in enumerate(towns) if t[0] is not None)
+        if near[0] <= 300:
+            want[i] = near
+    assert {r.p: (round(r.km, 6), r.city_id) for r in got.collect()} == want and 100 < len(want) < len(points)
+
+
+def test_nearest_city_asks_each_place_once(spark):
+    """A thousand points and a thousand cities on four places: 16 pairs meet at most, not a million."""
+    rows = spark.range(1000).select("id", (F.col("id") % 4 / 100).alias("lat"), F.lit(8.0).alias("lon"))
+    asked = gazetteer._within
+    met = []
+    try:
+        gazetteer._within = lambda places, towns, km: met.append(places.count() * towns.count()) or asked(places, towns, km)
+        got = gazetteer.nearest_city(rows.withColumnRenamed("id", "p"), rows.withColumnRenamed("id", "city_id"), "p", "lat", "lon", 20.0)
+        assert got.where("city_id = p % 4 AND km = 0").count() == 1000 and max(met) == 16
+    finally:
+        gazetteer._within = asked
