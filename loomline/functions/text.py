@@ -2,42 +2,63 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters that decomposition leaves alone, and the Latin letters with marks that a fold takes the mark off.
-_MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżžøłđ"
-_UNMARKED = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzzold"
+# Letters that come apart into an ASCII one and marks, marks by themselves, letters with strokes, which don't
+# come apart; letters whose capital is several, with the one sign that stands for it or, without one, the letter itself.
+_PARTS = {c: unicodedata.normalize("NFD", c.lower()) for c in map(chr, range(0x80, 0x2200))}
+_BASE = {c: d[0] for c, d in _PARTS.items() if d[0].isascii() and d[0].isalnum()}
+_MARKED, _UNMARKED = "".join(_BASE), "".join(_BASE.values())
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x110000)) if unicodedata.category(c)[0] == "M")
+_STROKES, _STROKELESS = "øłđ", "old"
+_CAPITAL = {c: "\u1e9e" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1}
+_SPACE = r"[\t\n\f\r ]"
+_ENDS = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Zs")
+
+
+def lower(text: Column) -> Column:
+    """Lower case letter by letter: a capital sigma is the same within and at the end of a word, and a dotted capital i one letter."""
+    return F.lower(F.translate(text, "İΣ", "iσ"))
+
+
+def capital(letter: Column) -> Column:
+    """A letter's capital if that is one letter, else the letter; of ß the capital ẞ."""
+    kept = F.translate(letter, "".join(_CAPITAL), "".join(_CAPITAL.values()))
+    return F.when(F.lit("".join(_CAPITAL)).contains(letter), kept).otherwise(F.upper(letter))
 
 
-def fold(text: Column) -> Column:
-    """Lower-case ASCII words parted by one space; marks go, other signs part words. Latin letters are folded natively."""
-    plain = F.lower(text)
-    plain = F.replace(plain, F.lit("ß"), F.lit("ss"))
-    plain = F.translate(plain, _MARKED, _UNMARKED)
+def fold(text: Column, strokes: bool = True) -> Column:
+    """Lower-case ASCII words parted by one space; marks go, other signs part words. Latin letters are folded natively; with ``strokes`` also ø, ł and đ."""
+    plain = F.replace(lower(text), F.lit("ß"), F.lit("ss"))
+    more, less = (_STROKES, _STROKELESS) if strokes else ("", "")
+    plain = F.translate(plain, _MARKED + more + _MARKS, _UNMARKED + less)
     return F.trim(F.regexp_replace(plain, "[^0-9a-z]+", " "))
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """White space of the keyboard as one space each, none of any kind at the ends."""
+    return F.trim(F.regexp_replace(text, f"{_SPACE}+", " "), F.lit(_ENDS))
 
 
 def slugify(text: Column, default: str = "session") -> Column:
-    slug = F.trim(F.lower(F.regexp_replace(text, r"(?U)[^\w\-]+", "-")), F.lit("-"))
+    slug = F.trim(lower(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}_\-]+", "-")), F.lit("-"))
     return F.when(slug == "", default).otherwise(slug)
 
 
 def clean_tags(tags: Column, longest: int = 40, most: int = 30) -> Column:
     """Squeezed lower-case tags, the first of equals, without empty ones."""
-    shown = F.transform(tags, lambda t: F.substring(F.lower(squeeze(t)), 1, longest))
+    shown = F.transform(tags, lambda t: F.substring(lower(squeeze(t)), 1, longest))
     return F.slice(F.array_distinct(F.filter(shown, lambda t: t != "")), 1, most)
 
 
 def tidy(caption: Column, longest: int = 200) -> Column:
     """One line with a capital first and a full stop at the end unless it ends a sentence already."""
-    line = F.regexp_replace(F.substring(squeeze(caption), 1, longest), r"[\s,;:]+$", "")
-    line = F.concat(F.upper(F.substring(line, 1, 1)), F.substring(line, 2, longest))
-    return F.when(line == "", "").when(line.rlike(r"[.!?]$"), line).otherwise(F.concat(line, F.lit(".")))
+    line = F.regexp_replace(F.substring(squeeze(caption), 1, longest), r"[\t\n\f\r ,;:]+\z", "")
+    line = F.concat(capital(F.substring(line, 1, 1)), F.substring(line, 2, longest))
+    return F.when(line == "", "").when(line.rlike(r"[.!?]\z"), line).otherwise(F.concat(line, F.lit(".")))
 
 
 def label(*parts: Column) -> Column:
