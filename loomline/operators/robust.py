@@ -98,18 +98,36 @@ def consensus(df: DataFrame, keys: Sequence[str], order: str, value: str, sd: st
     return best.select(*keys, mean.alias("v"), F.sqrt(1 / total).alias("sd"), F.size("f").cast("long").alias("n"), F.transform("f", lambda x: x["o"]).alias("members"))
 
 
-def robust_line(df: DataFrame, keys: Sequence[str], x: str, y: str, rounds: int = 4, floor: float = 0.5) -> DataFrame:
+#: Points of a group that one task sorts; larger groups are spread over ranges of values.
+GROUP_ROWS = 1 << 20
+
+
+def robust_line(df: DataFrame, keys: Sequence[str], x: str, y: str, rounds: int = 4, floor: float = 0.5, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Per group slope and intercept of a line fitted again and again to the points near the one before: keys, slope, intercept, n.
 
-    A point stays if its residual is within ``floor`` or three robust deviations of the round's points.
+    A point stays if its residual is within ``floor`` or three robust deviations of the round's points. Groups of up to
+    ``group_rows`` points are dealt out by their keys once and go through all rounds where they are; those of larger
+    groups are stored after each round, and their medians go by ranges of values.
     """
     points = df.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
+    large = cut(points.groupBy(*keys).count().where(F.col("count") > group_rows).select(*keys))
+    near = lambda m: F.col("_r") <= F.greatest(F.lit(floor), 3 * MAD * m)
+    residual = F.abs(F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_x"))
 
     def fitted(p: DataFrame) -> DataFrame:
         return p.groupBy(*keys).agg(F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"), F.count("*").alias("n"))
 
+    few = points if large.isEmpty() else points.join(large, list(keys), "left_anti")
+    own = W.partitionBy(*keys)
+    for _ in range(rounds - 1):
+        off = few.withColumn("slope", F.regr_slope("_y", "_x").over(own)).withColumn("intercept", F.regr_intercept("_y", "_x").over(own)).select(*keys, "_x", "_y", residual.alias("_r")).where("_r IS NOT NULL")
+        ranked = off.withColumn("_i", F.row_number().over(own.orderBy("_r")) - 1).withColumn("_p", (F.count("*").over(own) - 1) / 2)
+        at = lambda f: F.max(F.when(F.col("_i") == f("_p"), F.col("_r"))).over(own)
+        few = ranked.withColumn("_m", (at(F.floor) + at(F.ceil)) / 2).where(near(F.col("_m"))).select(*keys, "_x", "_y")
+    if large.isEmpty():
+        return fitted(few)
+    many = points.join(large, list(keys), "left_semi")
     for _ in range(rounds - 1):
-        off = points.join(fitted(points), list(keys)).withColumn("_r", F.abs(F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_x"))).where("_r IS NOT NULL")
-        spread = percentiles(off, keys, "_r", {"_m": 0.5})
-        points = off.join(spread, list(keys)).where(F.col("_r") <= F.greatest(F.lit(floor), 3 * MAD * F.col("_m"))).select(*keys, "_x", "_y")
-    return fitted(points)
+        off = cut(many.join(fitted(many), list(keys)).withColumn("_r", residual).where("_r IS NOT NULL"))
+        many = cut(off.join(percentiles(off, keys, "_r", {"_m": 0.5}), list(keys)).where(near(F.col("_m"))).select(*keys, "_x", "_y"))
+    return fitted(few).unionByName(fitted(many))

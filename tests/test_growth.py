@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import curves
-from loomline.operators import gazetteer, grid, matching
+from loomline.operators import gazetteer, grid, matching, robust
 
 
 def test_tones_without_a_table(spark):
@@ -115,3 +115,14 @@ def test_folded_sources_of_all_letters(spark, tmp_path):
     got = {(r.doc_id, r.line_no): (r.folded, r.slug, r.tags, r.caption) for r in places.folded_sources(spark, str(tmp_path)).collect()}
     off = {k: (ascii(signs[k[0]]), got.get(k), want[k]) for k in want if got.get(k) != want[k]}
     assert not off and len(got) == len(want)
+
+
+def test_robust_line_of_groups_of_any_size(spark):
+    """Small groups in one task and large ones by ranges of values, alike; the small ones are dealt out once for all rounds."""
+    pick = random.Random(9)
+    rows = [(k, float(i % 50), 2.0 * (i % 50) + pick.gauss(0, 1) + (90.0 if i % 9 == 0 else 0.0)) for k, n in (("a", 200), ("b", 31), ("c", 2), ("d", 1), ("e", 120)) for i in range(n)] + [("e", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    shown = lambda n: {r.k: (r.slope and round(r.slope, 9), r.intercept and round(r.intercept, 9), r.n) for r in robust.robust_line(df, ["k"], "x", "y", group_rows=n).collect()}
+    assert shown(1000) == shown(0) == shown(100) and shown(0)["a"][2] < 200 and set(shown(0)) == set("abce")
+    plan = robust.robust_line(df, ["k"], "x", "y")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
