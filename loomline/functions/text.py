@@ -91,15 +91,16 @@ def xml_escape(text: Column) -> Column:
     return text
 
 
-def ngrams(words: Column, longest: int = 3) -> Column:
-    """array<struct<at, n, key>> of all runs of one to ``longest`` words."""
+def ngrams(words: Column, longest: int = 3, of: list[int] | None = None) -> Column:
+    """array<struct<at, n, key>> of all runs of one to ``longest`` words, or of as many words as the numbers ``of`` say."""
 
-    def of(n: int) -> Column:
+    def runs_of(n: int) -> Column:
         last = F.size(words) - n
         runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(words, i + 1, F.lit(n)), " ").alias("key")))
         return F.when(last >= 0, runs).otherwise(F.array().cast("array<struct<at:int,n:int,key:string>>"))
 
-    return F.concat(*[of(n) for n in range(1, longest + 1)])
+    sizes = range(1, longest + 1) if of is None else of
+    return F.concat(F.array().cast("array<struct<at:int,n:int,key:string>>"), *[runs_of(n) for n in sizes])
 
 
 def content_key(*parts: Column) -> Column:

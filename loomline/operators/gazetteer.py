@@ -126,30 +126,40 @@ def places_in_text(lines: DataFrame, keys: DataFrame, line_id: str, text: str, c
     Runs of three to one words are looked up; a run inside a longer one that is a key is suppressed. After a cue word a
     run is a place; without one it must be long enough, no common word or number, not part of a street or house, and
     the main name of a place or a large one. The share of the namesakes' population that the place has counts too.
-    The gazetteer meets the runs by an equal key; Spark broadcasts it if it is small enough.
+    The gazetteer meets the runs by an equal key; it is stored first, so that Spark knows whether it is small enough to
+    be broadcast before any run is dealt out. Only runs of as many words as keys have are looked up, and of those only
+    what can be a place or hold another; a run is a key and three marks, so a line costs as much as it is long.
     """
+    order = W.partitionBy("key").orderBy(F.desc("is_primary"), F.desc("pop"), "city_id")
+    primary_pop = F.sum(F.when(F.col("is_primary"), F.col("pop"))).over(W.partitionBy("key"))
+    total = F.coalesce(primary_pop, F.sum("pop").over(W.partitionBy("key")))
+    held = keys.withColumn("_r", F.row_number().over(order)).withColumn("_share", F.when(total > 0, F.col("pop") / total).otherwise(1.0)).where("_r = 1")
+    held = stored(held.select("key", "city_id", (F.col("is_primary") | (F.col("pop") >= BIG)).alias("_known"), "_share", F.size(F.split("key", " ")).alias("_n")), "keys")
+    sizes = sorted(r._n for r in held.where("_n <= 3").select("_n").distinct().collect())
     words = F.split(X.fold(F.col(text)), " ")
     rows = lines.select(line_id, words.alias("_words"), (confidence if confidence is not None else F.lit(1.0)).alias("_c"))
 
     def placed(g: Column) -> Column:
         before = F.array_join(F.slice("_words", F.greatest(g["at"] - 2, F.lit(1)), F.least(g["at"], F.lit(3))), " ")
         last = F.when(g["at"] > 0, F.get("_words", g["at"] - 1)).otherwise("")
-        return F.struct(g["at"].alias("at"), g["n"].alias("n"), g["key"].alias("key"), before.alias("_before"), last.alias("_last"), F.coalesce(F.get("_words", g["at"] + g["n"]), F.lit("")).alias("_after"))
-
-    # each run carries the words around it, not the whole line, so a line costs as much as it is long
-    grams = rows.select(line_id, "_c", F.explode(F.transform(X.ngrams(F.col("_words")), placed)).alias("g")).select(line_id, "_c", "g.*")
-    order = W.partitionBy("key").orderBy(F.desc("is_primary"), F.desc("pop"), "city_id")
-    primary_pop = F.sum(F.when(F.col("is_primary"), F.col("pop"))).over(W.partitionBy("key"))
-    total = F.coalesce(primary_pop, F.sum("pop").over(W.partitionBy("key")))
-    held = keys.withColumn("_r", F.row_number().over(order)).withColumn("_share", F.when(total > 0, F.col("pop") / total).otherwise(1.0)).where("_r = 1").select("key", "city_id", "is_primary", "pop", "_share")
-    found = grams.join(held, "key")
-    cue = F.exists(F.array(*[F.lit(c) for c in CUES]), lambda c: F.col("_before").endswith(c))
-    plain = (F.length(F.replace("key", F.lit(" "), F.lit(""))) >= 4) & ~F.col("key").isin(*COMMON) & ~F.col("key").rlike("^[0-9 ]+$") & ~F.col("_last").isin(*STREET_BEFORE) & ~F.col("_after").isin(*STREET_AFTER) & (F.col("is_primary") | (F.col("pop") >= BIG))
-    base = F.when(cue, 0.9).when(plain, F.when(F.length("key") >= 6, 0.6).otherwise(0.45))
+        after = F.coalesce(F.get("_words", g["at"] + g["n"]), F.lit(""))
+        cue = F.rlike(before, F.lit(f"(?:{'|'.join(CUES)})$"))
+        street = last.isin(*STREET_BEFORE) | after.isin(*STREET_AFTER)
+        return F.struct(g["at"].alias("at"), g["n"].alias("n"), g["key"].alias("key"), cue.alias("_cue"), street.alias("_street"))
+
+    key = F.col("key")
+    grams = rows.select(line_id, "_c", F.explode(F.transform(X.ngrams(F.col("_words"), of=sizes), placed)).alias("g")).select(line_id, "_c", "g.*")
+    plain = (F.length(F.replace(key, F.lit(" "), F.lit(""))) >= 4) & ~key.isin(*COMMON) & ~key.rlike("^[0-9 ]+$") & ~F.col("_street")
+    base = F.when(F.col("_cue"), 0.9).when(plain, F.when(F.length(key) >= 6, 0.6).otherwise(0.45))
+    alone = F.col("n") == (sizes[0] if sizes else 1)
+    grams = grams.select(line_id, "_c", "at", "n", "key", "_cue", base.alias("_base")).where(F.col("_base").isNotNull() | ~alone)
+    found = grams.join(held.select("key", "city_id", "_known", "_share"), "key")
     # only runs that count are dealt out, and only runs of several words can hold another
-    scored = found.select(F.col(line_id), "at", "n", "city_id", (base * F.col("_c") * (0.5 + 0.5 * F.col("_share"))).alias("confidence")).where(F.col("confidence") >= LEAST)
-    longer = found.where("n > 1").select(F.col(line_id).alias("_l"), F.col("at").alias("_at"), F.col("n").alias("_n"))
-    inside = (F.col(line_id) == F.col("_l")) & (F.col("_n") > F.col("n")) & (F.col("_at") <= F.col("at")) & (F.col("_at") + F.col("_n") >= F.col("at") + F.col("n"))
-    scored = scored.join(longer, inside, "left_anti")
+    counts = (F.col("_cue") | F.col("_known")) & F.col("_base").isNotNull()
+    scored = found.where(counts).select(F.col(line_id), "at", "n", "city_id", (F.col("_base") * F.col("_c") * (0.5 + 0.5 * F.col("_share"))).alias("confidence")).where(F.col("confidence") >= LEAST)
+    if len(sizes) > 1:
+        longer = found.where(F.col("n") > sizes[0]).select(F.col(line_id).alias("_l"), F.col("at").alias("_at"), F.col("n").alias("_n"))
+        inside = (F.col(line_id) == F.col("_l")) & (F.col("_n") > F.col("n")) & (F.col("_at") <= F.col("at")) & (F.col("_at") + F.col("_n") >= F.col("at") + F.col("n"))
+        scored = scored.join(longer, inside, "left_anti")
     best = scored.groupBy(line_id).agg(F.min(F.struct((-F.col("confidence")).alias("c"), F.col("at"), F.col("city_id").alias("city_id"))).alias("b"))
     return best.select(line_id, "b.city_id", (-F.col("b.c")).alias("confidence"))

@@ -126,3 +126,16 @@ def test_robust_line_of_groups_of_any_size(spark):
     assert shown(1000) == shown(0) == shown(100) and shown(0)["a"][2] < 200 and set(shown(0)) == set("abce")
     plan = robust.robust_line(df, ["k"], "x", "y")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_runs_of_words_stay_where_they_are(spark):
+    """A gazetteer that is small is broadcast before any run is dealt out; runs are only of as many words as keys have, and longer ones still hold shorter."""
+    city = "city_id long, name string, alts array<string>, pop long"
+    lines = spark.createDataFrame([(1, "seen in New London 1970"), (2, "London road"), (3, "greetings from London"), (4, "York"), (5, "Via York, London")], "l long, t string")
+    one = gazetteer.city_keys(spark.createDataFrame([(1, "London", [], 9), (2, "York", ["Eboracum"], 5)], city))
+    two = gazetteer.city_keys(spark.createDataFrame([(1, "London", [], 9), (2, "York", ["Eboracum"], 5), (3, "New London", [], 1), (4, "Eboracum", [], 5)], city))
+    found = gazetteer.places_in_text(lines, one, "l", "t")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert {r.l: (r.city_id, round(r.confidence, 4)) for r in found.collect()} == {1: (1, 0.6), 3: (1, 0.9), 4: (2, 0.45), 5: (1, 0.6)}
+    assert {r.l: (r.city_id, round(r.confidence, 4)) for r in gazetteer.places_in_text(lines, two, "l", "t").collect()} == {1: (3, 0.6), 3: (1, 0.9), 4: (2, 0.45), 5: (1, 0.6)}
