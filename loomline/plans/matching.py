@@ -14,7 +14,7 @@ from loomline.sources.shared import read, stored
 def cooccurrence_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN14, SRT5: for each part the twelve parts most often on the same orders."""
     pairs = matching.cooccurrence(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "n").select("p.a", "p.b", "n")
     return both.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("n"), "b"))).where("r <= 12").select("a", "b", "n")
 
 
