@@ -139,3 +139,12 @@ def test_runs_of_words_stay_where_they_are(spark):
     assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert {r.l: (r.city_id, round(r.confidence, 4)) for r in found.collect()} == {1: (1, 0.6), 3: (1, 0.9), 4: (2, 0.45), 5: (1, 0.6)}
     assert {r.l: (r.city_id, round(r.confidence, 4)) for r in gazetteer.places_in_text(lines, two, "l", "t").collect()} == {1: (3, 0.6), 3: (1, 0.9), 4: (2, 0.45), 5: (1, 0.6)}
+
+
+def test_small_groups_form_their_pairs_themselves(spark):
+    """Without large groups nothing is joined; with them only these are, and the counts are the same."""
+    pick = random.Random(11)
+    df = spark.createDataFrame([(pick.randrange(60), pick.randrange(40)) for _ in range(400)], "g int, m int")
+    found = matching.cooccurrence(df, "g", "m")
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, matching.cooccurrence(df, "g", "m", 4).collect()))
