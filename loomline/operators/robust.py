@@ -106,11 +106,13 @@ def robust_line(df: DataFrame, keys: Sequence[str], x: str, y: str, rounds: int
     """Per group slope and intercept of a line fitted again and again to the points near the one before: keys, slope, intercept, n.
 
     A point stays if its residual is within ``floor`` or three robust deviations of the round's points. Groups of up to
-    ``group_rows`` points are dealt out by their keys once and go through all rounds where they are; those of larger
+    ``group_rows`` points are dealt out by their keys once, to as many tasks as the points ask for, and go through all rounds where they are; those of larger
     groups are stored after each round, and their medians go by ranges of values.
     """
     points = df.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
-    large = cut(points.groupBy(*keys).count().where(F.col("count") > group_rows).select(*keys))
+    sizes = cut(points.groupBy(*keys).count())
+    large = cut(sizes.where(F.col("count") > group_rows).select(*keys))
+    tasks = max(int((sizes.agg(F.sum("count")).first()[0] or 0) // GROUP_ROWS) + 1, df.sparkSession.sparkContext.defaultParallelism)
     near = lambda m: F.col("_r") <= F.greatest(F.lit(floor), 3 * MAD * m)
     residual = F.abs(F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_x"))
 
@@ -118,6 +120,7 @@ def robust_line(df: DataFrame, keys: Sequence[str], x: str, y: str, rounds: int
         return p.groupBy(*keys).agg(F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"), F.count("*").alias("n"))
 
     few = points if large.isEmpty() else points.join(large, list(keys), "left_anti")
+    few = few.repartition(tasks, *keys)
     own = W.partitionBy(*keys)
     for _ in range(rounds - 1):
         off = few.withColumn("slope", F.regr_slope("_y", "_x").over(own)).withColumn("intercept", F.regr_intercept("_y", "_x").over(own)).select(*keys, "_x", "_y", residual.alias("_r")).where("_r IS NOT NULL")
