@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import curves
-from loomline.operators import gazetteer, grid, matching, robust
+from loomline.operators import gazetteer, grid, matching, robust, sequence
 
 
 def test_tones_without_a_table(spark):
@@ -148,3 +148,18 @@ def test_small_groups_form_their_pairs_themselves(spark):
     found = matching.cooccurrence(df, "g", "m")
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, matching.cooccurrence(df, "g", "m", 4).collect()))
+
+
+def test_clusters_in_few_rounds(spark):
+    """A group that takes in forty faces one after the other takes a round for the part, not one for each; so do parts of a few groups, with the same clusters."""
+    rows = [(0, [1.0] + [0.0] * 40, 0, 7)] + [(i, [0.7] + [0.0] * (i - 1) + [0.51**0.5] + [0.0] * (40 - i), i, None) for i in range(1, 41)]
+    rows += [(41, None, 41, None), (42, [-1.0] + [0.0] * 40, 42, None), (43, [-1.0] + [0.0] * 40, 42, None)]
+    df = spark.createDataFrame(rows, "face long, v array<double>, slide long, owner long")
+    got = {r.face: (r.owner, r.first) for r in sequence.cluster_items(df, "face", "v", "slide", "owner", max_rounds=3).collect()}
+    assert got == {i: (7, 0) for i in range(41)} | {i: (None, i) for i in (41, 42, 43)}
+    pick = random.Random(5)
+    faces = [(i, [pick.gauss(0, 1) for _ in range(6)], pick.randrange(60), pick.choice([None] * 9 + [1, 2])) for i in range(160)]
+    faces = [(i, [x / math.hypot(*v) for x in v], s, o) for i, v, s, o in faces]
+    df, bars = spark.createDataFrame(faces, "face long, v array<double>, slide long, owner long"), spark.createDataFrame([(i, 1 + i % 2) for i in range(0, 160, 3)], "face long, owner long")
+    shown = lambda **how: sorted(map(str, sequence.cluster_items(df, "face", "v", "slide", "owner", bars, 0.6, **how).collect()))
+    assert shown() == shown(block_rows=50, part_rows=20)
