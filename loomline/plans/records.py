@@ -14,8 +14,15 @@ from loomline.sources import headers, library
 from loomline.sources.shared import read, scratch
 
 
+#: Parts whose pictures lie in one folder.
+FOLDER_PARTS = 4096
+
+
 def camera_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC9: headers written for each part, in both byte orders, some inside a JPEG, some cut, of an unknown kind or leading back to themselves, and read back."""
+    """SRC9: headers written for each part, in both byte orders, some inside a JPEG, some cut, of an unknown kind or leading back to themselves, and read back.
+
+    Each folder of some thousand pictures is written by one task and listed and read by one, so the driver sees folders only.
+    """
     k = F.col("p_partkey")
     rows = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", (1 / (k % 1000 + 1)).alias("exposure"), (k % 200 / 10).alias("fnumber"), (k % 6400).alias("iso"))
 
@@ -27,10 +34,11 @@ def camera_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
                 data = headers.header_bytes({"make": r["p_brand"], "model": r["p_type"] if n % 4 else None, "datetime": "2024:01:02 03:04:05", "exposure": r["exposure"], "fnumber": r["fnumber"], "iso": r["iso"]}, "<>"[n % 2])
                 loop = data[:4] + (0).to_bytes(4, "little")
                 data = {1: data[:20], 2: b"PNG." + data, 3: loop, 4: b"\xff\xd8\xff\xe0\0\4ab\xff\xe1" + (len(data) + 8).to_bytes(2, "big") + b"Exif\0\0" + data}.get(n % 11, data)
-                names.append(f"p{n}.tif"), contents.append(data)
+                names.append(f"{n // FOLDER_PARTS}/p{n}.tif"), contents.append(data)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(contents, pa.binary())], ["name", "content"])
 
     folder = scratch(spark, "pictures")
+    rows = rows.repartition(1 + rows.count() // FOLDER_PARTS, F.floor(k / FOLDER_PARTS))
     headers.write_files(rows.mapInArrow(build, "name string, content binary"), folder)
     found = headers.picture_headers(spark, folder, "path string, make string, model string, datetime string, exposure double, fnumber double, iso long")
     return found.select(F.regexp_extract("path", r"p(\d+)\.tif$", 1).cast("long").alias("p_partkey"), "make", "model", "datetime", F.round("exposure", 9).alias("exposure"), "fnumber", "iso")

@@ -121,26 +121,40 @@ def _place(uri: str) -> tuple[pa.fs.FileSystem, str]:
 @dataclass
 class _Files(InputPartition):
     files: list[tuple[str, int]]
+    folder: str | None = None
 
 
 class _HeaderReader(DataSourceReader):
     def __init__(self, options: dict, names: list[str]):
         self.uri, self.endings, self.names = options["path"], tuple(options.get("endings", "").split()), names
 
+    def _kept(self, found: list) -> list[tuple[str, int]]:
+        return sorted((f.path, f.size) for f in found if f.is_file and not f.base_name.startswith(".") and (not self.endings or f.base_name.lower().endswith(self.endings)))
+
     def partitions(self) -> list[_Files]:
+        """The files of the folder itself by number, and each folder in it, which the task that gets it lists."""
         import pyarrow.fs
 
         fs, path = _place(self.uri)
-        found = fs.get_file_info(pyarrow.fs.FileSelector(path, recursive=True))
-        files = sorted((f.path, f.size) for f in found if f.is_file and not f.base_name.startswith(".") and (not self.endings or f.base_name.lower().endswith(self.endings)))
-        return [_Files(files[i : i + FILES_PER_PARTITION]) for i in range(0, len(files), FILES_PER_PARTITION)] or [_Files([])]
+        found = fs.get_file_info(pyarrow.fs.FileSelector(path))
+        files, folders = self._kept(found), sorted(f.path for f in found if f.type == pyarrow.fs.FileType.Directory)
+        return [_Files(files[i : i + FILES_PER_PARTITION]) for i in range(0, len(files), FILES_PER_PARTITION)] + [_Files([], f) for f in folders] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs
+
         fs, _ = _place(self.uri)
+        files = partition.files
+        if partition.folder is not None:
+            files = self._kept(fs.get_file_info(pyarrow.fs.FileSelector(partition.folder, recursive=True)))
+        for i in range(0, len(files), FILES_PER_PARTITION):
+            yield self._batch(fs, files[i : i + FILES_PER_PARTITION])
+
+    def _batch(self, fs: pa.fs.FileSystem, files: list[tuple[str, int]]) -> pa.RecordBatch:
         wanted = [n for n in self.names if n not in ("path", "length")]
         kinds = {"iso": pa.int64(), "exposure": pa.float64(), "fnumber": pa.float64(), "focal": pa.float64()}
         rows: dict[str, list] = {n: [] for n in self.names}
-        for path, size in partition.files:
+        for path, size in files:
             known = {}
             if wanted:  # else nothing is opened
                 with fs.open_input_file(path) as f:
@@ -148,8 +162,7 @@ class _HeaderReader(DataSourceReader):
             known |= {"path": path, "length": size}
             for n in self.names:
                 rows[n].append(_typed(known.get(n), n))
-        if partition.files:
-            yield pa.RecordBatch.from_arrays([pa.array(rows[n], pa.int64() if n == "length" else kinds.get(n, pa.string())) for n in self.names], self.names)
+        return pa.RecordBatch.from_arrays([pa.array(rows[n], pa.int64() if n == "length" else kinds.get(n, pa.string())) for n in self.names], self.names)
 
 
 def _typed(value: object, name: str) -> object:
@@ -164,8 +177,8 @@ def _typed(value: object, name: str) -> object:
 class PictureHeaders(DataSource):
     """``spark.read.format("picture_headers").load(folder)``: a row per file; only the columns of a given schema are looked for.
 
-    Option ``endings`` keeps files with one of these endings, separated by spaces. Files are dealt to tasks by
-    number, and of each no more than its first MB is read, whatever its size; if only path and length are asked for,
+    Option ``endings`` keeps files with one of these endings, separated by spaces. Files of the folder
+    itself are dealt to tasks by number, folders in it one by one, each listed by its task. Of each file no more than its first MB is read, whatever its size; if only path and length are asked for,
     none is opened.
     """
 
@@ -187,11 +200,13 @@ class _FileWriter(DataSourceWriter):
     def write(self, iterator) -> WriterCommitMessage:
         fs, path = _place(self.uri)
         fs.create_dir(path, recursive=True)
+        made = {path}
         for row in iterator:
             place = f"{path}/{row['name']}"
             folder = place.rpartition("/")[0]
-            if folder != path:
+            if folder not in made:
                 fs.create_dir(folder, recursive=True)
+                made.add(folder)
             part = f"{folder}/.{uuid.uuid4().hex}.part"
             with fs.open_output_stream(part) as f:
                 f.write(row["content"] or b"")

@@ -163,3 +163,16 @@ def test_clusters_in_few_rounds(spark):
     df, bars = spark.createDataFrame(faces, "face long, v array<double>, slide long, owner long"), spark.createDataFrame([(i, 1 + i % 2) for i in range(0, 160, 3)], "face long, owner long")
     shown = lambda **how: sorted(map(str, sequence.cluster_items(df, "face", "v", "slide", "owner", bars, 0.6, **how).collect()))
     assert shown() == shown(block_rows=50, part_rows=20)
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    """The driver sees the files of the folder itself and the folders in it, not what these hold; all files are read, in folders of any depth."""
+    from loomline.sources import headers
+
+    names = ["a.tif", ".hid.tif", "b.txt"] + [f"{d}/p{i}.tif" for d in ("x", "y/z", "y") for i in range(300)] + ["x/.hid.tif", "x/n.txt"]
+    headers.write_files(spark.createDataFrame([(n, headers.header_bytes({"make": n, "iso": len(n)})) for n in names], "name string, content binary"), str(tmp_path / "f"))
+    (tmp_path / "f" / "empty").mkdir()
+    dealt = headers._HeaderReader({"path": str(tmp_path / "f"), "endings": "tif"}, ["path"]).partitions()
+    assert sum(len(p.files) for p in dealt) == 1 and len(dealt) == 4
+    got = {r.make: r.iso for r in headers.picture_headers(spark, str(tmp_path / "f"), endings="tif").collect()}
+    assert got == {n: len(n) for n in names if n.endswith(".tif") and ".hid" not in n}
