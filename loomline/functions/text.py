@@ -30,12 +30,16 @@ def capital(letter: Column) -> Column:
     return F.when(F.lit("".join(_CAPITAL)).contains(letter), kept).otherwise(F.upper(letter))
 
 
+def plain(text: Column, strokes: bool = True) -> Column:
+    """Lower case, Latin letters without their marks, other signs as they are; with ``strokes`` also ø, ł and đ. ASCII texts have no marks to take off."""
+    more, less = (_STROKES, _STROKELESS) if strokes else ("", "")
+    bare = F.translate(F.replace(lower(text), F.lit("ß"), F.lit("ss")), _MARKED + more + _MARKS, _UNMARKED + less)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(bare)
+
+
 def fold(text: Column, strokes: bool = True) -> Column:
     """Lower-case ASCII words parted by one space; marks go, other signs part words. Latin letters are folded natively; with ``strokes`` also ø, ł and đ."""
-    plain = F.replace(lower(text), F.lit("ß"), F.lit("ss"))
-    more, less = (_STROKES, _STROKELESS) if strokes else ("", "")
-    plain = F.translate(plain, _MARKED + more + _MARKS, _UNMARKED + less)
-    return F.trim(F.regexp_replace(plain, "[^0-9a-z]+", " "))
+    return F.trim(F.regexp_replace(plain(text, strokes), "[^0-9a-z]+", " "))
 
 
 def squeeze(text: Column) -> Column:

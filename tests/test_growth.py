@@ -5,8 +5,10 @@ import os
 import random
 import unicodedata
 from datetime import date, timedelta
+from types import SimpleNamespace
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +143,30 @@ def test_runs_of_words_stay_where_they_are(spark):
     assert {r.l: (r.city_id, round(r.confidence, 4)) for r in gazetteer.places_in_text(lines, two, "l", "t").collect()} == {1: (3, 0.6), 3: (1, 0.9), 4: (2, 0.45), 5: (1, 0.6)}
 
 
+def test_words_of_many_texts_meet_a_gazetteer_at_once(spark):
+    """No run of words is a row unless the gazetteer is too large for a task; texts by line, line by line and dealt out name the same places, over ends of lines too."""
+    pick = random.Random(3)
+    words = "welcome unwelcome to greetings from bem vindo a xbem via road bar city alpha beta gamma delta epsilonia zetaville 123456 de of été Łódź straße hotel".split()
+    texts = ["".join(pick.choice(words) + pick.choice([" ", " ", ", ", "\n", "\n\n"]) for _ in range(pick.randrange(40))) for _ in range(300)] + [None, "", "\n", "x greetings\nfrom\nalpha", "greetings from\n\nalpha"]
+    df = spark.createDataFrame([(i, t, pick.choice([1.0, 0.8, 0.5, None])) for i, t in enumerate(texts)], "l long, t string, c double")
+    names = sorted({" ".join(pick.choice(words) for _ in range(pick.choice([1, 1, 2, 2, 3, 4]))) for _ in range(200)})
+    cities = spark.createDataFrame([(i, n, [pick.choice(names)], pick.choice([None, 5, 9, 200_000])) for i, n in enumerate(names)], "city_id long, name string, alts array<string>, pop long")
+    keys = gazetteer.city_keys(cities)
+    shown = lambda **how: sorted(map(tuple, gazetteer.places_in_text(df, keys, "l", "t", F.col("c"), **how).collect()))
+    assert shown() == shown(held_keys=0) and shown(by_line=True) == shown(by_line=True, held_keys=0) != shown()
+    units = [(i, k, u, c) for i, t, c in map(tuple, df.collect()) if t is not None for ls in [t.split("\n")] for k, u in enumerate(ls + [f"{a} {b}" for a, b in zip(ls, ls[1:])])]
+    each = gazetteer.places_in_text(spark.createDataFrame(units, "l long, k int, u string, c double").withColumn("lk", F.struct("l", "k")), keys, "lk", "u", F.col("c"))
+    best = each.groupBy(F.col("lk.l").alias("l")).agg(F.min(F.struct(-F.col("confidence"), "lk.k", "city_id")).alias("b")).select("l", "b.city_id", -F.col("b.col1"))
+    assert sorted(map(tuple, best.collect())) == shown(by_line=True)
+    plan = gazetteer.places_in_text(df, keys, "l", "t", by_line=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "MapInArrow" in plan
+    # pieces of a few bytes name the same places as one
+    held = pa.table({"key": ["alpha", "gamma delta"], "city_id": [1, 2], "_known": [True, True], "_plain": [0.45, 0.6], "_weight": [1.0, 1.0], "_n": [1, 2]})
+    batch = pa.record_batch({"l": list(range(len(texts))), "_t": texts, "_c": [1.0] * len(texts)})
+    found = lambda piece: [r for b in gazetteer._look(SimpleNamespace(value=held), "l", True, piece)(iter([batch])) for r in b.to_pylist()]
+    assert found(10) == found(1 << 20) and len(found(10)) > 50
+
+
 def test_small_groups_form_their_pairs_themselves(spark):
     """Without large groups nothing is joined; with them only these are, and the counts are the same."""
     pick = random.Random(11)
