@@ -8,6 +8,7 @@ from datetime import date, timedelta
 from types import SimpleNamespace
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -191,6 +192,37 @@ def test_clusters_in_few_rounds(spark):
     assert shown() == shown(block_rows=50, part_rows=20)
 
 
+def test_a_group_to_which_many_turn(spark):
+    """Groups to which more turn than a part has take in a part of them in a round, not the few that all are told."""
+    hub = [(i, [1.0] + [0.0] * 150, i, 7) for i in range(800)]
+    fans = [(1000 + i, [c] + [0.0] * i + [(1 - c * c) ** 0.5] + [0.0] * (149 - i), 1000 + i, None) for i in range(150) for c in [0.5 + i * 1e-3]]
+    df = spark.createDataFrame(hub + fans, "face long, v array<double>, slide long, owner long")
+    got = sequence.cluster_items(df, "face", "v", "slide", "owner", None, 0.45, max_rounds=10, block_rows=100, part_rows=40)
+    assert {(r.owner, r.first) for r in got.collect()} == {(7, 0)} and got.count() == 950
+
+
+def test_likest_of_two_blocks():
+    """The likest of both sides, whatever pieces the products come in, with copies, crowded slides and refusals, to the last bit."""
+    pick = np.random.default_rng(4)
+    for case in range(12):
+        n, same, k = int(pick.integers(1, 130)), case % 3 == 0, int(pick.integers(1, 9))
+        v = pick.normal(size=(n, 5)) / 3
+        v[pick.random(n) < 0.4] = v[0]
+        names = [f"{'o' if pick.random() < 0.2 else 'i'}{i}" for i in pick.permutation(n)]
+        at, never = ([sorted({int(x) for x in pick.integers(0, m, pick.integers(0, 3))}) for _ in range(n)] for m in (40, n))
+        rows = {"one": [0] * n, "two": [0 if same else 1] * n, "right": [not same and bool(pick.random() < 0.5) for _ in range(n)], "g": names, "s": [(x * 3).tolist() for x in v], "n": [3] * n, "at": at}
+        rows = pa.table(rows | {"never": pa.array([[names[x] for x in some if names[x][0] == "o"] for some in never], pa.list_(pa.string()))})
+        want, mean, groups = [], np.array(rows.column("s").to_pylist()) / 3.0, sequence._Groups(rows)
+        for i in range(n):
+            like = [(float(np.einsum("j,ij->i", mean[i], mean[j : j + 1])[0]), names[j]) for j in range(n) if j != i and (same or rows["right"][i] != rows["right"][j])]
+            like = [x for x in like if x[0] >= 0.1 and groups.may(i, groups, names.index(x[1])) and not names[i][0] == x[1][0] == "o"]
+            want += [(names[i], h, x) for x, h in sorted(like, reverse=True)[:k]]
+        for crowd, tile, together in ((256, (512, 4096), 1 << 20), (2, (8, 16), 20), (256, (3, 5), 1)):
+            with pytest.MonkeyPatch.context() as held:
+                held.setattr(sequence, "CROWD", crowd)
+                assert sorted(tuple(r.values()) for r in sequence._likest(k, 0.1, tile, together)(rows).to_pylist()) == sorted(want)
+
+
 def test_folders_are_listed_by_tasks(spark, tmp_path):
     """The driver sees the files of the folder itself and the folders in it, not what these hold; all files are read, in folders of any depth."""
     from loomline.sources import headers
